@@ -38,46 +38,43 @@ def stream_dedupe(
     return stream_ingest(unique, target, checkpoint)
 
 
-def merge_latest(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, key: str, order: list[str]) -> None:
-    """Merge a batch into the latest row of each key and write the result as the table of this batch.
+def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    columns = rows.columns
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
 
-    A batch that is repeated after a failure overwrites its own table, so the merge is idempotent.
-    """
-    row = F.struct(*batch.columns)
-    newest = F.max_by(row, F.struct(*order))
-    rows = batch
-    if batch_id > 0:
-        rows = spark.read.parquet(f"{root}/batch={batch_id - 1}").select(batch.columns).unionByName(batch)
-    merged = rows.groupBy(key).agg(newest.alias("r")).select("r.*")
-    merged.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+def write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
+    """A batch has its own folder, so a batch repeated after a failure replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
 def stream_latest_status(
     stream: DataFrame, root: str, checkpoint: str, key: str = "request_id", order: tuple[str, ...] = ("ts",)
 ) -> StreamingQuery:
-    """Latest state per request; the newest ``batch=`` table below ``root`` is current."""
+    """Changes per request, reduced to one row per key and batch; see ``latest_table``."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_latest(batch.sparkSession, root, batch, batch_id, key, list(order))
+    def keep_newest(batch: DataFrame, batch_id: int) -> None:
+        write_batch(newest(batch, key, list(order)), root, batch_id)
 
     return (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(keep_newest).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def latest_table(spark: SparkSession, root: str) -> DataFrame:
-    tables = spark.read.parquet(root)
-    newest = tables.agg(F.max("batch").alias("b")).scalar()
-    return tables.where(F.col("batch") == newest).drop("batch")
+def latest_table(
+    spark: SparkSession, root: str, key: str = "request_id", order: tuple[str, ...] = ("ts",)
+) -> DataFrame:
+    """Current row of each key over all batches."""
+    return newest(spark.read.parquet(root), key, list(order)).drop("batch")
 
 
 def stream_route(stream: DataFrame, submissions: str, queue: str, checkpoint: str) -> StreamingQuery:
     """Split submissions into the submission table and the queue rows they cause."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        valid_submissions(batch).write.mode("overwrite").parquet(f"{submissions}/batch={batch_id}")
-        route_submissions(batch).write.mode("overwrite").parquet(f"{queue}/batch={batch_id}")
+        write_batch(valid_submissions(batch), submissions, batch_id)
+        write_batch(route_submissions(batch), queue, batch_id)
 
     return (
         stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
@@ -97,14 +94,11 @@ def daily_sessions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_daily_sessions(stream: DataFrame, root: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Counts per day, corrected while late events arrive."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        current = batch.withColumn("seq", F.lit(batch_id))
-        merge_latest(batch.sparkSession, root, current, batch_id, "day", ["seq"])
-
+    """Counts per day, corrected while late events arrive; ``latest_table`` by day and batch reads them."""
     return (
-        daily_sessions(stream, delay).writeStream.outputMode("update").foreachBatch(merge)
+        daily_sessions(stream, delay)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, root, batch_id))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
