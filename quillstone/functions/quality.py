@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import SPACES, lines, strip, word_tokens
+from quillstone.functions.text import WHITESPACE, collapse, lines, strip, word_tokens
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ DEFAULT = Thresholds()
 
 
 def line_signature(line: Column) -> Column:
-    return F.regexp_replace(strip(F.lower(line)), SPACES, " ")
+    return collapse(F.lower(line))
 
 
 def signatures(text: Column) -> Column:
@@ -44,7 +44,7 @@ def signatures(text: Column) -> Column:
 
 def symbol_noise_ratio(text: Column) -> Column:
     """Share of non-alphanumeric characters among the non-space ones; 1 when there are none."""
-    visible = F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
+    visible = F.length(F.translate(text, WHITESPACE, ""))
     symbols = F.regexp_count(text, F.lit(r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]"))
     return F.when(visible == 0, F.lit(1.0)).otherwise(symbols / visible)
 

@@ -18,10 +18,10 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAK = r"(?:\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029])"
-SPACES = r"(?U)[\s\x1c-\x1f]+"
-
-NO_STRINGS = "array<string>"
+# separators that ``\R`` and ``\s`` do not know
+LINE_CONTROLS = "\x1c\x1d\x1e"
+SPACE_CONTROLS = "\x1c\x1d\x1e\x1f"
+SPACES = r"(?U)\s+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,15 +55,27 @@ def not_blank(c: Column, default: str | Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), fallback)
 
 
+def swap(c: Column, chars: str, to: str) -> Column:
+    """Replace single characters; costs next to nothing where a text has none of them."""
+    for ch in chars:
+        c = F.replace(c, F.lit(ch), F.lit(to))
+    return c
+
+
 def collapse(c: Column) -> Column:
-    """Trimmed text with every run of white space as one blank."""
-    return F.regexp_replace(strip(c), SPACES, " ")
+    """Trimmed text with every run of white space as one blank; most short texts already are that."""
+    return let(
+        strip(swap(c, SPACE_CONTROLS, " ")),
+        lambda t: F.when(t.rlike(r"(?U)\s\s|[^\S ]"), F.regexp_replace(t, SPACES, " ")).otherwise(t),
+    )
 
 
 def lines(c: Column) -> Column:
     """Lines of a text as an array; a final line break does not open another line."""
-    body = F.regexp_replace(c, LINE_BREAK + r"\z", "")
-    return F.when(c == "", F.array().cast(NO_STRINGS)).otherwise(F.split(body, LINE_BREAK, -1))
+    return let(
+        F.split(swap(c, LINE_CONTROLS, "\n"), r"\R", -1),
+        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p),
+    )
 
 
 def stripped_lines(c: Column) -> Column:
@@ -113,9 +125,14 @@ def entity_key(c: Column) -> Column:
     return F.btrim(F.regexp_replace(bare, "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def fold_case(c: Column) -> Column:
+    """Form for comparing without case, where sharp s equals double s."""
+    return F.lower(F.upper(F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))))
+
+
 def name_key(c: Column) -> Column:
     """Case-insensitive, blank-insensitive equality key of a name."""
-    return F.lower(collapse(or_blank(c)))
+    return fold_case(collapse(or_blank(c)))
 
 
 def display_name(c: Column) -> Column:

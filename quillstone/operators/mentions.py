@@ -50,9 +50,8 @@ def dedupe_aliases(aliases: DataFrame) -> DataFrame:
 
 def word_runs(low: Column, longest: int) -> Column:
     """Distinct runs of 1..longest whole words with the characters between them as they stand."""
-    runs = [
-        F.regexp_extract_all(low, F.lit(rf"(?U)(?<!\w)(?=(\w+(?:\W+\w+){{{n}}})(?!\w))"), 1)
-        for n in range(longest)
+    runs = [F.regexp_extract_all(low, F.lit(WORD), 1)] + [
+        F.regexp_extract_all(low, F.lit(rf"(?U)(?<!\w)(?=(\w++(?:\W++\w++){{{n}}}))"), 1) for n in range(1, longest)
     ]
     return F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])
 
@@ -73,7 +72,8 @@ def match_terms(
     low = F.lower(F.col(text))
     found = None
     if shape["k"]:
-        whole = terms.where(F.col("term").rlike(WORD_EDGED))
+        # a filter on the key would be copied to every word run, so it is there only when needed
+        whole = terms.where(F.col("term").rlike(WORD_EDGED)) if shape["symbols"] else terms
         grams = rows.select(*keep, F.explode_outer(word_runs(low, shape["k"])).alias("term"))
         found = grams.join(whole, "term").select(*keep, *out)
     if shape["symbols"]:
@@ -162,7 +162,7 @@ def match_mentions(
     rows = lines_with_context(notes, ["session", "source"], min_len=min_len)
     keep = ["session", "source", "line_no", "context"]
     hits = match_terms(rows, as_terms(aliases), "line", keep, ["canonical"], mode)
-    return hits.dropDuplicates(["source", "line_no", "canonical"]).select(
+    return hits.distinct().select(
         F.lit(src_rank).alias("src_rank"), "session", "source", "line_no", F.col("context").alias("text"), "canonical"
     )
 
@@ -196,7 +196,7 @@ def match_player_inputs(
     ).select(*keep, "canonical")
     return (
         named.unionByName(filed)
-        .dropDuplicates(["line_no", "canonical"])
+        .distinct()
         .select(
             F.lit(src_rank).alias("src_rank"),
             "session",

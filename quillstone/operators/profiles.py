@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import or_blank, slug, strip
 from quillstone.operators.mentions import citation, reading_order
 from quillstone.operators.ranking import first_per_group, joined_in_order
+from quillstone.sources.storage import pinned
 
 # Word lists and labels of an entity profile.
 DEATH_HINTS = r"(?i)\b(died|dead|killed|slain|passed away|deceased|death)\b"
@@ -258,7 +259,11 @@ def entity_document(
     tag_rules=TAG_RULES,
     opinions=OPINIONS,
 ) -> DataFrame:
-    """Markdown profile of each entity: (canonical, slug, body)."""
+    """Markdown profile of each entity: (canonical, slug, body).
+
+    The mentions feed every section, so they are written once.
+    """
+    mentions = pinned(mentions)
     sections = section_rows(mentions, facets, notable_words, death, alive)
     refs = reference_numbers(sections)
     base = len(facets)

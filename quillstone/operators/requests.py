@@ -153,7 +153,7 @@ def find_mentions(terms: DataFrame, log_lines: DataFrame, pages: DataFrame, cap:
     excerpt = left(strip(F.col("text")), 280)
     logs = log_lines.select("source", "line_no", "text", excerpt.alias("excerpt"))
     in_logs = match_terms(logs, keys, "text", ["source", "line_no", "excerpt"], ["canonical"], "edge")
-    from_logs = in_logs.dropDuplicates(["canonical", "source", "line_no"]).select(
+    from_logs = in_logs.distinct().select(
         "canonical",
         F.lit(0).alias("domain_rank"),
         F.lit("campaign").alias("domain"),

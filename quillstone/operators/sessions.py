@@ -190,10 +190,10 @@ def session_source_refs(docs: DataFrame, sources: DataFrame, key: str = "doc_id"
         stripped_lines(F.col("text")), lambda s: base_name(strip(F.regexp_extract(s, r"Source:\s*`([^`]+)`", 1)))
     )
     uses = docs.select(key, F.posexplode_outer(named).alias("pos", "name")).where(F.col("name") != "")
-    paths = sources.groupBy("name").agg(F.max_by("path", F.struct("root_rank", "path")).alias("path"))
+    paths = sources.groupBy("name").agg(F.max_by("path", F.struct("root_rank", "path")).alias("known"))
     return (
         uses.join(paths, "name", "left")
-        .groupBy(key, F.coalesce("path", "name").alias("ref"))
+        .groupBy(key, F.coalesce("known", "name").alias("ref"))
         .agg(F.min("pos").cast("long").alias("pos"))
         .select(key, "pos", "ref")
     )

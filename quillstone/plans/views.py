@@ -57,8 +57,23 @@ FIXES = (("tion", "tlon"), ("tlon.", "tion!"), ("eau", "eo"))
 PLAN = ((1, 2, "opening"), (3, 5, "middle"), (4, 9, "overlap"), (10, 40, "rest"), (900, 999, "none"))
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small text table.
+
+    A text needs far more work than reading it, and a small file is one row group, thus one task. When
+    the scan has fewer splits than the cluster has cores the rows are dealt out; a large table has more
+    splits than that and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def documents(spark, sf):
@@ -247,7 +262,7 @@ def requests(spark, sf):
         "request_id",
         "ts",
         F.expr(
-            """if(event_id % 3 = 0, concat('Unknown ', user_id % 50), if(event_id % 3 = 1, upper(canonical),
+            """if(event_id % 3 = 0, concat('Unknown ', user_id % 50), if(event_id % 3 = 1, lower(canonical),
             if(event_id % 31 = 2, ' ', concat(' ', canonical, ' '))))"""
         ).alias("entity"),
         F.expr("if(event_id % 4 = 0, '', concat('note ', props))").alias("note"),
@@ -415,7 +430,7 @@ SQL = {
     "page_edges": """SELECT DISTINCT 'p' || page_id AS src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS dst FROM pages""",
     "edge_articles": r"""SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS slug FROM benchmark""",
     "requests": """SELECT event_id AS request_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
-        CASE event_id % 3 WHEN 0 THEN 'Unknown ' || (user_id % 50) WHEN 1 THEN upper(canonical)
+        CASE event_id % 3 WHEN 0 THEN 'Unknown ' || (user_id % 50) WHEN 1 THEN lower(canonical)
           ELSE CASE WHEN event_id % 31 = 2 THEN ' ' ELSE ' ' || canonical || ' ' END END AS entity,
         CASE WHEN event_id % 4 = 0 THEN '' ELSE 'note ' || props END AS note,
         CASE event_type WHEN 'click' THEN 'incoming' WHEN 'view' THEN ' Pending' WHEN 'purchase' THEN 'Researched'
