@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import let, strip, stripped_lines, title_case
+from quillstone.sources.storage import pinned
 
 # Articles that neither link nor lend their names, and the category order of the index.
 NO_LINKS = ("index", "entity-queue")
@@ -68,8 +69,10 @@ def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Names are case-sensitive, have no word character or slash beside them, and the longest one wins and
     uses up its text. Names that can occur in an article are found by an equi-join on one token each;
-    then the article is scanned once with an alternation of just those names, longest first.
+    then the article is scanned once with an alternation of just those names, longest first. The
+    dictionary is used three times, so it is written once.
     """
+    dictionary = pinned(dictionary)
     plain = articles.where(~F.col("slug").isin(list(NO_LINKS))).select(
         "slug", "part", F.regexp_replace("body", TAG, CUT).alias("text")
     )
@@ -81,18 +84,23 @@ def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
         .agg(F.collect_set("name").alias("names"))
     )
 
-    def found(text: Column, names: Column) -> Column:
-        real = F.filter(names, lambda n: F.contains(text, n))
+    def scan(text: Column, real: Column) -> Column:
         ordered = F.array_sort(real, lambda a, b: F.length(b) - F.length(a))
         literal = F.transform(
             ordered, lambda n: F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
         )
-        pattern = F.concat(F.lit(r"(?U)(?<![\w/])("), F.array_join(literal, "|"), F.lit(r")(?![\w/])"))
+        # most word beginnings are no beginning of a name; the class of first letters passes over them
+        firsts = F.array_join(F.array_distinct(F.transform(real, lambda n: F.substring(n, 1, 1))), "")
+        initial = F.concat(F.lit(r"[\Q"), F.replace(firsts, F.lit("\\E"), F.lit("")), F.lit(r"\E\\]"))
+        pattern = F.concat(
+            F.lit(r"(?U)(?<![\w/])(?="), initial, F.lit(")("), F.array_join(literal, "|"), F.lit(r")(?![\w/])")
+        )
+        return let(pattern, lambda p: F.array_distinct(F.regexp_extract_all(text, p, 1)))
+
+    def found(text: Column, names: Column) -> Column:
         return let(
-            F.struct(F.size(real).alias("n"), pattern.alias("p")),
-            lambda v: F.when(v["n"] > 0, F.array_distinct(F.regexp_extract_all(text, v["p"], 1))).otherwise(
-                F.array().cast("array<string>")
-            ),
+            F.filter(names, lambda n: F.contains(text, n)),
+            lambda real: F.when(F.size(real) > 0, scan(text, real)).otherwise(F.array().cast("array<string>")),
         )
 
     scanned = plain.withColumnRenamed("slug", "src").join(possible, ["src", "part"]).select(

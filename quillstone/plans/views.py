@@ -57,23 +57,22 @@ FIXES = (("tion", "tlon"), ("tlon.", "tion!"), ("eau", "eo"))
 PLAN = ((1, 2, "opening"), (3, 5, "middle"), (4, 9, "overlap"), (10, 40, "rest"), (900, 999, "none"))
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+# tables with much work per row, and the columns that tell their rows apart
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small text table.
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table; a small text table is dealt out over all cores.
 
     A text needs far more work than reading it, and a small file is one row group, thus one task. When
-    the scan has fewer splits than the cluster has cores the rows are dealt out; a large table has more
-    splits than that and is left as it is, without a shuffle.
+    the scan has few splits for the cores there are, the rows are spread by their key; a large table has
+    many splits and is left as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < 4 * cores:
+        return df.repartition(cores, *TEXT_TABLES[name])
+    return df
 
 
 def documents(spark, sf):
