@@ -119,26 +119,31 @@ def continuity_conflicts(mentions: DataFrame, death: str = DEATH_HINTS, alive: s
     )
 
 
+def tag_columns(rules) -> tuple[list[Column], Column]:
+    """Aggregates that test the tag rules, and the array of tags made from their results."""
+    low = F.lower("text")
+    tests = [F.bool_or(has_any(low, words)).alias(f"_tag{i}") for i, (_, words) in enumerate(rules)]
+    tags = F.array_compact(F.array(*[F.when(F.col(f"_tag{i}"), F.lit(name)) for i, (name, _) in enumerate(rules)]))
+    return tests, tags
+
+
 def entity_tags(mentions: DataFrame, rules=TAG_RULES) -> DataFrame:
     """Tags of each entity, in rule order; a rule holds when any mention contains one of its words."""
-    low = F.lower("text")
-    flags = [F.bool_or(has_any(low, words)).alias(f"_t{i}") for i, (_, words) in enumerate(rules)]
-    tags = F.array_compact(F.array(*[F.when(F.col(f"_t{i}"), F.lit(name)) for i, (name, _) in enumerate(rules)]))
-    return mentions.groupBy("canonical").agg(*flags).select("canonical", tags.alias("tags"))
+    tests, tags = tag_columns(rules)
+    return mentions.groupBy("canonical").agg(*tests).select("canonical", tags.alias("tags"))
 
 
 def entity_summary(
     catalog: DataFrame, mentions: DataFrame, tag_rules=TAG_RULES, opinions=OPINIONS
 ) -> DataFrame:
     """Description, summary and opinion of every entity from its tags, type and number of mentions."""
-    first = mentions.groupBy("canonical").agg(
-        F.min_by("session", reading_order()).alias("first_session"), F.count("*").alias("n")
-    )
-    rows = (
-        catalog.select("canonical", "type")
-        .join(first, "canonical", "left")
-        .join(entity_tags(mentions, tag_rules), "canonical", "left")
+    tests, tags = tag_columns(tag_rules)
+    known = (
+        mentions.groupBy("canonical")
+        .agg(F.min_by("session", reading_order()).alias("first_session"), F.count("*").alias("n"), *tests)
+        .select("canonical", "first_session", "n", tags.alias("tags"))
     )
+    rows = catalog.select("canonical", "type").join(known, "canonical", "left")
     name = F.col("canonical")
     none = F.col("n").isNull()
     label = F.when(F.size("tags") > 0, F.array_join("tags", " and ")).otherwise("recurring")

@@ -330,7 +330,8 @@ def queue_listing(queue: DataFrame) -> DataFrame:
 def submissions_with_audit(submissions: DataFrame, audits: DataFrame) -> DataFrame:
     """Submissions newest first with their audits by time, one row each; without audit the fields are null.
 
-    Rows instead of an array, because one submission may have any number of audits.
+    Rows instead of an array, because one submission may have any number of audits. The inner join lets
+    Spark split the audits of such a submission, which it cannot do on that side of an outer join.
     """
     work = audits.where(or_blank(F.col("submission_id")) != "").select(
         "submission_id",
@@ -338,8 +339,10 @@ def submissions_with_audit(submissions: DataFrame, audits: DataFrame) -> DataFra
         F.col("status").alias("audit_status"),
         F.array_join("actions", ", ").alias("work_log"),
     )
+    shown = submissions.select("submission_id", "ts", "entity", "player", "note")
+    without = shown.join(work.select("submission_id").distinct(), "submission_id", "left_anti")
     return (
-        submissions.join(work, "submission_id", "left")
-        .select("submission_id", "ts", "entity", "player", "note", "audit_ts", "audit_status", "work_log")
+        shown.join(work, "submission_id")
+        .unionByName(without, allowMissingColumns=True)
         .orderBy(F.desc("ts"), "submission_id", "audit_ts")
     )
