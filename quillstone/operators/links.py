@@ -89,11 +89,11 @@ def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
         literal = F.transform(
             ordered, lambda n: F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
         )
-        # most word beginnings are no beginning of a name; the class of first letters passes over them
+        # most places cannot begin a name; the class of first characters passes over them cheaply
         firsts = F.array_join(F.array_distinct(F.transform(real, lambda n: F.substring(n, 1, 1))), "")
         initial = F.concat(F.lit(r"[\Q"), F.replace(firsts, F.lit("\\E"), F.lit("")), F.lit(r"\E\\]"))
         pattern = F.concat(
-            F.lit(r"(?U)(?<![\w/])(?="), initial, F.lit(")("), F.array_join(literal, "|"), F.lit(r")(?![\w/])")
+            F.lit("(?U)(?="), initial, F.lit(r")(?<![\w/])("), F.array_join(literal, "|"), F.lit(r")(?![\w/])")
         )
         return let(pattern, lambda p: F.array_distinct(F.regexp_extract_all(text, p, 1)))
 
@@ -103,9 +103,12 @@ def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
             lambda real: F.when(F.size(real) > 0, scan(text, real)).otherwise(F.array().cast("array<string>")),
         )
 
-    scanned = plain.withColumnRenamed("slug", "src").join(possible, ["src", "part"]).select(
-        "src", F.explode_outer(found(F.col("text"), F.col("names"))).alias("name")
-    ).where(F.col("name").isNotNull())
+    # a left join, so the texts are never the side that Spark broadcasts
+    scanned = plain.withColumnRenamed("slug", "src").join(possible, ["src", "part"], "left")
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    scanned = scanned.select("src", F.explode_outer(found(F.col("text"), names)).alias("name")).where(
+        F.col("name").isNotNull()
+    )
     return (
         scanned.join(dictionary.withColumnRenamed("slug", "dst"), "name")
         .where(F.col("src") != F.col("dst"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import or_blank, slug, strip
+from quillstone.functions.text import let, or_blank, slug, strip
 from quillstone.operators.mentions import citation, reading_order
 from quillstone.operators.ranking import first_per_group, joined_in_order
 from quillstone.sources.storage import pinned
@@ -95,8 +95,10 @@ def distinct_texts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def entity_facets(mentions: DataFrame, facets=FACETS, n: int = 3) -> DataFrame:
     """Up to ``n`` distinct texts per entity and facet whose text contains one of the facet's words."""
-    low = F.lower("text")
-    hit = F.array_compact(F.array(*[F.when(has_any(low, words), F.lit(name)) for name, words in facets]))
+    hit = let(
+        F.lower("text"),
+        lambda low: F.array_compact(F.array(*[F.when(has_any(low, words), F.lit(name)) for name, words in facets])),
+    )
     rows = mentions.withColumn("facet", F.explode_outer(hit)).where(F.col("facet").isNotNull())
     keys = ["canonical", "facet"]
     return first_per_group(distinct_texts(rows, keys), keys, [F.col("ord")], n).select(
@@ -121,8 +123,11 @@ def continuity_conflicts(mentions: DataFrame, death: str = DEATH_HINTS, alive: s
 
 def tag_columns(rules) -> tuple[list[Column], Column]:
     """Aggregates that test the tag rules, and the array of tags made from their results."""
-    low = F.lower("text")
-    tests = [F.bool_or(has_any(low, words)).alias(f"_tag{i}") for i, (_, words) in enumerate(rules)]
+
+    def holds(words: Sequence[str]) -> Column:
+        return let(F.lower("text"), lambda low: has_any(low, words))
+
+    tests = [F.bool_or(holds(words)).alias(f"_tag{i}") for i, (_, words) in enumerate(rules)]
     tags = F.array_compact(F.array(*[F.when(F.col(f"_tag{i}"), F.lit(name)) for i, (name, _) in enumerate(rules)]))
     return tests, tags
 
@@ -188,7 +193,7 @@ def entity_timeline(mentions: DataFrame, n: int = 6) -> DataFrame:
 
 
 def notable_events(mentions: DataFrame, words: Sequence[str] = NOTABLE_WORDS, n: int = 5) -> DataFrame:
-    rows = distinct_texts(mentions.where(has_any(F.lower("text"), words)), ["canonical"])
+    rows = distinct_texts(mentions.where(let(F.lower("text"), lambda low: has_any(low, words))), ["canonical"])
     return first_per_group(rows, ["canonical"], [F.col("ord")], n).select(
         "canonical", "rank", "session", "text", F.col("cite").alias("source")
     )
