@@ -9,21 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Lexicons on words that occur in the test documents.
-TOPICS = (
-    ("articles", (r"\bthe\b", r"\ban?\b", r"\bth\w*\b")),
-    ("joining", (r"\band\b", r"\bor\b", r"\bwith\b")),
-    ("places", (r"\bin\b", r"\bon\b", r"\bat\b")),
-    ("endings", (r"tion\b", r"ing\b")),
-    ("absent", (r"\bzzyzx\b",)),
-)
-ENTITIES = (
-    ("The", r"\bthe\b"),
-    ("Nation", r"tion\b|ation\b"),
-    ("French", r"\bles?\b|\bque\b"),
-    ("German", r"\bund\b|\bder\b"),
-    ("Absent", r"\bzzyzx\b"),
-)
-# the same lexicons without word boundaries, whose meaning differs between regular-expression engines
+# no word boundaries, because their meaning differs between regular-expression engines
 PLAIN_TOPICS = (
     ("articles", ("the", "th[a-z]*")),
     ("joining", ("and", "with")),
@@ -245,10 +231,6 @@ def edge_articles(spark, sf):
     ).distinct().select("slug", F.upper("slug").alias("title"), F.lit("general").alias("category"), F.lit(0).cast("long").alias("part"))
 
 
-def epoch(c):
-    return F.unix_micros(F.col(c).cast("timestamp")).cast("double") / 1000000
-
-
 def requests(spark, sf):
     events = table(spark, sf, "events")
     names = catalog(spark, sf).select("pos", "canonical")
