@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a fresh local folder is set.
+    Only a session on one machine (tests) may name none; a fresh local folder is set there. On a cluster
+    that would be a folder the executors cannot read, so it is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillstone-", dir="/tmp")
         context.setCheckpointDir(root)
     elif context.getCheckpointDir() is None:
@@ -31,3 +34,10 @@ def pinned(df: DataFrame) -> DataFrame:
     """The same rows read back from reliable storage, so later stages never recompute them."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written as a table in the shared folder and read back: lineage ends here."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
