@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, mixing, url_filter
+from quillstone.llm import chat, langid, mixing, packing, quality_crf, url_filter
 
 
 def documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def fold(key: str, folds: int) -> Column:
+    """Fold of an id: crc32 of its text, modulo ``folds``."""
+    return F.crc32(F.col(key).cast("string")) % folds
+
+
+def op1_line_crf(spark, sf):
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality_crf.learn_quality(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality_crf.score_quality(docs.select("doc_id", "text"), field).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op2_configuration_packing(spark, sf):
+    import public_tokenizers
+
+    return packing.pack_documents(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_entropy_mix(spark, sf):
     return mixing.mix(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
@@ -19,6 +42,14 @@ def op4_link_trust(spark, sf):
     return url_filter.judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op7_word_backoff(spark, sf):
+    docs = documents(spark, sf)
+    model = langid.learn_languages(docs.where(fold("doc_id", 4) != 2))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op8_prefix_targets(spark, sf):
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -31,6 +62,15 @@ def op8_prefix_targets(spark, sf):
     return chat.digest(chat.prefix_targets(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix, op4_link_trust, op8_prefix_targets)}
-
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_crf,
+        op2_configuration_packing,
+        op3_entropy_mix,
+        op4_link_trust,
+        op7_word_backoff,
+        op8_prefix_targets,
+    )
+}
 ORACLES = {}
