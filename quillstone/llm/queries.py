@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, langid, mixing, packing, quality_crf, url_filter
+from quillstone.llm import chat, langid, mixing, packing, quality_crf, simhash, url_filter
 
 
 def documents(spark, sf):
@@ -42,6 +42,10 @@ def op4_link_trust(spark, sf):
     return url_filter.judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op5_popcount_grid(spark, sf):
+    return simhash.near_duplicates(documents(spark, sf))
+
+
 def op7_word_backoff(spark, sf):
     docs = documents(spark, sf)
     model = langid.learn_languages(docs.where(fold("doc_id", 4) != 2))
@@ -69,6 +73,7 @@ QUERIES = {
         op2_configuration_packing,
         op3_entropy_mix,
         op4_link_trust,
+        op5_popcount_grid,
         op7_word_backoff,
         op8_prefix_targets,
     )
