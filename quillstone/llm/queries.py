@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, langid, mixing, packing, quality_crf, simhash, url_filter
+from quillstone.llm import chat, langid, mixing, packing, quality_crf, simhash, url_filter, vector_join
 
 
 def documents(spark, sf):
@@ -66,6 +66,10 @@ def op8_prefix_targets(spark, sf):
     return chat.digest(chat.prefix_targets(rows.unionByName(extra)))
 
 
+def op9_pivot_range_join(spark, sf):
+    return vector_join.link_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op5_popcount_grid,
         op7_word_backoff,
         op8_prefix_targets,
+        op9_pivot_range_join,
     )
 }
 ORACLES = {}
