@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, langid, mixing, packing, quality_crf, simhash, url_filter, vector_join
+from quillstone.llm import chat, langid, mixing, packing, quality_crf, search, simhash, url_filter, vector_join
 
 
 def documents(spark, sf):
@@ -46,6 +46,11 @@ def op5_popcount_grid(spark, sf):
     return simhash.near_duplicates(documents(spark, sf))
 
 
+def op6_block_max_search(spark, sf):
+    """Every document whose id is divisible by 20 is a query, with its whole text."""
+    return search.search(documents(spark, sf), F.col("doc_id") % 20 == 0)
+
+
 def op7_word_backoff(spark, sf):
     docs = documents(spark, sf)
     model = langid.learn_languages(docs.where(fold("doc_id", 4) != 2))
@@ -78,6 +83,7 @@ QUERIES = {
         op3_entropy_mix,
         op4_link_trust,
         op5_popcount_grid,
+        op6_block_max_search,
         op7_word_backoff,
         op8_prefix_targets,
         op9_pivot_range_join,
