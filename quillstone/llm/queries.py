@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, langid, mixing, packing, quality_crf, search, simhash, url_filter, vector_join
+from quillstone.llm import chat, langid, mixing, packing, quality_crf, search, simhash, suffix_dedup, url_filter, vector_join
 
 
 def documents(spark, sf):
@@ -75,6 +75,10 @@ def op9_pivot_range_join(spark, sf):
     return vector_join.link_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op10_suffix_array(spark, sf):
+    return suffix_dedup.drop_repeats(documents(spark, sf)).drop("kept_text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES = {
         op7_word_backoff,
         op8_prefix_targets,
         op9_pivot_range_join,
+        op10_suffix_array,
     )
 }
 ORACLES = {}
