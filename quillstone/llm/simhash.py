@@ -30,6 +30,7 @@ from quillstone.sources.storage import stored
 
 SEGMENTS = 32  #: of two bits each
 PAIRS = 1 << 21  #: verified at once
+BLOCK = 256  #: rows of a matrix of pairs
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -95,8 +96,19 @@ def linked_in_runs(cell: np.ndarray, fp: np.ndarray, visit: np.ndarray, fresh: i
     start = begins[run]
     meets = np.minimum(np.arange(n) - start, residents[run])
     meets[:fresh] = 0
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin, homes, size in zip(begins, residents, np.diff(np.append(begins, n)), strict=True):
+        if homes >= BLOCK:  # a large cell is compared as blocks of a matrix
+            for i in range(max(begin, fresh), begin + size, BLOCK):
+                rows = fp[i : min(i + BLOCK, begin + size)]
+                for j in range(begin, min(begin + homes, i + BLOCK), 16 * BLOCK):
+                    others = fp[j : min(j + 16 * BLOCK, begin + homes)]
+                    x, y = np.nonzero(np.bitwise_count(rows[:, None] ^ others) <= distance)
+                    a, b = stars(rows[x].view(np.int64), others[y].view(np.int64))
+                    out_a.append(a)
+                    out_b.append(b)
+            meets[begin : begin + size] = 0
     reach = np.cumsum(meets)
-    out_a, out_b = [], []
     at = 0
     while at < n:
         stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + PAIRS, side="right")))
@@ -138,6 +150,18 @@ def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "visit").mapInArrow(joined, "a long, b long")
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4) -> DataFrame:
+    """The documents but for those whose component has a smaller key; of rows that share a key one stays.
+
+    Rows without a key are not judged and stay.
+    """
+    judged = stored(near_duplicates(docs.where(F.col(key).isNotNull()), key, text, distance, width).select(key, "component_id"), "simhash-judged")
+    dropped = judged.where(F.col(key) != F.col("component_id")).select(key)
+    again = judged.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    left = docs.join(dropped, key, "left_anti")
+    return left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key])).select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4) -> DataFrame:
     """key, fingerprint (16 hex digits), component_id (smallest key within reach) of every document."""
     marked = stored(fingerprints(docs, key, text, width), "simhash")

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.llm.arrow_text import bytes_list, prefix_hashes, slices, span_hashes
 from quillstone.sources.storage import stored
@@ -407,23 +408,43 @@ def named_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(named, "t1 long, t2 long, docno long, t string")
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept_text of every document.
+def cut_results(info: DataFrame, docs: DataFrame, length: int, depth: int) -> DataFrame:
+    """(t1, t2, n_removed, n_spans, cut_sha, kept) of the texts that lose bytes; null n_removed: all."""
+    ranges = stored(repeated_ranges(info, docs, length, depth), "suffix-ranges")
+    cut = cut_texts(docs.join(ranges, ["t1", "t2", "docno"]), length).dropDuplicates(["t1", "t2"])
+    copies = info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(F.count("*").alias("holders")).where("holders > 1")
+    whole = copies.select(
+        "t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("kept")
+    )
+    return cut.unionByName(whole).withColumnRenamed("sha", "cut_sha")
 
-    ``kept_text`` is null where nothing is removed; bytes of a character that is cut apart are left out of it.
-    """
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     info = stored(describe(docs, key, text, length), "suffix-info")
-    bodies = named_texts(docs, key, text)
-    ranges = stored(repeated_ranges(info, bodies, length, depth), "suffix-ranges")
-    cut = cut_texts(bodies.join(ranges, ["t1", "t2", "docno"]), length).dropDuplicates(["t1", "t2"])
-    copies = info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(F.count("*").alias("holders")).where("holders > 1")
-    whole = copies.select("t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("kept"))
-    found = cut.unionByName(whole).withColumnRenamed("sha", "cut_sha")
+    found = cut_results(info, named_texts(docs, key, text), length, depth).drop("kept")
     return info.select("key", "n_bytes", "sha", "t1", "t2").join(found, ["t1", "t2"], "left").select(
         F.col("key").alias(key),
         "n_bytes",
         F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("cut_sha", "sha").alias("kept_sha256"),
-        F.col("kept").alias("kept_text"),
     )
+
+
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
+    """The documents with what is left of their texts; what is left of a character that is cut apart goes too."""
+    info = stored(describe(docs, key, text, length), "suffix-info")
+    found = stored(cut_results(info, named_texts(docs, key, text), length, depth).select("t1", "t2", "kept"), "suffix-kept")
+    names = [c for c in ("_t1", "_t2")]
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            found = [_name(t) for t in bytes_list(part.column(text))]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, *(pa.array([n[i] for n in found], pa.int64()) for i in (0, 1))], names=[*part.schema.names, *names]
+            )
+
+    joined = docs.mapInArrow(marked, shape).join(found, (F.col("_t1") == found["t1"]) & (F.col("_t2") == found["t2"]), "left")
+    return joined.withColumn(text, F.coalesce("kept", text)).select(docs.columns)
