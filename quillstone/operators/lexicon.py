@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import left, let, stripped_lines
 
+ANY_CASE = "(?iU)"  #: ignoring case, with word characters and borders of all scripts
 Topics = Sequence[tuple[str, Sequence[str]]]
 Entities = Sequence[tuple[str, str]]
 
@@ -22,7 +24,7 @@ def count_hits(text: Column, patterns: Sequence[str]) -> Column:
     low = F.lower(text)
     total = F.lit(0).cast("long")
     for p in patterns:
-        total = total + F.regexp_count(low, F.lit("(?i)" + p))
+        total = total + F.regexp_count(low, F.lit(ANY_CASE + p))
     return total
 
 
@@ -66,7 +68,6 @@ def topic_scores(index: DataFrame, books: DataFrame, lexicon: Topics) -> DataFra
         F.count("*").alias("citation_count"),
     )
     total = books.agg(F.greatest(F.count_distinct("book"), F.lit(1)).alias("n")).scalar()
-    most = per_topic.agg(F.coalesce(F.max("total_hits"), F.lit(0)).alias("m")).scalar()
     names = lexicon_names(index.sparkSession, lexicon).withColumnRenamed("name", "topic")
     zero = F.lit(0).cast("long")
     filled = names.join(per_topic, "topic", "left").select(
@@ -76,7 +77,7 @@ def topic_scores(index: DataFrame, books: DataFrame, lexicon: Topics) -> DataFra
         total.alias("coverage_total_books"),
         F.coalesce("total_hits", zero).alias("total_hits"),
         F.coalesce("citation_count", zero).alias("citation_count"),
-        most.alias("_most"),
+        F.max("total_hits").over(W.partitionBy()).alias("_most"),  # one row per topic of the lexicon
     )
     ratio = F.when(F.col("_most") > 0, F.col("total_hits") / F.col("_most")).otherwise(0.0)
     coverage = F.col("coverage_books") / F.col("coverage_total_books")
@@ -93,7 +94,7 @@ def topic_ranking(scores: DataFrame) -> DataFrame:
 
 def pick_line(text: Column, lines: Column, pattern: str, width: int = 260, fallback: int = 220) -> Column:
     """First line that matches, else the beginning of the text."""
-    found = F.get(F.filter(lines, lambda s: (s != "") & s.rlike("(?i)" + pattern)), F.lit(0))
+    found = F.get(F.filter(lines, lambda s: (s != "") & s.rlike(ANY_CASE + pattern)), F.lit(0))
     return F.coalesce(left(found, width), left(text, fallback))
 
 
@@ -106,7 +107,7 @@ def tag_entities(pages: DataFrame, lexicon: Entities, keep: Sequence[str] = ("bo
             F.array(
                 *[
                     F.when(
-                        v["low"].rlike("(?i)" + p),
+                        v["low"].rlike(ANY_CASE + p),
                         F.struct(F.lit(name).alias("entity"), pick_line(text, v["lines"], p).alias("snippet")),
                     )
                     for name, p in lexicon

@@ -14,8 +14,8 @@ from quillstone.operators.ranking import first_per_group, joined_in_order
 from quillstone.sources.storage import pinned
 
 # Word lists and labels of an entity profile.
-DEATH_HINTS = r"(?i)\b(died|dead|killed|slain|passed away|deceased|death)\b"
-ALIVE_HINTS = r"(?i)\b(alive|survived|returns?|back again|still active|still around)\b"
+DEATH_HINTS = r"(?iU)\b(died|dead|killed|slain|passed away|deceased|death)\b"
+ALIVE_HINTS = r"(?iU)\b(alive|survived|returns?|back again|still active|still around)\b"
 FACETS = (
     ("physical", ("looks", "appearance", "tall", "short", "hair", "eyes", "face", "tattoo", "scar")),
     ("capabilities", ("can ", "able to", "skill", "hacking", "deck", "combat", "spell", "drone", "pilot")),

@@ -1,5 +1,6 @@
-"""Column helpers against small loops that follow the rules of the survey."""
+"""Column helpers by properties of their results and by written cases."""
 
+import itertools
 import random
 import re
 
@@ -26,31 +27,6 @@ def evaluate(spark, texts, column):
     return [r[0] for r in df.select("i", column.alias("v")).orderBy("i").select("v").collect()]
 
 
-def dedupe(lines):
-    out, prev = [], None
-    for line in lines:
-        s = line.strip()
-        if s and s == prev:
-            continue
-        out.append(line)
-        prev = s or prev
-    return out
-
-
-def wrapped(lines):
-    out, i = [], 0
-    while i < len(lines):
-        here = lines[i].rstrip()
-        there = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
-        if here and there and here[-1] not in ".:;!?" and there[0].islower():
-            out.append(here + " " + there)
-            i += 2
-        else:
-            out.append(lines[i])
-            i += 1
-    return out
-
-
 def test_lines(spark):
     texts = ["", "\n", "a", "a\n", "a\r\nb\x1cc d\n\n", "\n\na"]
     assert evaluate(spark, texts, X.lines(F.col("text"))) == [t.splitlines() for t in texts]
@@ -67,10 +43,35 @@ def test_title_case(spark):
     assert evaluate(spark, texts, X.title_case(F.col("text"))) == [t.title() for t in texts]
 
 
-def test_line_steps(spark):
+def test_repeated_lines_go(spark):
+    texts = list(random_texts(150, 1))
+    got = evaluate(spark, texts, C.dedupe_consecutive_lines(X.lines(F.col("text"))))
+    for text, after in zip(texts, got, strict=True):
+        before = text.splitlines()
+        full = lambda ls: [x.strip() for x in ls if x.strip()]
+        assert all(x != y for x, y in itertools.pairwise(full(after)))
+        assert full(after) == [k for k, _ in itertools.groupby(full(before))]
+        assert len(after) - len(full(after)) == len(before) - len(full(before))
+    cases = {"a\na\n\n a \nb": ["a", "", "b"], "a\nb\na": ["a", "b", "a"], "\n\n": ["", ""]}
+    assert evaluate(spark, list(cases), C.dedupe_consecutive_lines(X.lines(F.col("text")))) == list(cases.values())
+
+
+def test_wrapped_lines_join(spark):
     texts = list(random_texts(150, 1))
-    for step, loop in ((C.dedupe_consecutive_lines, dedupe), (C.join_wrapped_lines, wrapped)):
-        assert evaluate(spark, texts, step(X.lines(F.col("text")))) == [loop(t.splitlines()) for t in texts]
+    got = evaluate(spark, texts, C.join_wrapped_lines(X.lines(F.col("text"))))
+    for text, after in zip(texts, got, strict=True):
+        assert "".join("".join(after).split()) == "".join(text.split())
+        assert text.count("\n") // 2 <= len(after) <= len(text.splitlines())
+    cases = {
+        "one two\nthree\nfour": ["one two three", "four"],
+        "The end.\nnext": ["The end.", "next"],
+        "No\nCapital": ["No", "Capital"],
+        "gap\n\nmore": ["gap", "", "more"],
+        "trail  \n  lead": ["trail lead"],
+        "a\nb\nc\nd": ["a b", "c d"],
+        "last": ["last"],
+    }
+    assert evaluate(spark, list(cases), C.join_wrapped_lines(X.lines(F.col("text")))) == list(cases.values())
 
 
 def test_clean_text_is_stable(spark):
@@ -136,3 +137,13 @@ def test_clip(spark):
 def test_fold_case(spark):
     texts = ["Straße", "STRASSE", "ẞ", "Éa"]
     assert evaluate(spark, texts, X.fold_case(F.col("text"))) == [t.casefold() for t in texts]
+
+
+def test_lexicon_patterns_know_all_scripts(spark):
+    from quillstone.operators.lexicon import count_hits, tag_entities
+
+    texts = ["Die größe, GRÖSSE und Größen", "groß", "über-Über xüber"]
+    assert evaluate(spark, texts, count_hits(F.col("text"), [r"gr\w*e\b"])) == [2, 0, 0]
+    assert evaluate(spark, texts, count_hits(F.col("text"), [r"\büber\b"])) == [0, 0, 2]
+    pages = spark.createDataFrame([("b", 1, texts[0])], "book string, page int, text string")
+    assert [r["entity"] for r in tag_entities(pages, [("Size", r"\bgröß\w+n\b")]).collect()] == ["Size"]
