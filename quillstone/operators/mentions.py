@@ -270,3 +270,17 @@ def extend_catalog(requests: DataFrame, catalog: DataFrame, default_type: str =
             F.array().cast("array<string>").alias("synonyms"),
         )
     )
+
+
+def settle_names(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Requests with the ``canonical`` name they get in the catalog extended by their own new names.
+
+    ``is_new`` marks the first request for a new name, the one that adds it.
+    """
+    known = resolve_canonical(requests, catalog)
+    settled = resolve_canonical(requests, extend_catalog(requests, catalog))
+    first = known.where(F.col("canonical").isNull()).groupBy(name_key(F.col("entity")).alias("_key")).agg(
+        F.min("request_id").alias("request_id")
+    )
+    firsts = first.select("request_id", F.lit(True).alias("_first"))
+    return settled.join(firsts, "request_id", "left").withColumn("is_new", F.coalesce("_first", F.lit(False))).drop("_first", "type", "synonyms")

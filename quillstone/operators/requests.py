@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import left, lines, not_blank, or_blank, slug, strip
 from quillstone.operators.mentions import match_terms
-from quillstone.operators.ranking import first_per_group, joined_in_order
+from quillstone.operators.ranking import first_per_group, joined_in_order, rank_in_group
 
 # States, request types, work-log texts and limits of the queue.
 OPEN_STATES = ("incoming", "pending")
@@ -143,11 +143,11 @@ def select_open_requests(queue: DataFrame) -> DataFrame:
     return queue.where(state.isin(list(OPEN_STATES)) & (strip(or_blank(F.col("entity"))) != ""))
 
 
-def find_mentions(terms: DataFrame, log_lines: DataFrame, pages: DataFrame, cap: int = MENTION_CAP) -> DataFrame:
+def find_mentions(terms: DataFrame, log_lines: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
     """Cited mentions of names: (canonical, rank, domain, source, excerpt).
 
     ``terms`` has (canonical, term). Lines of logs (source, line_no, text) come first, then pages
-    (source, page, text) with their first matching line. Each name keeps its first ``cap`` mentions.
+    (source, page, text) with their first matching line. With a ``cap`` each name keeps that many first mentions.
     """
     keys = terms.select("canonical", F.lower("term").alias("term")).where(F.col("term") != "").distinct()
     excerpt = left(strip(F.col("text")), 280)
@@ -182,9 +182,12 @@ def find_mentions(terms: DataFrame, log_lines: DataFrame, pages: DataFrame, cap:
         )
     )
     order = [F.col("domain_rank"), F.col("file"), F.col("place")]
-    return first_per_group(from_logs.unionByName(from_pages), ["canonical"], order, cap).select(
-        "canonical", F.col("rank").cast("long").alias("rank"), "domain", "source", "excerpt"
-    )
+    both = from_logs.unionByName(from_pages)
+    if cap is None:
+        ranked = rank_in_group(both, ["canonical"], ["domain_rank", "file", "place"], "rank")
+    else:
+        ranked = first_per_group(both, ["canonical"], order, cap)
+    return ranked.select("canonical", F.col("rank").cast("long").alias("rank"), "domain", "source", "excerpt")
 
 
 def complete_requests(
@@ -197,14 +200,13 @@ def complete_requests(
 ) -> DataFrame:
     """Resolved open requests in their final state.
 
-    ``requests`` carry ``canonical`` (null for a new name). With an article of that slug the request is
-    integrated and points to it, else it is researched and points to its dossier.
+    ``requests`` carry ``canonical`` and ``is_new`` (``mentions.settle_names``). With an article of that slug the
+    request is integrated and points to it, else it is researched and points to its dossier. A time at which work
+    started stays, and so do all other columns of the queue.
     """
     counts = mentions.groupBy("canonical").agg(F.count("*").alias("n_mentions"))
     present = articles.select("slug").distinct().withColumn("_there", F.lit(True))
-    named = requests.withColumn("is_new", F.col("canonical").isNull()).withColumn(
-        "resolved_entity", F.coalesce("canonical", strip(F.col("entity")))
-    )
+    named = requests.withColumn("resolved_entity", F.coalesce("canonical", strip(F.col("entity"))))
     rows = (
         named.withColumn("slug", slug(F.col("resolved_entity")))
         .join(present, "slug", "left")
@@ -217,26 +219,36 @@ def complete_requests(
         F.concat(F.lit("research dossier written ("), n.cast("string"), F.lit(" mentions)"))
     )
     started = append_history(F.col("history"), ts, "in_progress", "queue processor started work")
-    return rows.select(
-        "request_id",
-        "ts",
-        "entity",
-        "note",
+    before = F.col("started_at") if "started_at" in requests.columns else F.lit(None).cast("long")
+    done = [
+        F.col("request_id"),
+        F.col("ts"),
+        F.col("entity"),
+        F.col("note"),
+        F.lower(strip(or_blank(F.col("status")))).alias("asked_status"),
         F.lit("completed").alias("status"),
         F.when(there, "integrated").otherwise("researched").alias("result"),
-        "resolved_entity",
-        "slug",
-        "is_new",
+        F.col("resolved_entity"),
+        F.col("slug"),
+        F.col("is_new"),
         n.alias("n_mentions"),
         F.concat(F.when(there, F.lit(article_root)).otherwise(F.lit(dossier_root)), F.lit("/"), "slug", F.lit(".md")).alias("output"),
         F.coalesce("created_at", F.nullif(F.col("ts"), F.lit(0)), ts).alias("created_at"),
         ts.alias("updated_at"),
-        ts.alias("started_at"),
+        F.coalesce(before, ts).alias("started_at"),
         ts.alias("completed_at"),
         F.when(~there, ts).alias("researched_at"),
-        "source_submission_id",
+        F.col("source_submission_id"),
         append_history(started, ts, "completed", detail).alias("history"),
-    )
+    ]
+    fixed = rows.select(*done).columns
+    return rows.select(*done, *[c for c in requests.columns if c not in fixed and c != "canonical"])
+
+
+def write_back(queue: DataFrame, completed: DataFrame) -> DataFrame:
+    """The whole queue after a run: completed requests in their new state, all other rows as they were."""
+    rest = queue.join(completed.select("request_id"), "request_id", "left_anti")
+    return rest.unionByName(completed, allowMissingColumns=True)
 
 
 def request_audit(completed: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
@@ -278,7 +290,7 @@ def dossier_rows(completed: DataFrame, catalog: DataFrame, mentions: DataFrame)
     """
     researched = completed.where(F.col("result") == "researched")
     last = researched.groupBy("slug").agg(
-        F.max_by(F.struct("resolved_entity", "entity", "note", "n_mentions"), "request_id").alias("r")
+        F.max_by(F.struct("resolved_entity", "entity", "note", "n_mentions", "asked_status"), "request_id").alias("r")
     ).select("slug", "r.*")
     cited = F.concat(
         F.lit("- **"), "domain", F.lit("** - "), "excerpt", F.lit("\n  - Source: `"), "source", F.lit("`")
@@ -296,10 +308,11 @@ def dossier_rows(completed: DataFrame, catalog: DataFrame, mentions: DataFrame)
     ).otherwise("")
     body = F.concat(
         F.lit("# Campaign Entity Dossier: "), "resolved_entity",
-        F.lit("\n\n- Pipeline status: **researched_from_queue**\n- Entity type: **"),
+        F.lit("\n\n- Pipeline status: **researched_from_queue**\n- Queue status at processing: **"), "asked_status",
+        F.lit("**\n- Entity type: **"),
         F.coalesce("c.type", F.lit("Unknown")),
         F.lit("**\n- Synonyms: "), synonyms,
-        F.lit("\n- Requested as: **"), "entity",
+        F.lit("\n- Requested as: **"), strip(F.col("entity")),
         F.lit("**\n- Mentions found: **"), F.col("n_mentions").cast("string"), F.lit("**\n\n"),
         note,
         F.lit("## Cited Mentions\n\n"),

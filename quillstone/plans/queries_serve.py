@@ -353,14 +353,18 @@ LEGACY = "lower(trim(status)) IN ('researched', 'integrated')"
 DONE_AT = "coalesce(completed_at, researched_at, ts)"
 REQUEST_CTES = dict(
     queue="""SELECT *, CASE WHEN event_id % 5 = 0 THEN ts - 10 END AS created_at, CASE WHEN event_id % 5 = 1 THEN ts + 5 END AS updated_at,
-      CASE WHEN event_id % 5 = 2 THEN ts + 9 END AS completed_at, CASE WHEN event_id % 5 = 3 THEN ts + 7 END AS researched_at,
+      CASE WHEN event_id % 5 = 2 THEN ts + 9 END AS completed_at, CASE WHEN event_id % 5 = 3 THEN ts + 7 END AS researched_at, CASE WHEN event_id % 7 = 1 THEN ts + 3 END AS started_at,
       CASE WHEN event_id % 6 = 0 THEN '[{"ts":' || ts || ',"event":"incoming","detail":""}]' END AS history FROM requests""",
     opened="SELECT * FROM queue WHERE lower(trim(status)) IN ('incoming', 'pending') AND trim(entity) <> ''",
     names=r"""SELECT pos, canonical, unnest([canonical] || synonyms) AS n FROM catalog""",
     keyed="SELECT lower(n) AS k, min_by(canonical, pos) AS canonical FROM names GROUP BY lower(n)",
     resolved="SELECT o.*, k.canonical FROM opened o LEFT JOIN keyed k ON k = lower(trim(entity))",
-    fresh="""SELECT (SELECT max(pos) FROM catalog) + 1 + min(request_id) AS pos, trim(min_by(entity, request_id)) AS canonical FROM resolved
+    fresh="""SELECT (SELECT max(pos) FROM catalog) + 1 + min(request_id) AS pos, trim(min_by(entity, request_id)) AS canonical, min(request_id) AS first_id FROM resolved
       WHERE canonical IS NULL GROUP BY lower(trim(entity))""",
+    all_names="SELECT pos, canonical, n FROM names UNION ALL SELECT pos, canonical, canonical FROM fresh",
+    all_keyed="SELECT lower(n) AS k, min_by(canonical, pos) AS canonical FROM all_names GROUP BY lower(n)",
+    settled="""SELECT r.* EXCLUDE (canonical), k.canonical, r.request_id IN (SELECT first_id FROM fresh) AS is_new
+      FROM resolved r JOIN all_keyed k ON k = lower(trim(entity))""",
     extended="""SELECT pos, canonical, type, array_to_string(synonyms, '|') AS synonyms FROM catalog
       UNION ALL SELECT pos, canonical, 'Unknown', '' FROM fresh""",
 )
@@ -394,6 +398,10 @@ def resolved(spark, sf):
     return M.resolve_canonical(opened(spark, sf), V.catalog(spark, sf))
 
 
+def settled(spark, sf):
+    return M.settle_names(opened(spark, sf), V.catalog(spark, sf))
+
+
 query("select_open_requests", requests_sql("SELECT request_id, entity, status FROM opened"))(
     lambda spark, sf: opened(spark, sf).select("request_id", "entity", "status")
 )
@@ -408,7 +416,7 @@ HAS = """(contains(norm, term) AND (contains(norm, ' ' || term || ' ') OR contai
     OR contains(norm, '|' || term || ' ') OR contains(norm, '|' || term || '|')))"""
 NORM = r"'|' || regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '|', 'g') || '|'"
 FOUND = dict(
-    all_terms="SELECT DISTINCT canonical, lower(n) AS term FROM names WHERE n <> ''",
+    all_terms="SELECT DISTINCT canonical, lower(n) AS term FROM all_names WHERE n <> ''",
     logs=f"SELECT 'doc' || doc_id AS source, line_no, text, {NORM} AS norm FROM doc_lines",
     page_lines=f"""SELECT 'conv' || conv_id AS source, turn AS page, i, text, {NORM} AS norm FROM (SELECT conv_id, turn,
       unnest(string_split(text, {NL})) AS text, generate_subscripts(string_split(text, {NL}), 1) AS i FROM conversations)""",
@@ -420,7 +428,7 @@ FOUND = dict(
 
 
 def found(spark, sf):
-    catalog = V.catalog(spark, sf)
+    catalog = M.extend_catalog(opened(spark, sf), V.catalog(spark, sf))
     terms = catalog.select("canonical", F.explode(F.concat(F.array("canonical"), "synonyms")).alias("term"))
     log_lines = S.doc_lines(V.documents(spark, sf)).select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "line_no", "text"
@@ -428,7 +436,7 @@ def found(spark, sf):
     pages = table(spark, sf, "conversations").select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("source"), F.col("turn").alias("page"), "text"
     )
-    return R.find_mentions(terms, log_lines, pages)
+    return R.find_mentions(terms, log_lines, pages, cap=R.MENTION_CAP)
 
 
 query("find_mentions", requests_sql("SELECT * FROM found", "doc_lines", **FOUND))(found)
@@ -440,14 +448,14 @@ def slugs(spark, sf):
 
 
 def completed(spark, sf):
-    return R.complete_requests(resolved(spark, sf), found(spark, sf), slugs(spark, sf), F.lit(NOW))
+    return R.complete_requests(settled(spark, sf), found(spark, sf), slugs(spark, sf), F.lit(NOW))
 
 
 COMPLETED = dict(
     **FOUND,
     have=f"SELECT DISTINCT {slug_sql('canonical')} AS slug FROM catalog WHERE pos % 3 = 0",
     counts="SELECT canonical AS c, count(*) AS n FROM found GROUP BY canonical",
-    named=f"SELECT *, coalesce(canonical, trim(entity)) AS resolved_entity, canonical IS NULL AS is_new FROM resolved",
+    named="SELECT *, canonical AS resolved_entity FROM settled",
     completed=f"""SELECT *, {slug_sql('resolved_entity')} AS slug, coalesce(n, 0) AS n_mentions,
       CASE WHEN {slug_sql('resolved_entity')} IN (SELECT slug FROM have) THEN 'integrated' ELSE 'researched' END AS result FROM named LEFT JOIN counts ON c = resolved_entity""",
 )
@@ -459,13 +467,15 @@ DETAIL = """CASE WHEN result = 'integrated' THEN 'already present in canonical c
     "complete_requests",
     requests_sql(
         f"""SELECT request_id, result, resolved_entity, n_mentions, CASE WHEN result = 'integrated' THEN 'entities/' ELSE 'requests/' END || slug || '.md' AS output,
-        coalesce(created_at, ts) AS created_at FROM completed""",
+        coalesce(created_at, ts) AS created_at, coalesce(started_at, CAST({NOW} AS BIGINT)) AS started_at, is_new, submitter FROM completed""",
         "doc_lines",
         **COMPLETED,
     ),
 )
 def complete_requests(spark, sf):
-    return completed(spark, sf).select("request_id", "result", "resolved_entity", "n_mentions", "output", "created_at")
+    return completed(spark, sf).select(
+        "request_id", "result", "resolved_entity", "n_mentions", "output", "created_at", "started_at", "is_new", "submitter"
+    )
 
 
 @query(
@@ -500,10 +510,28 @@ def request_audit(spark, sf):
     )
 
 
-@query("dossier_rows")
+@query(
+    "dossier_rows",
+    requests_sql(
+        """SELECT slug, '# Campaign Entity Dossier: ' || resolved_entity || chr(10) || chr(10) || '- Pipeline status: **researched_from_queue**' || chr(10)
+        || '- Queue status at processing: **' || lower(trim(status)) || '**' || chr(10) || '- Entity type: **' || type || '**' || chr(10)
+        || '- Synonyms: ' || CASE WHEN syn = '' THEN '_None_' ELSE syn END || chr(10) || '- Requested as: **' || trim(entity) || '**' || chr(10)
+        || '- Mentions found: **' || n_mentions || '**' || chr(10) || chr(10)
+        || CASE WHEN note = '' THEN '' ELSE '- Request note: ' || note || chr(10) || chr(10) END
+        || '## Cited Mentions' || chr(10) || chr(10) || coalesce(cited, '_No mentions found yet._') || chr(10) AS body
+        FROM last JOIN every USING (resolved_entity) LEFT JOIN lists USING (resolved_entity)""",
+        "doc_lines",
+        **COMPLETED,
+        last="SELECT * FROM completed WHERE result = 'researched' QUALIFY row_number() OVER (PARTITION BY slug ORDER BY request_id DESC) = 1",
+        every="""SELECT canonical AS resolved_entity, min_by(type, pos) AS type, min_by(syn, pos) AS syn FROM (
+          SELECT pos, canonical, type, array_to_string(synonyms, ', ') AS syn FROM catalog UNION ALL SELECT pos, canonical, 'Unknown', '' FROM fresh) GROUP BY canonical""",
+        lists="""SELECT canonical AS resolved_entity, string_agg('- **' || domain || '** - ' || excerpt || chr(10) || '  - Source: `' || source || '`', chr(10) ORDER BY rank) AS cited
+          FROM found GROUP BY canonical""",
+    ),
+)
 def dossier_rows(spark, sf):
     mentions = pinned(found(spark, sf))
-    done = R.complete_requests(resolved(spark, sf), mentions, slugs(spark, sf), F.lit(NOW))
+    done = R.complete_requests(settled(spark, sf), mentions, slugs(spark, sf), F.lit(NOW))
     return R.dossier_rows(done, M.extend_catalog(opened(spark, sf), V.catalog(spark, sf)), mentions)
 
 

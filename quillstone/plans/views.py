@@ -243,7 +243,8 @@ def requests(spark, sf):
         "request_id",
         "ts",
         F.expr(
-            """if(event_id % 3 = 0, concat('Unknown ', user_id % 50), if(event_id % 3 = 1, lower(canonical),
+            """if(event_id % 3 = 0, if(user_id % 50 < 10, if(event_id % 2 = 0, upper(element_at(array('that', 'with', 'dans', 'nicht', 'para'), cast(user_id % 5 + 1 AS int))),
+            element_at(array('that', 'with', 'dans', 'nicht', 'para'), cast(user_id % 5 + 1 AS int))), concat('Unknown ', user_id % 50)), if(event_id % 3 = 1, lower(canonical),
             if(event_id % 31 = 2, ' ', concat(' ', canonical, ' '))))"""
         ).alias("entity"),
         F.expr("if(event_id % 4 = 0, '', concat('note ', props))").alias("note"),
@@ -253,6 +254,8 @@ def requests(spark, sf):
         ).alias("status"),
         F.expr("if(event_id % 2 = 1, concat('sub-', event_id), '')").alias("source_submission_id"),
         F.expr("cast(null AS string)").alias("result"),
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("submitter"),
+        F.expr("if(event_id % 7 = 1, ts + 3, cast(null AS bigint))").alias("started_at"),
         F.expr("if(event_id % 5 = 0, ts - 10, cast(null AS bigint))").alias("created_at"),
         F.expr("if(event_id % 5 = 1, ts + 5, cast(null AS bigint))").alias("updated_at"),
         F.expr("if(event_id % 5 = 2, ts + 9, cast(null AS bigint))").alias("completed_at"),
@@ -411,12 +414,13 @@ SQL = {
     "page_edges": """SELECT DISTINCT 'p' || page_id AS src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS dst FROM pages""",
     "edge_articles": r"""SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS slug FROM benchmark""",
     "requests": """SELECT event_id AS request_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
-        CASE event_id % 3 WHEN 0 THEN 'Unknown ' || (user_id % 50) WHEN 1 THEN lower(canonical)
+        CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 50 >= 10 THEN 'Unknown ' || (user_id % 50)
+            WHEN event_id % 2 = 0 THEN upper(['that', 'with', 'dans', 'nicht', 'para'][user_id % 5 + 1]) ELSE ['that', 'with', 'dans', 'nicht', 'para'][user_id % 5 + 1] END WHEN 1 THEN lower(canonical)
           ELSE CASE WHEN event_id % 31 = 2 THEN ' ' ELSE ' ' || canonical || ' ' END END AS entity,
         CASE WHEN event_id % 4 = 0 THEN '' ELSE 'note ' || props END AS note,
         CASE event_type WHEN 'click' THEN 'incoming' WHEN 'view' THEN ' Pending' WHEN 'purchase' THEN 'Researched'
           WHEN 'signup' THEN 'integrated' ELSE 'in_progress' END AS status,
-        CASE WHEN event_id % 2 = 1 THEN 'sub-' || event_id ELSE '' END AS source_submission_id,
+        CASE WHEN event_id % 2 = 1 THEN 'sub-' || event_id ELSE '' END AS source_submission_id, 'p' || user_id AS submitter,
         CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id
         FROM events LEFT JOIN catalog ON pos = user_id % 40""",
     "payloads": """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS now, '  ' || event_type || ' ' || props || ' ' AS fact,

@@ -264,3 +264,25 @@ def test_one_pass_over_plans(spark):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "WindowGroupLimit" in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_queue_run_with_new_names(spark):
+    from quillstone.operators import mentions as M
+    from quillstone.operators import requests as R
+
+    catalog = spark.createDataFrame([(0, "Fox", "NPC", ["Red"])], "pos bigint, canonical string, type string, synonyms array<string>")
+    rows = [(1, 10, " Owl ", "", "incoming", "", None, "ann"), (2, 11, "OWL", "", "pending", "", 5, "ben"), (3, 12, "red", "n", "Pending ", "s", None, "cat"), (4, 13, "x", "", "completed", "", 1, "dan")]
+    schema = "request_id bigint, ts bigint, entity string, note string, status string, source_submission_id string, started_at bigint, submitter string"
+    queue = spark.createDataFrame(rows, schema).withColumn("created_at", F.lit(None).cast("bigint")).withColumn("history", F.lit(None).cast(R.HISTORY))
+    asked = R.select_open_requests(queue)
+    settled = M.settle_names(asked, catalog)
+    extended = M.extend_catalog(asked, catalog)
+    terms = extended.select("canonical", F.explode(F.concat(F.array("canonical"), "synonyms")).alias("term"))
+    logs = spark.createDataFrame([("log", 1, "the owl sat"), ("log", 2, "an OWL, a red one")], "source string, line_no bigint, text string")
+    pages = spark.createDataFrame([("book", 1, "nothing\nowl here")], "source string, page bigint, text string")
+    done = R.complete_requests(settled, R.find_mentions(terms, logs, pages), spark.createDataFrame([("fox",)], "slug string"), F.lit(99))
+    got = {r["request_id"]: r for r in done.collect()}
+    assert [(got[i]["resolved_entity"], got[i]["is_new"], got[i]["n_mentions"], got[i]["started_at"]) for i in (1, 2, 3)] == [("Owl", True, 3, 99), ("Owl", False, 3, 5), ("Fox", False, 1, 99)]
+    assert got[3]["result"] == "integrated" and got[2]["submitter"] == "ben"
+    whole = {r["request_id"]: r["status"] for r in R.write_back(queue, done).collect()}
+    assert whole == {1: "completed", 2: "completed", 3: "completed", 4: "completed"}
