@@ -17,6 +17,7 @@ their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,7 +32,8 @@ from quillstone.llm.arrow_text import slices
 from quillstone.sources.storage import stored
 
 PIECES = "doc long, piece int, start long, length long, ids_crc32 long"
-MOST_WORDS = 500_000  #: words whose tokens a worker keeps
+MOST_WORDS = 300_000  #: words whose tokens a worker keeps
+AT_ONCE = 2_000  #: words that the tokenizer gets at once; its answers are large
 _tokenizers: dict[str, WordTokens] = {}
 
 
@@ -44,14 +46,18 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        out = []
+        for i in range(0, len(words), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + AT_ONCE]], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
     def learn(self, words: list[bytes]) -> None:
         known, cores = self.known, {}
