@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.arrow_text import bytes_list, prefix_hashes, slices, span_hashes
+from quillstone.llm.bit_filter import BitFilter
 from quillstone.sources.storage import stored
 
 GRAM = 200
@@ -123,7 +124,7 @@ def describe(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return rows.mapInArrow(described, f"key {kind}, docno long, n_bytes long, sha string, t1 long, t2 long, place binary, first binary, gram binary")
 
 
-def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+def anchor_rows(texts: DataFrame, length: int, likely: BitFilter | None = None) -> DataFrame:
     """(t1, t2, ord, pos, gap, low, high, g): an anchor, the distance to the next, its windows and its hash."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +139,9 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                     out.append((np.full(len(pos), i), np.arange(len(pos)), pos, np.append(np.diff(pos), 0), low, high, gram))
             if out:
                 row, *columns = (np.concatenate(c) for c in zip(*out, strict=True))
+                if likely:
+                    own = likely.passes(columns[-1])
+                    row, columns = row[own], [c[own] for c in columns]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).take(pa.array(row)) for c in ("t1", "t2")), *(pa.array(c) for c in columns)],
                     names=["t1", "t2", "ord", "pos", "gap", "low", "high", "g"],
@@ -273,8 +277,7 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
                     part = h % np.uint64(w["parts"])
                     for p in range(w["parts"]):
                         own = part == p
-                        if own.any():
-                            out.append((w["g"], p, *name, at[own].astype("<u4").tobytes(), h[own].tobytes()))
+                        out.append((w["g"], p, *name, at[own].astype("<u4").tobytes(), h[own].tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -362,7 +365,7 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("t", "t1", "t2", "windows").mapInArrow(cut, "t1 long, t2 long, n_removed long, n_spans long, sha string, kept string")
 
 
-def repeated_ranges(info: DataFrame, docs: DataFrame, length: int, depth: int) -> DataFrame:
+def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int) -> DataFrame:
     """(t1, t2, docno, windows): the repeated windows of the texts that one document alone holds."""
     texts = stored(
         info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(
@@ -371,9 +374,8 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, length: int, depth: int) -
         ),
         "suffix-texts",
     )
-    rows = anchor_rows(texts, length)
-    often = rows.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
-    candidates = stored(rows.join(often, "g"), "suffix-anchors")
+    often = stored(anchor_rows(texts, length).groupBy("g").agg(F.count("*").alias("members")).where("members > 1"), "suffix-often")
+    candidates = stored(anchor_rows(texts, length, BitFilter(often, "g")).join(often, "g"), "suffix-anchors")
     strings = stored(
         candidates.select("t1", "t2", F.lit(0).cast("long").alias("path"), "ord", F.xxhash64("g", "gap").alias("sym"), "gap", "pos"), "suffix-strings"
     )
@@ -387,31 +389,34 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, length: int, depth: int) -
     )
     wanted = candidates.join(unsettled(candidates, settled), "g").withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
     asked = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "g", "parts")).alias("wanted"))
-    holder = texts.select("t1", "t2", "docno")
-    windows = window_rows(docs.join(asked.join(holder, ["t1", "t2"]), ["t1", "t2", "docno"]), length)
+    asked = stored(asked.join(texts.select("t1", "t2", "docno"), ["t1", "t2"]), "suffix-asked")
+    windows = window_rows(named_texts(docs, key, text, BitFilter(asked, "t1")).join(asked, ["t1", "t2", "docno"]), length)
     ranges = settled.unionByName(repeated_windows(windows))
     alone = texts.where("holders = 1").select("t1", "t2", "docno")
     return ranges.join(alone, ["t1", "t2"]).groupBy("t1", "t2", "docno").agg(F.collect_list(F.struct("start", "stop")).alias("windows"))
 
 
-def named_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(t1, t2, docno, t): every text with its name."""
+def named_texts(docs: DataFrame, key: str, text: str, likely: BitFilter) -> DataFrame:
+    """(t1, t2, docno, t): the texts that the filter lets pass, with their names."""
     rows = docs.select(F.xxhash64(key).alias("docno"), F.col(text).alias("t"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            names = [_name(t) for t in bytes_list(part.column("t"))]
+            names = np.array([_name(t) for t in bytes_list(part.column("t"))], np.int64).reshape(-1, 2)
+            own = pa.array(np.flatnonzero(likely.passes(names[:, 0].copy())))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([n[i] for n in names], pa.int64()) for i in (0, 1)), part.column("docno"), part.column("t")], names=["t1", "t2", "docno", "t"]
+                [*(pa.array(names[:, i].copy()).take(own) for i in (0, 1)), part.column("docno").take(own), part.column("t").take(own)],
+                names=["t1", "t2", "docno", "t"],
             )
 
     return rows.mapInArrow(named, "t1 long, t2 long, docno long, t string")
 
 
-def cut_results(info: DataFrame, docs: DataFrame, length: int, depth: int) -> DataFrame:
+def cut_results(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int) -> DataFrame:
     """(t1, t2, n_removed, n_spans, cut_sha, kept) of the texts that lose bytes; null n_removed: all."""
-    ranges = stored(repeated_ranges(info, docs, length, depth), "suffix-ranges")
-    cut = cut_texts(docs.join(ranges, ["t1", "t2", "docno"]), length).dropDuplicates(["t1", "t2"])
+    ranges = stored(repeated_ranges(info, docs, key, text, length, depth), "suffix-ranges")
+    bodies = named_texts(docs, key, text, BitFilter(ranges, "t1"))
+    cut = cut_texts(bodies.join(ranges, ["t1", "t2", "docno"]), length).dropDuplicates(["t1", "t2"])
     copies = info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(F.count("*").alias("holders")).where("holders > 1")
     whole = copies.select(
         "t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("kept")
@@ -422,7 +427,7 @@ def cut_results(info: DataFrame, docs: DataFrame, length: int, depth: int) -> Da
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     info = stored(describe(docs, key, text, length), "suffix-info")
-    found = cut_results(info, named_texts(docs, key, text), length, depth).drop("kept")
+    found = cut_results(info, docs, key, text, length, depth).drop("kept")
     return info.select("key", "n_bytes", "sha", "t1", "t2").join(found, ["t1", "t2"], "left").select(
         F.col("key").alias(key),
         "n_bytes",
@@ -435,16 +440,20 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
     """The documents with what is left of their texts; what is left of a character that is cut apart goes too."""
     info = stored(describe(docs, key, text, length), "suffix-info")
-    found = stored(cut_results(info, named_texts(docs, key, text), length, depth).select("t1", "t2", "kept"), "suffix-kept")
-    names = [c for c in ("_t1", "_t2")]
-    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            found = [_name(t) for t in bytes_list(part.column(text))]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, *(pa.array([n[i] for n in found], pa.int64()) for i in (0, 1))], names=[*part.schema.names, *names]
-            )
-
-    joined = docs.mapInArrow(marked, shape).join(found, (F.col("_t1") == found["t1"]) & (F.col("_t2") == found["t2"]), "left")
-    return joined.withColumn(text, F.coalesce("kept", text)).select(docs.columns)
+    found = stored(cut_results(info, docs, key, text, length, depth).select("t1", "t2", "kept"), "suffix-kept")
+    likely = BitFilter(found, "t1")
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_t1", "_t2"))])
+
+    def marked(passing: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, text):
+                names = np.array([_name(t) for t in bytes_list(part.column(text))], np.int64).reshape(-1, 2)
+                own = pa.array(np.flatnonzero(likely.passes(names[:, 0].copy()) == passing))
+                columns = [*part.columns, *(pa.array(names[:, i].copy()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([c.take(own) for c in columns], names=[*part.schema.names, "_t1", "_t2"])
+
+        return rows
+
+    same = (F.col("_t1") == found["t1"]) & (F.col("_t2") == found["t2"])
+    changed = docs.mapInArrow(marked(True), shape).join(found, same, "left").withColumn(text, F.coalesce("kept", text))
+    return changed.select(docs.columns).unionByName(docs.mapInArrow(marked(False), shape).select(docs.columns))
