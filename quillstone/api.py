@@ -76,8 +76,6 @@ def rebuild(sources: Sources, target: str = "", scope: str = "all", inputs_name:
         campaign = files.where(F.col("scope") == "campaign")
         general = files.where(F.col("scope") == "general")
         out["manifest"] = pinned(manifest.manifest_union(campaign, general))
-        first = sessions.first_event_per_entity(
-            out["manifest"].where(F.col("part") == 0), sources.timeline_events
-        )
+        first = sessions.first_event_per_entity(out["manifest"], sources.timeline_events)
         out["intro_timeline"] = sessions.intro_order(first)
     return out

@@ -1,7 +1,7 @@
 """Articles of the knowledge base from entity files, documents and queue dossiers.
 
-An article is one or more rows (slug, part): nearly always part 0 alone. Only an entity with thousands
-of files has further parts, which keeps every row of bounded size.
+An article is one row. Its body is one text by definition, however many files it is made of; ``part`` numbers the rows
+of callers that cut bodies themselves and is 0 here.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import base_name, entity_key, heading_title, rstrip, stem, strip, title_case
-from quillstone.operators.ranking import joined_in_order, rank_in_group
+from quillstone.operators.ranking import joined_in_order
 
 # Document roots in reading order, with slug prefix, category and what an equal slug does.
 ROOTS = (
@@ -42,29 +42,22 @@ def article_category(root: Column, scope: Column | None = None) -> Column:
     return F.when(root == "manifest", F.when(scope == "campaign", "campaign").otherwise("general")).otherwise(category)
 
 
-def aggregate_entity_body(files: DataFrame, part_docs: int = 4096) -> DataFrame:
+def aggregate_entity_body(files: DataFrame) -> DataFrame:
     """Bodies of entities (scope, entity, part, path, body) from their files.
 
     ``files`` has (scope, entity, kind, name, path, body). Markdown files are joined by a blank line in
-    name order; the names of the JSONL files follow as a list.
+    name order; the names of the JSONL files follow as a list. Entities without Markdown have no body.
     """
-    ordered = rank_in_group(
-        files.withColumn("low", F.lower("name")), ["scope", "entity", "kind"], ["low", "name", "path"]
-    )
-    md = (F.col("kind") == "md") & (strip(F.col("body")) != "")
-    part = F.floor((F.col("pos") - 1) / part_docs).cast("long")
-    text = joined_in_order("pos", F.when(md, strip(F.col("body"))), "\n\n")
-    names = joined_in_order(
-        "pos", F.when(F.col("kind") == "jsonl", F.concat(F.lit("\n- `"), "name", F.lit("`"))), ""
-    )
-    grouped = ordered.groupBy("scope", "entity", part.alias("part")).agg(
-        F.min_by("path", F.when(F.col("kind") == "md", F.col("pos"))).alias("path"),
-        text.alias("text"),
-        names.alias("names"),
+    order = F.struct(F.lower("name").alias("low"), "name", "path")
+    kind = F.col("kind")
+    grouped = files.groupBy("scope", "entity").agg(
+        F.min_by("path", F.when(kind == "md", order)).alias("path"),
+        joined_in_order(order, F.when((kind == "md") & (strip(F.col("body")) != ""), strip(F.col("body"))), "\n\n").alias("text"),
+        joined_in_order(order, F.when(kind == "jsonl", F.concat(F.lit("\n- `"), "name", F.lit("`"))), "").alias("names"),
     )
     tail = F.when(F.col("names") != "", F.concat(F.lit("\n\n## Data files (JSONL)\n"), "names")).otherwise("")
     return grouped.where(F.col("path").isNotNull()).select(
-        "scope", "entity", "part", "path", F.concat("text", tail).alias("body")
+        "scope", "entity", F.lit(0).cast("long").alias("part"), "path", F.concat("text", tail).alias("body")
     )
 
 
@@ -91,7 +84,8 @@ def entity_articles(bodies: DataFrame, general_keys: DataFrame) -> DataFrame:
 def document_articles(files: DataFrame, general_keys: DataFrame, taken: DataFrame) -> DataFrame:
     """Documents (root, rel_path, body) as articles.
 
-    Files below a ``requests`` folder, and entity files below the campaign root, belong to other roots.
+    Files below a ``requests`` folder, and entity files below the campaign root, belong to other roots;
+    the requests root itself is flat.
     A sub-document ``<e>.<section>`` is left out when its entity already has an article: one of
     ``taken``, or a file before it. Campaign documents of general entities are left out.
     """
@@ -102,6 +96,7 @@ def document_articles(files: DataFrame, general_keys: DataFrame, taken: DataFram
     rows = files.where(root.isin(known)).where(
         ~(root.isin("lore", "campaign_entities", "campaign") & F.array_contains(folders, "requests"))
         & ~((root == "campaign") & F.array_contains(folders, "entities"))
+        & ~((root == "requests") & (F.size(folders) > 0))
     )
     no_suffix = stem(F.col("rel_path"))
     slug = F.concat(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import entity_key, stem
-from quillstone.operators.ranking import rank_in_group
 
 
 def listed_files(files: DataFrame) -> DataFrame:
@@ -37,24 +36,15 @@ def entity_files(files: DataFrame) -> DataFrame:
     return prefer_subsections(listed_files(files))
 
 
-def manifest_rows(files: DataFrame, part_files: int = 4096) -> DataFrame:
-    """Manifest rows (scope, entity, part, md_files, jsonl_files), names in order ignoring case.
-
-    An entity with more than ``part_files`` files of a kind goes on in further parts, so no array grows
-    without bound; nearly all entities have part 0 only.
-    """
-    ordered = rank_in_group(
-        entity_files(files).withColumn("low", F.lower("name")), ["scope", "entity", "kind"], ["low", "name", "path"]
-    )
-    part = F.floor((F.col("pos") - 1) / part_files).cast("long")
+def manifest_rows(files: DataFrame) -> DataFrame:
+    """Manifest rows (scope, entity, md_files, jsonl_files), names in order ignoring case; one row per entity."""
 
     def paths(kind: str):
-        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "path"))))
+        named = F.struct(F.lower("name").alias("low"), "name", "path")
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, named)))
         return F.transform(rows, lambda r: r["path"])
 
-    return ordered.groupBy("scope", "entity", part.alias("part")).agg(
-        paths("md").alias("md_files"), paths("jsonl").alias("jsonl_files")
-    )
+    return entity_files(files).groupBy("scope", "entity").agg(paths("md").alias("md_files"), paths("jsonl").alias("jsonl_files"))
 
 
 def with_key(rows: DataFrame) -> DataFrame:

@@ -99,14 +99,10 @@ def split_page_ranges(pages: DataFrame, plan: Sequence[tuple[int, int, str]]) ->
     )
 
 
-def assemble_document(
-    pages: DataFrame, totals: DataFrame, errors: DataFrame | None = None, segment_pages: int = 512
-) -> DataFrame:
-    """Marked text of pages 1..total of every book: (book, segment, text).
-
-    A missing page gets a fixed text, a failed one its error. The document is the concatenation of its
-    segments in order. A segment covers at most ``segment_pages`` pages, so a huge book never has to fit
-    in one task; an ordinary book has the single segment 0.
+def assemble_document(pages: DataFrame, totals: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Marked text of pages 1..total of every book: (book, text).
+
+    A missing page gets a fixed text, a failed one its error. A document is one text by definition.
     """
     wanted = totals.select("book", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("page"))
     rows = wanted.join(pages.select("book", "page", "text"), ["book", "page"], "left")
@@ -115,12 +111,7 @@ def assemble_document(
         rows = rows.join(errors.select("book", "page", "error"), ["book", "page"], "left")
         text = F.coalesce(F.concat(F.lit(FAILED_PAGE), "error"), text)
     piece = F.concat(F.lit("\n\n"), marker(F.col("page")), F.lit("\n"), text)
-    segment = F.floor((F.col("page") - 1) / segment_pages).cast("long")
-    return (
-        rows.select("book", "page", segment.alias("segment"), piece.alias("piece"))
-        .groupBy("book", "segment")
-        .agg(joined_in_order("page", "piece", "").alias("text"))
-    )
+    return rows.select("book", "page", piece.alias("piece")).groupBy("book").agg(joined_in_order("page", "piece", "").alias("text"))
 
 
 def compile_text(candidates: DataFrame) -> DataFrame:

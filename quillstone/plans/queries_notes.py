@@ -409,7 +409,7 @@ query(
     "entity_files",
     with_views(
         "entity_files",
-        """SELECT scope, entity, CAST(0 AS BIGINT) AS part, coalesce(string_agg(path, '|' ORDER BY lower(name), name, path) FILTER (WHERE kind = 'md'), '') AS md_files,
+        """SELECT scope, entity, coalesce(string_agg(path, '|' ORDER BY lower(name), name, path) FILTER (WHERE kind = 'md'), '') AS md_files,
         coalesce(string_agg(path, '|' ORDER BY lower(name), name, path) FILTER (WHERE kind = 'jsonl'), '') AS jsonl_files FROM entity_files GROUP BY scope, entity""",
     ),
 )(

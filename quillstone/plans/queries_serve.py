@@ -83,7 +83,7 @@ ARTICLE_CTES = dict(
     legacy=f"""SELECT *, CASE WHEN root = 'campaign_entities' AND contains(stem, '.') THEN 'campaign-entities-' || replace(lower(split_part(stem, '.', 1)), '_', '-') END AS base
       FROM (SELECT {PREFIX} || '-' || replace(lower(replace(regexp_replace(rel_path, '[.]md$', ''), '/', '-')), '_', '-') AS slug, root, rel_path,
         root || '/' || rel_path AS path, body, {CATEGORY} AS category, {RANK} AS rnk, {STEM} AS stem FROM article_files
-        WHERE NOT (root IN ('lore', 'campaign_entities', 'campaign') AND starts_with(rel_path, 'requests/')) AND NOT (root = 'campaign' AND starts_with(rel_path, 'entities/')))""",
+        WHERE NOT (root IN ('lore', 'campaign_entities', 'campaign') AND starts_with(rel_path, 'requests/')) AND NOT (root = 'campaign' AND starts_with(rel_path, 'entities/')) AND NOT (root = 'requests' AND contains(rel_path, '/')))""",
     usable=f"""SELECT * FROM legacy l WHERE NOT (rnk IN (2, 3) AND {key_sql('stem')} IN (SELECT k FROM general_keys))
       AND NOT (base IS NOT NULL AND (base IN (SELECT slug FROM entity_rows)
         OR EXISTS (SELECT 1 FROM legacy b WHERE b.rnk = 2 AND b.base IS NULL AND b.slug = l.base AND b.path < l.path)))""",

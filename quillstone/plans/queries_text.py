@@ -273,7 +273,7 @@ def split_page_ranges(spark, sf):
     "assemble_document",
     with_views(
         "para_pages",
-        f"""SELECT book, (page - 1) // 64 AS segment, string_agg({NL} || {NL} || '===== PAGE ' || page || ' =====' || {NL} ||
+        f"""SELECT book, string_agg({NL} || {NL} || '===== PAGE ' || page || ' =====' || {NL} ||
           CASE WHEN (book + page) % 5 = 0 THEN '[OCR_ERROR] code ' || page ELSE coalesce(text, '[MISSING_PAGE_OUTPUT]') END, '' ORDER BY page) AS text
         FROM (SELECT book, unnest(generate_series(1, n + 1)) AS page FROM (SELECT book, count(*) AS n FROM para_pages GROUP BY book))
         LEFT JOIN para_pages USING (book, page) GROUP BY ALL""",
@@ -288,7 +288,7 @@ def assemble_document(spark, sf):
     errors = errors.where((F.col("book") + F.col("page")) % 5 == 0).select(
         "book", "page", F.concat(F.lit("code "), F.col("page").cast("string")).alias("error")
     )
-    return P.assemble_document(pages, totals, errors, segment_pages=64)
+    return P.assemble_document(pages, totals, errors)
 
 
 @query(

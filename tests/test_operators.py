@@ -92,8 +92,8 @@ def test_parse_what_was_assembled(spark):
     pages = spark.createDataFrame([("b", p, f"text {p}") for p in (1, 2, 5, 7)], "book string, page bigint, text string")
     totals = spark.createDataFrame([("b", 7)], "book string, total int")
     errors = spark.createDataFrame([("b", 3, "boom")], "book string, page bigint, error string")
-    whole = P.assemble_document(pages, totals, errors, segment_pages=3)
-    assert whole.count() == 3
+    whole = P.assemble_document(pages, totals, errors)
+    assert whole.count() == 1
     parsed = {r["page"]: r["text"] for r in P.parse_pages(whole).collect()}
     assert parsed == {
         1: "text 1", 2: "text 2", 3: "[OCR_ERROR] boom", 4: "[MISSING_PAGE_OUTPUT]",
@@ -147,8 +147,8 @@ def test_find_mentions_keeps_logs_first_and_caps(spark):
 
 def test_dossier(spark):
     done = spark.createDataFrame(
-        [(1, "fox", "researched", "Fox", "Fox", "why", 1), (2, "cat", "integrated", "Cat", "Cat", "", 0)],
-        "request_id bigint, slug string, result string, resolved_entity string, entity string, note string, n_mentions bigint",
+        [(1, "fox", "researched", "Fox", "Fox", "why", 1, "incoming"), (2, "cat", "integrated", "Cat", "Cat", "", 0, "incoming")],
+        "request_id bigint, slug string, result string, resolved_entity string, entity string, note string, n_mentions bigint, asked_status string",
     )
     catalog = spark.createDataFrame([(0, "Fox", "NPC", ["Red"])], "pos bigint, canonical string, type string, synonyms array<string>")
     mentions = spark.createDataFrame(
@@ -156,7 +156,7 @@ def test_dossier(spark):
     )
     rows = R.dossier_rows(done, catalog, mentions).collect()
     assert [r["slug"] for r in rows] == ["fox"]
-    for part in ("- Synonyms: Red", "- Request note: why", "- **campaign** - the fox\n  - Source: `a#L1`", "**NPC**"):
+    for part in ("- Synonyms: Red", "- Request note: why", "- **campaign** - the fox\n  - Source: `a#L1`", "**NPC**", "- Queue status at processing: **incoming**"):
         assert part in rows[0]["body"]
 
 
@@ -286,3 +286,21 @@ def test_queue_run_with_new_names(spark):
     assert got[3]["result"] == "integrated" and got[2]["submitter"] == "ben"
     whole = {r["request_id"]: r["status"] for r in R.write_back(queue, done).collect()}
     assert whole == {1: "completed", 2: "completed", 3: "completed", 4: "completed"}
+
+
+def test_entity_with_many_files_loses_none(spark):
+    from quillstone.operators import articles as A
+    from quillstone.operators import manifest as MF
+
+    n = 10_000
+    names = [(i, f"fox.{i:05d}.{'md' if i % 4 == 0 else 'jsonl'}") for i in range(n)]
+    files = spark.createDataFrame([("general", f"p/{x}", x) for _, x in names], "scope string, path string, name string")
+    row = MF.manifest_rows(files).collect()
+    assert len(row) == 1 and len(row[0]["md_files"]) == n // 4 and len(row[0]["jsonl_files"]) == n - n // 4
+    listed = MF.entity_files(files).withColumn("body", F.concat(F.lit(" body of "), "name"))
+    body = A.aggregate_entity_body(listed).collect()
+    assert len(body) == 1 and all(x in body[0]["body"] for _, x in names)
+    empty = spark.createDataFrame([("requests", "a/b.md", "# nested"), ("requests", "c.md", "# flat")], "root string, rel_path string, body string")
+    built = A.build_articles(A.aggregate_entity_body(listed), empty)
+    slugs = {r["slug"]: r["body"] for r in built.collect()}
+    assert set(slugs) == {"lore-entities-fox", "campaign-requests-c", "index", "entity-queue"} and slugs["lore-entities-fox"] == body[0]["body"]
