@@ -17,11 +17,11 @@ REBUILD_SCOPES = ("all", "campaign", "entity")
 
 def search(docs: DataFrame, q: str, scope: str = "all", limit: int = searching.DEFAULT_LIMIT) -> DataFrame:
     """Ranked keyword search in documents (doc_id, scope, text); at most 30 rows."""
-    return searching.keyword_search(scan_scope(docs, scope, key=None), q, limit)
+    return searching.keyword_search(scan_scope(docs, scope, key=None), q, searching.clamp(limit))
 
 
 def semantic_search(vectors: DataFrame, query: Column, limit: int = searching.DEFAULT_LIMIT) -> DataFrame:
-    return searching.semantic_search(vectors, query, limit)
+    return searching.semantic_search(vectors, query, searching.clamp(limit))
 
 
 def get_doc(docs: DataFrame, doc_id, max_chars: int = 8000) -> DataFrame:

@@ -253,7 +253,7 @@ def search_ctes(limit: int) -> str:
         ORDER BY score DESC, doc_id LIMIT {limit}"""
 
 
-query("keyword_search", search_ctes(8))(lambda spark, sf: L.keyword_search(V.documents(spark, sf), ASKED))
+query("keyword_search", search_ctes(8))(lambda spark, sf: L.keyword_search(V.documents(spark, sf), ASKED, L.DEFAULT_LIMIT))
 query("search_snippet", f"SELECT doc_id, {snippet_sql('que tion the')} AS snippet FROM documents")(
     lambda spark, sf: L.search_snippet(V.documents(spark, sf), "que tion the")
 )
@@ -267,7 +267,7 @@ query("search_snippet", f"SELECT doc_id, {snippet_sql('que tion the')} AS snippe
 def semantic_search(spark, sf):
     vectors = table(spark, sf, "embeddings")
     asked = vectors.where(F.col("vec_id") == 7).agg(F.first("embedding").alias("e")).scalar()
-    return L.semantic_search(vectors, asked).withColumn("score", F.round("score", 5))
+    return L.semantic_search(vectors, asked, L.DEFAULT_LIMIT).withColumn("score", F.round("score", 5))
 
 
 BATCH = """WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS term FROM benchmark),
@@ -281,7 +281,7 @@ BATCH = """WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_spli
 @query("batch_search", BATCH)
 def batch_search(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return L.batch_search(V.documents(spark, sf), asked)
+    return L.batch_search(V.documents(spark, sf), asked, L.DEFAULT_LIMIT)
 
 
 @query(
