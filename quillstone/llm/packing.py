@@ -18,6 +18,7 @@ their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -32,8 +33,9 @@ from quillstone.llm.arrow_text import slices
 from quillstone.sources.storage import stored
 
 PIECES = "doc long, piece int, start long, length long, ids_crc32 long"
-MOST_WORDS = 300_000  #: words whose tokens a worker keeps
+MOST_WORDS = 700_000  #: words whose tokens a worker keeps
 AT_ONCE = 2_000  #: words that the tokenizer gets at once; its answers are large
+_MARKED = re.compile(rb"(.*[^\x00-\x40\x5b-\x60\x7b-\x7f])([!-/:-@\[-`{-~]+)", re.S)
 _tokenizers: dict[str, WordTokens] = {}
 
 
@@ -50,26 +52,45 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(words), AT_ONCE):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + AT_ONCE]], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Tokens of each word. Words of letters go as one text, which is faster; each ends with an end-of-word token."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        out: list[bytes] = [b""] * len(words)
+        for i in range(0, len(plain), AT_ONCE):
+            some = plain[i : i + AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw, start = ids.tobytes(), 0
+                for k, stop in zip(some, (4 * stops).tolist(), strict=True):
+                    out[k] = raw[start:stop]
+                    start = stop
+            else:  # a letter became more than letters when it was lowered
+                for k in some:
+                    out[k] = self.alone(texts[k])
+        for k in set(range(len(words))).difference(plain):
+            out[k] = self.alone(texts[k])
         return out
 
+    def alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def learn(self, words: list[bytes]) -> None:
-        known, cores = self.known, {}
-        for word in words:
-            core = word[:-1] if word[-1:] in (b".", b",") and word[-2:-1].isalpha() else word
-            cores[core] = None
-        fresh = [c for c in cores if c not in known]
-        fresh += [m for m in (b".", b",") if m not in known]
+        """Adds words; marks behind a letter are tokens of their own."""
+        known = self.known
+        cut = [None if b"<|" in w else _MARKED.fullmatch(w) for w in words]
+        parts = [(m[1], m[2]) if m and m[1].decode()[-1].isalpha() else (w, b"") for w, m in zip(words, cut, strict=True)]
+        fresh = [p for p in dict.fromkeys(p for pair in parts for p in pair) if p not in known]
         known.update(zip(fresh, self.encode(fresh), strict=True))
-        for word in words:
-            if word not in known:
-                known[word] = known[word[:-1]] + known[word[-1:]]
+        for word, (core, marks) in zip(words, parts, strict=True):
+            if marks:
+                known[word] = known[core] + known[marks]
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit tokens of each text."""
@@ -78,10 +99,11 @@ class WordTokens:
             self.known.clear()
         known = self.known
         known[b""] = b""
-        missing = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        if missing:
-            self.learn(missing)
-        return [b"".join([known[w] for w in words]) for words in split]
+        missing: set[bytes] = set()
+        for words in split:
+            missing.update(set(words).difference(known))
+        self.learn(list(missing))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -153,7 +175,7 @@ def best_fit(left: np.ndarray, capacity: int, first: dict[int, int] | None = Non
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200, rate: float = 5.0) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> number) with their repetitions; together they hold the histogram exactly."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
@@ -182,9 +204,8 @@ def solve(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200, ra
                 weights[s] *= np.exp(-rate * min(1.0, n * bins / rounds / demand[s]))
             weights /= weights.max()
         for form, n in sorted(chosen.items(), key=lambda x: (-x[1], x[0])):
-            pattern = dict(form)
-            if capacity - sum(s * k for s, k in form) <= capacity // 128:
-                use(pattern, max(1, int(n * bins / rounds)))
+            if all(left[s] >= k for s, k in form):
+                use(best_fit(left, capacity, dict(form)), int(n * bins / rounds))
     while left.any():
         largest = int(np.flatnonzero(left)[-1])
         pattern = best_fit(left, capacity, {largest: 1})
