@@ -184,12 +184,15 @@ def doc_stub_scan(spark, sf):
 # --- sinks -----------------------------------------------------------------------------------------
 
 
-@query("write_docs", "SELECT item_id AS key, text AS body FROM benchmark")
+@query("write_docs", "SELECT doc_id AS key, text AS body FROM documents")
 def write_docs(spark, sf):
+    """All documents as files, read back by the file reader with a name pattern and sub-folders."""
     path = fresh_dir(spark, "docs")
-    sinks.write_docs(table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("body")), path)
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("key").cast("long").alias("key"), F.regexp_replace("value", r"\n\z", "").alias("body"))
+    sinks.write_docs(V.documents(spark, sf).select(F.col("doc_id").alias("key"), F.col("text").alias("body")), path)
+    files = S.scan_text(spark, path, "*.txt", recursive=True)
+    return files.select(
+        F.regexp_extract("path", r"/key=(\d+)/", 1).cast("long").alias("key"), F.regexp_replace("text", r"\n\z", "").alias("body")
+    )
 
 
 @query("write_json_doc", "SELECT doc_id, to_json({'lang': lang, 'source': source, 'n_chars': n_chars}) AS json FROM documents")
