@@ -679,7 +679,8 @@ def stream_latest_status(spark, sf):
         F.col("user_id").alias("request_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")
     )
     logs.drain(logs.stream_latest_status(rows, f"{root}/table", f"{root}/progress", order=("seq",)))
-    return logs.latest_table(spark, f"{root}/table", order=("seq",))
+    logs.compact(spark, f"{root}/table", f"{root}/state", order=("seq",))
+    return logs.latest_table(spark, f"{root}/table", order=("seq",), state=f"{root}/state")
 
 
 @query("stream_route", with_views("submissions", f"SELECT entity, note, source_submission_id FROM ({ROUTED})"))

@@ -63,10 +63,33 @@ def stream_latest_status(
 
 
 def latest_table(
-    spark: SparkSession, root: str, key: str = "request_id", order: tuple[str, ...] = ("ts",)
+    spark: SparkSession, root: str, key: str = "request_id", order: tuple[str, ...] = ("ts",), state: str | None = None
 ) -> DataFrame:
-    """Current row of each key over all batches."""
-    return newest(spark.read.parquet(root), key, list(order)).drop("batch")
+    """Current row of each key. With a ``state`` (see ``compact``) only the batches after it are read."""
+    rows = spark.read.parquet(root)
+    if state is not None:
+        kept = spark.read.parquet(state)
+        upto = kept.agg(F.max("upto")).first()[0]
+        rows = rows.where(F.col("batch") > upto).unionByName(kept.where(F.col("upto") == upto).drop("upto"))
+    return newest(rows, key, list(order)).drop("batch")
+
+
+def compact(
+    spark: SparkSession, root: str, state: str, key: str = "request_id", order: tuple[str, ...] = ("ts",), after: str | None = None
+) -> int:
+    """Write the current rows of all batches up to now as a new version of ``state``; gives that version.
+
+    ``after`` is the state to start from. A version is named by its last batch, so a repeated run replaces itself.
+    """
+    rows = spark.read.parquet(root)
+    upto = rows.agg(F.max("batch")).first()[0]
+    if after is not None:
+        kept = spark.read.parquet(after)
+        before = kept.where(F.col("upto") < upto).agg(F.max("upto")).first()[0]
+        if before is not None:
+            rows = rows.where(F.col("batch") > before).unionByName(kept.where(F.col("upto") == before).drop("upto"))
+    newest(rows.where(F.col("batch") <= upto), key, list(order)).write.mode("overwrite").parquet(f"{state}/upto={upto}")
+    return upto
 
 
 def stream_route(stream: DataFrame, submissions: str, queue: str, checkpoint: str) -> StreamingQuery:
