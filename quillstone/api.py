@@ -48,6 +48,7 @@ class Sources:
     inputs: DataFrame  # line_no, entity, player, date, note
     entity_files: DataFrame  # scope, path, name
     timeline_events: DataFrame  # file, seq, date_or_session, text
+    imports: DataFrame | None = None  # session, source, text; read after the notes and before the inputs
 
 
 def rebuild(sources: Sources, target: str = "", scope: str = "all", inputs_name: str = "submissions") -> dict[str, DataFrame]:
@@ -64,6 +65,7 @@ def rebuild(sources: Sources, target: str = "", scope: str = "all", inputs_name:
     found = pinned(
         mentions.all_mentions(
             mentions.match_mentions(sources.notes, aliases),
+            *([] if sources.imports is None else [mentions.match_mentions(sources.imports, aliases, src_rank=1)]),
             mentions.match_player_inputs(sources.inputs, aliases, sources.catalog, inputs_name),
         )
     )

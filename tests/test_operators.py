@@ -1,5 +1,6 @@
 """Operators against brute force on small tables, with hot keys and odd names."""
 
+import dataclasses
 import re
 
 import pytest
@@ -304,3 +305,9 @@ def test_entity_with_many_files_loses_none(spark):
     built = A.build_articles(A.aggregate_entity_body(listed), empty)
     slugs = {r["slug"]: r["body"] for r in built.collect()}
     assert set(slugs) == {"lore-entities-fox", "campaign-requests-c", "index", "entity-queue"} and slugs["lore-entities-fox"] == body[0]["body"]
+
+
+def test_imports_stand_between_notes_and_inputs(spark):
+    imports = spark.createDataFrame([("2024-01-03", "wp.md", "An imported line on the Red Fox")], "session string, source string, text string")
+    found = api.rebuild(dataclasses.replace(small_sources(spark), imports=imports), scope="entity")["mentions"].collect()
+    assert {(r["src_rank"], r["source"]) for r in found} == {(0, "a.md"), (1, "wp.md"), (2, "submissions")}
