@@ -97,5 +97,22 @@ QUERIES = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
-#: None of these results can be stated in SQL over whole tables; tests/llm holds their brute-force versions.
-ORACLES = {}
+#: Other results cannot be stated in SQL over whole tables; tests/llm holds their brute-force versions.
+ORACLES = {
+    "op8_prefix_targets": """WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS s),
+      turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', s FROM said UNION ALL SELECT -1, 1, 'assistant', s FROM said),
+      plain AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM turns),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+        24 + length(replace(replace(r, '<|', '<||'), chr(10), '<|nl|>')) + length(replace(x, '<|', '<||')) AS size FROM plain),
+      grown AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto, r = 'assistant' AS reply FROM placed)
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY i)) AS turns_sha256,
+        CAST(coalesce(sum(length(x)) FILTER (reply), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (reply), '')) AS loss_sha256,
+        CAST(sum(upto) FILTER (reply OR i = n) AS BIGINT) AS formatted_chars FROM grown GROUP BY conv_id""",
+    "op9_pivot_range_join": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+      reached AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+      named AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+      counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+      SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM named LEFT JOIN counted USING (vec_id)""",
+}
