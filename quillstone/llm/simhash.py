@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrow_text import bytes_list, slices
+from quillstone.llm.bit_filter import parted
 from quillstone.llm.components import components, stars
 from quillstone.sources.storage import stored
 
@@ -158,8 +159,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     judged = stored(near_duplicates(docs.where(F.col(key).isNotNull()), key, text, distance, width).select(key, "component_id"), "simhash-judged")
     dropped = judged.where(F.col(key) != F.col("component_id")).select(key)
     again = judged.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    left = docs.join(dropped, key, "left_anti")
-    return left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key])).select(docs.columns)
+    marked = stored(dropped.withColumn("_again", F.lit(False)).unionByName(again.withColumn("_again", F.lit(True))).distinct(), "simhash-marked")
+    maybe, rest = parted(docs, key, marked)
+    judged = maybe.join(marked, key, "left").where(F.coalesce("_again", F.lit(True)))
+    once = judged.where("_again IS NULL")
+    return rest.select(docs.columns).unionByName(once.select(docs.columns)).unionByName(
+        judged.where("_again").dropDuplicates([key]).select(docs.columns)
+    )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4) -> DataFrame:
