@@ -33,7 +33,8 @@ from quillstone.llm.arrow_text import slices
 from quillstone.sources.storage import stored
 
 PIECES = "doc long, piece int, start long, length long, ids_crc32 long"
-MOST_WORDS = 700_000  #: words whose tokens a worker keeps
+MOST_WORDS = 600_000  #: words whose tokens a worker keeps
+MOST_CORES = 1_000_000  #: words without marks; these cost the tokenizer's work
 AT_ONCE = 2_000  #: words that the tokenizer gets at once; its answers are large
 _MARKED = re.compile(rb"(.*[^\x00-\x40\x5b-\x60\x7b-\x7f])([!-/:-@\[-`{-~]+)", re.S)
 _tokenizers: dict[str, WordTokens] = {}
@@ -56,6 +57,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Tokens of each word. Words of letters go as one text, which is faster; each ends with an end-of-word token."""
@@ -83,20 +85,21 @@ class WordTokens:
 
     def learn(self, words: list[bytes]) -> None:
         """Adds words; marks behind a letter are tokens of their own."""
-        known = self.known
+        cores = self.cores
         cut = [None if b"<|" in w else _MARKED.fullmatch(w) for w in words]
         parts = [(m[1], m[2]) if m and m[1].decode()[-1].isalpha() else (w, b"") for w, m in zip(words, cut, strict=True)]
-        fresh = [p for p in dict.fromkeys(p for pair in parts for p in pair) if p not in known]
-        known.update(zip(fresh, self.encode(fresh), strict=True))
-        for word, (core, marks) in zip(words, parts, strict=True):
-            if marks:
-                known[word] = known[core] + known[marks]
+        fresh = list({p for pair in parts for p in pair}.difference(cores))
+        cores.update(zip(fresh, self.encode(fresh), strict=True))
+        self.known.update((word, cores[core] + cores[marks]) for word, (core, marks) in zip(words, parts, strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit tokens of each text."""
         split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known.clear()
+        if len(self.cores) > MOST_CORES:
+            self.cores.clear()
+        self.cores[b""] = b""
         known = self.known
         known[b""] = b""
         missing: set[bytes] = set()
