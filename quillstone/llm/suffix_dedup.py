@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from quillstone.llm.arrow_text import bytes_list, prefix_hashes, slices, span_hashes
 from quillstone.llm.bit_filter import BitFilter
-from quillstone.sources.storage import stored
+from quillstone.sources.storage import discard, stored
 
 GRAM = 200
 CHUNK = 1 << 20  #: windows worked on at once
@@ -182,7 +182,9 @@ def _below(df: DataFrame, *keys: str) -> DataFrame:
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     tops = rows.groupBy("part").agg(F.max("below").alias("top")).select("part", F.coalesce(F.max("top").over(before), F.lit(0)).alias("top"))
     zeros = rows.where("rank IS NULL").join(F.broadcast(tops), "part")  # a row for each partition
-    return zeros.select("t1", "t2", "path", "ord", "at", F.greatest("below", "top").alias("below"))
+    out = stored(zeros.select("t1", "t2", "path", "ord", "at", F.greatest("below", "top").alias("below")), "suffix-below")
+    discard(rows)
+    return out
 
 
 def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
@@ -203,10 +205,10 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
         ),
         "suffix-strings",
     )
-    if depth <= 1 or names.count() == named.count():
-        ranked = named.withColumnRenamed("sym", "rank")
-    else:
-        ranked = suffix_ranks(named, depth - 1)
+    unique = names.count() == named.count()
+    discard(triples, names)
+    deeper = None if depth <= 1 or unique else suffix_ranks(named, depth - 1)
+    ranked = named.withColumnRenamed("sym", "rank") if deeper is None else deeper
     sampled = ranked.select("t1", "t2", F.expr("path div 3").alias("path"), (F.col("ord") * 3 + F.col("path") % 3).alias("ord"), "rank")
     known = strings.join(sampled, place, "left")
     ahead = stored(known.select(*place, "sym", "rank", _next("sym", 1).alias("n1"), _next("rank", 1).alias("r1"), _next("rank", 2).alias("r2")), "suffix-ahead")
@@ -216,7 +218,9 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
         *place, F.greatest("below", "other").alias("after"), F.lit(1).alias("kind"), "at"
     )
     rows = sampled.select(*place, F.col("rank").alias("after"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at")).unionByName(merged)
-    return stored(_sorted_by(rows, "after", "kind", "at").select(*place, (F.monotonically_increasing_id() + 1).alias("rank")), "suffix-ranks")
+    out = stored(_sorted_by(rows, "after", "kind", "at").select(*place, (F.monotonically_increasing_id() + 1).alias("rank")), "suffix-ranks")
+    discard(named, ahead, first, second, *([] if deeper is None else [deeper]))
+    return out
 
 
 def shared_reach(strings: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -257,6 +261,13 @@ def unsettled(candidates: DataFrame, settled: DataFrame) -> DataFrame:
     return rows.where((F.col("kind") == 1) & (F.coalesce("reached", F.lit(-1)) < F.col("high"))).select("g").distinct()
 
 
+def _parts(before: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each window: by its place relative to the anchor, which equal windows share, then by its hash."""
+    places = min(parts, GRAM)
+    finer = np.uint64(-(-parts // GRAM))
+    return (before * places // (GRAM + 1)) * int(finer) + (hashes % finer).astype(np.int64)
+
+
 def window_rows(docs: DataFrame, length: int) -> DataFrame:
     """(g, part, t1, t2, at, hash): the windows of the anchors (low, high, g, parts) of each text, as packed numbers."""
 
@@ -274,8 +285,8 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
                         prefix = prefix_hashes(data[base : base + CHUNK + 2 * length])
                     at = np.arange(w["low"], w["high"] + 1)
                     h = span_hashes(prefix, at - base, at - base + length)
-                    part = h % np.uint64(w["parts"])
-                    for p in range(w["parts"]):
+                    part = _parts(w["pos"] - at, h, w["parts"])
+                    for p in np.unique(part).tolist():
                         own = part == p
                         out.append((w["g"], p, *name, at[own].astype("<u4").tobytes(), h[own].tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -387,13 +398,19 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, lengt
         ),
         "suffix-settled",
     )
+    discard(ranks, strings)
     wanted = candidates.join(unsettled(candidates, settled), "g").withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
-    asked = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "g", "parts")).alias("wanted"))
+    asked = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "pos", "g", "parts")).alias("wanted"))
     asked = stored(asked.join(texts.select("t1", "t2", "docno"), ["t1", "t2"]), "suffix-asked")
     windows = window_rows(named_texts(docs, key, text, BitFilter(asked, "t1")).join(asked, ["t1", "t2", "docno"]), length)
     ranges = settled.unionByName(repeated_windows(windows))
     alone = texts.where("holders = 1").select("t1", "t2", "docno")
-    return ranges.join(alone, ["t1", "t2"]).groupBy("t1", "t2", "docno").agg(F.collect_list(F.struct("start", "stop")).alias("windows"))
+    out = stored(
+        ranges.join(alone, ["t1", "t2"]).groupBy("t1", "t2", "docno").agg(F.collect_list(F.struct("start", "stop")).alias("windows")),
+        "suffix-ranges",
+    )
+    discard(settled, asked, candidates, texts, often)
+    return out
 
 
 def named_texts(docs: DataFrame, key: str, text: str, likely: BitFilter) -> DataFrame:
@@ -414,7 +431,7 @@ def named_texts(docs: DataFrame, key: str, text: str, likely: BitFilter) -> Data
 
 def cut_results(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int) -> DataFrame:
     """(t1, t2, n_removed, n_spans, cut_sha, kept) of the texts that lose bytes; null n_removed: all."""
-    ranges = stored(repeated_ranges(info, docs, key, text, length, depth), "suffix-ranges")
+    ranges = repeated_ranges(info, docs, key, text, length, depth)
     bodies = named_texts(docs, key, text, BitFilter(ranges, "t1"))
     cut = cut_texts(bodies.join(ranges, ["t1", "t2", "docno"]), length).dropDuplicates(["t1", "t2"])
     copies = info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(F.count("*").alias("holders")).where("holders > 1")
@@ -424,7 +441,7 @@ def cut_results(info: DataFrame, docs: DataFrame, key: str, text: str, length: i
     return cut.unionByName(whole).withColumnRenamed("sha", "cut_sha")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 2) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     info = stored(describe(docs, key, text, length), "suffix-info")
     found = cut_results(info, docs, key, text, length, depth).drop("kept")
@@ -437,7 +454,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     )
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 3) -> DataFrame:
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 2) -> DataFrame:
     """The documents with what is left of their texts; what is left of a character that is cut apart goes too."""
     info = stored(describe(docs, key, text, length), "suffix-info")
     found = stored(cut_results(info, docs, key, text, length, depth).select("t1", "t2", "kept"), "suffix-kept")
