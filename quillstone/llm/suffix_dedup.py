@@ -44,7 +44,7 @@ from quillstone.sources.storage import discard, stored
 GRAM = 200
 CHUNK = 1 << 20  #: windows worked on at once
 SPAN = 6  #: symbols compared between neighbours
-MEMBERS = 20_000  #: anchors with the same bytes that go to one task
+MEMBERS = 5_000  #: anchors with the same bytes that go to one task
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
