@@ -2,8 +2,8 @@
 
 A byte goes if a string of ``length`` bytes that covers it starts at another place too, in any document.
 
-1. Sampling. Every window of ``length`` bytes names one of its inner positions, the one whose ``GRAM`` bytes have the
-   smallest hash (the rightmost of equals). These anchors depend on the bytes of the window alone, so equal windows name
+1. Sampling. Every window of ``length`` bytes names one of its inner positions, the one whose next ``length // 2`` bytes have
+   the smallest hash (the rightmost of equals). These anchors depend on the bytes of the window alone, so equal windows name
    the same relative position. About one byte in a hundred is an anchor. An anchor whose bytes occur once cannot be in a
    repeated window; the others are the symbols (bytes of the anchor, distance to the next) of one string per text.
 2. Difference cover. The suffixes of these strings are sorted by the algorithm of the cover {1, 2} modulo 3: the triples
@@ -17,6 +17,9 @@ A byte goes if a string of ``length`` bytes that covers it starts at another pla
    anchor with unsettled windows are compared by a 64-bit hash of their bytes, anchor by anchor; an anchor that very many
    texts share is dealt to many tasks by that hash.
 
+The units are bytes or, with ``words``, whole words: then ``length`` and all places count words, each told by a 64-bit hash
+of its bytes, so white space does not matter. Scripts that put no spaces between words count each character as one.
+
 Texts are worked on once each, however many documents hold them: a text that several documents hold repeats wholly.
 
 Defined results: a null text is empty; a text shorter than ``length`` loses nothing; repeated rows are copies, so both
@@ -41,7 +44,6 @@ from quillstone.llm.arrow_text import bytes_list, prefix_hashes, slices, span_ha
 from quillstone.llm.bit_filter import BitFilter
 from quillstone.sources.storage import discard, stored
 
-GRAM = 200
 CHUNK = 1 << 20  #: windows worked on at once
 SPAN = 6  #: symbols compared between neighbours
 MEMBERS = 5_000  #: anchors with the same bytes that go to one task
@@ -60,9 +62,34 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes: between white space, and each character of a script without spaces."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inner = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    start = inner & np.append(True, ~inner[:-1])
+    second = np.append(data[1:], 0)
+    alone = np.flatnonzero(((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (second >= 0xB8)))  # kana, Han; Thai, Lao
+    start[alone] = True
+    after = alone[alone + 3 < len(data)] + 3
+    start[after[inner[after]]] = True
+    starts = np.flatnonzero(start)
+    stop = np.append(~inner[1:] | start[1:], True) & inner
+    return starts, np.flatnonzero(stop) + 1
+
+
+def units(text: bytes, words: bool) -> np.ndarray:
+    """The text as numbers: its bytes, or hashes of its words."""
+    if not words:
+        return np.frombuffer(text, np.uint8)
+    starts, ends = word_bounds(text)
+    return span_hashes(prefix_hashes(np.frombuffer(text, np.uint8)), starts, ends)
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int):
     """Anchors of the texts that stand one after another in ``data``: place, hash and first window of each, in order."""
-    windows = len(data) - length + 1
+    windows, size = len(data) - length + 1, length // 2
     if windows <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(len(data) + 1, np.int8)
@@ -74,10 +101,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     for c in range(0, windows, CHUNK):
         part = data[c : c + CHUNK + length - 1]
         prefix = prefix_hashes(part)
-        at = np.arange(len(part) - GRAM + 1)
-        h = span_hashes(prefix, at, at + GRAM)
+        at = np.arange(len(part) - size + 1)
+        h = span_hashes(prefix, at, at + size)
         key = (h & ~LOW32) | (LOW32 - at.astype(np.uint64))
-        least = sliding_min(key, length - GRAM + 1)
+        least = sliding_min(key, length - size + 1)
         own = np.flatnonzero(valid[c : c + len(least)])
         place = (LOW32 - (least[own] & LOW32)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(own) else own
@@ -94,16 +121,17 @@ def _name(text: bytes) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([n >> 64, n & (2**64 - 1)], np.uint64).view(np.int64))
 
 
-def describe(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """A row per document: key, docno, n_bytes, sha, the text's name (t1, t2) and its anchors as bytes."""
+def describe(docs: DataFrame, key: str, text: str, length: int, words: bool = False) -> DataFrame:
+    """A row per document: key, docno, n_units, sha, the text's name (t1, t2) and its anchors as bytes."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key).alias("docno"), F.col(text).alias("t"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             texts = bytes_list(part.column("t"))
-            sizes = np.array([len(t) for t in texts], np.int64)
+            numbers = [units(t, words) for t in texts]
+            sizes = np.array([len(x) for x in numbers], np.int64)
             starts = np.cumsum(sizes) - sizes
-            place, gram, first = anchors(np.frombuffer(b"".join(texts), np.uint8), starts, sizes, length)
+            place, gram, first = anchors(np.concatenate([np.zeros(0, np.uint8), *numbers]), starts, sizes, length)
             cut = np.searchsorted(place, np.append(starts, sizes.sum()))
             at = [slice(cut[i], cut[i + 1]) for i in range(len(texts))]
             names = [_name(t) for t in texts]
@@ -117,11 +145,11 @@ def describe(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                     *(pa.array([(x[s] - b).astype(kind).tobytes() for s, b in zip(at, bases, strict=True)], pa.binary())
                       for x, bases, kind in ((place, starts, "<u4"), (first, starts, "<u4"), (gram, [0] * len(at), "<i8"))),
                 ],
-                names=["key", "docno", "n_bytes", "sha", "t1", "t2", "place", "first", "gram"],
+                names=["key", "docno", "n_units", "sha", "t1", "t2", "place", "first", "gram"],
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(described, f"key {kind}, docno long, n_bytes long, sha string, t1 long, t2 long, place binary, first binary, gram binary")
+    return rows.mapInArrow(described, f"key {kind}, docno long, n_units long, sha string, t1 long, t2 long, place binary, first binary, gram binary")
 
 
 def anchor_rows(texts: DataFrame, length: int, likely: BitFilter | None = None) -> DataFrame:
@@ -134,7 +162,7 @@ def anchor_rows(texts: DataFrame, length: int, likely: BitFilter | None = None)
                 pos = np.frombuffer(batch.column("place")[i].as_py(), "<u4").astype(np.int64)
                 if len(pos):
                     low = np.frombuffer(batch.column("first")[i].as_py(), "<u4").astype(np.int64)
-                    high = np.append(low[1:], batch.column("n_bytes")[i].as_py() - length + 1) - 1
+                    high = np.append(low[1:], batch.column("n_units")[i].as_py() - length + 1) - 1
                     gram = np.frombuffer(batch.column("gram")[i].as_py(), "<i8")
                     out.append((np.full(len(pos), i), np.arange(len(pos)), pos, np.append(np.diff(pos), 0), low, high, gram))
             if out:
@@ -223,8 +251,8 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def shared_reach(strings: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(t1, t2, ord, reach): bytes that a suffix surely shares with a neighbour in the suffix array."""
+def shared_reach(strings: DataFrame, ranks: DataFrame, size: int) -> DataFrame:
+    """(t1, t2, ord, reach): units, ``size`` of them in an anchor, that a suffix surely shares with a neighbour in the suffix array."""
     ahead = strings.select(
         "t1", "t2", "ord", F.array("sym", *[_next("sym", k) for k in range(1, SPAN)]).alias("syms"),
         F.array("gap", *[_next("gap", k) for k in range(1, SPAN)]).alias("gaps"),
@@ -244,7 +272,7 @@ def shared_reach(strings: DataFrame, ranks: DataFrame) -> DataFrame:
             same = np.logical_and.accumulate((syms[1:] == syms[:-1]) & (syms[1:] != 0), axis=1).sum(1)
             best = np.maximum(np.append(0, same), np.append(same, 0))
             offset = np.hstack([np.zeros((len(gaps), 1), np.int64), np.cumsum(gaps, axis=1)])
-            reach = np.where(best > 0, offset[np.arange(len(best)), np.maximum(best - 1, 0)] + GRAM, 0)
+            reach = np.where(best > 0, offset[np.arange(len(best)), np.maximum(best - 1, 0)] + size, 0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1, t2, at, reach)], names=["t1", "t2", "ord", "reach"])
             last = [x[-1:] for x in rows]
 
@@ -261,14 +289,15 @@ def unsettled(candidates: DataFrame, settled: DataFrame) -> DataFrame:
     return rows.where((F.col("kind") == 1) & (F.coalesce("reached", F.lit(-1)) < F.col("high"))).select("g").distinct()
 
 
-def _parts(before: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
+def _parts(before: np.ndarray, hashes: np.ndarray, parts: int, length: int) -> np.ndarray:
     """Part of each window: by its place relative to the anchor, which equal windows share, then by its hash."""
-    places = min(parts, GRAM)
-    finer = np.uint64(-(-parts // GRAM))
-    return (before * places // (GRAM + 1)) * int(finer) + (hashes % finer).astype(np.int64)
+    most = length - length // 2  # places before the anchor go from 0 up to this
+    places = min(parts, most)
+    finer = np.uint64(-(-parts // most))
+    return (before * places // (most + 1)) * int(finer) + (hashes % finer).astype(np.int64)
 
 
-def window_rows(docs: DataFrame, length: int) -> DataFrame:
+def window_rows(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
     """(g, part, t1, t2, at, hash): the windows of the anchors (low, high, g, parts) of each text, as packed numbers."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +306,7 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
             for i, text in enumerate(bytes_list(batch.column("t"))):
                 name = batch.column("t1")[i].as_py(), batch.column("t2")[i].as_py()
                 wanted = sorted(batch.column("wanted")[i].as_py(), key=lambda w: w["low"])
-                data = np.frombuffer(text, np.uint8)
+                data = units(text, words)
                 base, prefix = 0, np.zeros(1, np.uint64)
                 for w in wanted:
                     if w["high"] + length > base + len(prefix) - 1:
@@ -285,7 +314,7 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
                         prefix = prefix_hashes(data[base : base + CHUNK + 2 * length])
                     at = np.arange(w["low"], w["high"] + 1)
                     h = span_hashes(prefix, at - base, at - base + length)
-                    part = _parts(w["pos"] - at, h, w["parts"])
+                    part = _parts(w["pos"] - at, h, w["parts"], length)
                     for p in np.unique(part).tolist():
                         own = part == p
                         out.append((w["g"], p, *name, at[own].astype("<u4").tobytes(), h[own].tobytes()))
@@ -352,8 +381,11 @@ def _runs(rows: pa.Table) -> pa.RecordBatch:
     )
 
 
-def cut_texts(docs: DataFrame, length: int) -> DataFrame:
-    """(t1, t2, n_removed, n_spans, sha, kept): each text without the bytes under its windows (start, stop)."""
+def cut_texts(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
+    """(t1, t2, n_removed, n_spans, sha, kept): each text without the bytes under its windows (start, stop).
+
+    Words go with the white space up to the next word.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -363,6 +395,9 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
                 stop = np.maximum.accumulate(at[:, 1])
                 new = np.append(True, at[1:, 0] > stop[:-1])
                 begins, ends = at[new, 0], stop[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+                if words:
+                    edges = np.append(word_bounds(text)[0], len(text))
+                    begins, ends = edges[begins], edges[ends]
                 kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(text)], strict=True))
                 removed.append(len(text) - len(kept))
                 spans.append(len(begins))
@@ -376,11 +411,11 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("t", "t1", "t2", "windows").mapInArrow(cut, "t1 long, t2 long, n_removed long, n_spans long, sha string, kept string")
 
 
-def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int) -> DataFrame:
+def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int, words: bool = False) -> DataFrame:
     """(t1, t2, docno, windows): the repeated windows of the texts that one document alone holds."""
     texts = stored(
-        info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(
-            F.count("*").alias("holders"), F.min("docno").alias("docno"), F.first("n_bytes").alias("n_bytes"),
+        info.where("n_units >= %d" % length).groupBy("t1", "t2").agg(
+            F.count("*").alias("holders"), F.min("docno").alias("docno"), F.first("n_units").alias("n_units"),
             F.first("place").alias("place"), F.first("first").alias("first"), F.first("gram").alias("gram"),
         ),
         "suffix-texts",
@@ -391,7 +426,7 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, lengt
         candidates.select("t1", "t2", F.lit(0).cast("long").alias("path"), "ord", F.xxhash64("g", "gap").alias("sym"), "gap", "pos"), "suffix-strings"
     )
     ranks = suffix_ranks(strings.select("t1", "t2", "path", "ord", "sym"), depth)
-    reach = shared_reach(strings, ranks).where(F.col("reach") >= length)
+    reach = shared_reach(strings, ranks, length // 2).where(F.col("reach") >= length)
     settled = stored(
         reach.join(strings.select("t1", "t2", "ord", "pos"), ["t1", "t2", "ord"]).select(
             "t1", "t2", F.col("pos").alias("start"), (F.col("pos") + F.col("reach") - length).alias("stop")
@@ -402,7 +437,7 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, lengt
     wanted = candidates.join(unsettled(candidates, settled), "g").withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
     asked = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "pos", "g", "parts")).alias("wanted"))
     asked = stored(asked.join(texts.select("t1", "t2", "docno"), ["t1", "t2"]), "suffix-asked")
-    windows = window_rows(named_texts(docs, key, text, BitFilter(asked, "t1")).join(asked, ["t1", "t2", "docno"]), length)
+    windows = window_rows(named_texts(docs, key, text, BitFilter(asked, "t1")).join(asked, ["t1", "t2", "docno"]), length, words)
     ranges = settled.unionByName(repeated_windows(windows))
     alone = texts.where("holders = 1").select("t1", "t2", "docno")
     out = stored(
@@ -429,12 +464,12 @@ def named_texts(docs: DataFrame, key: str, text: str, likely: BitFilter) -> Data
     return rows.mapInArrow(named, "t1 long, t2 long, docno long, t string")
 
 
-def cut_results(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int) -> DataFrame:
+def cut_results(info: DataFrame, docs: DataFrame, key: str, text: str, length: int, depth: int, words: bool = False) -> DataFrame:
     """(t1, t2, n_removed, n_spans, cut_sha, kept) of the texts that lose bytes; null n_removed: all."""
-    ranges = repeated_ranges(info, docs, key, text, length, depth)
+    ranges = repeated_ranges(info, docs, key, text, length, depth, words)
     bodies = named_texts(docs, key, text, BitFilter(ranges, "t1"))
-    cut = cut_texts(bodies.join(ranges, ["t1", "t2", "docno"]), length).dropDuplicates(["t1", "t2"])
-    copies = info.where("n_bytes >= %d" % length).groupBy("t1", "t2").agg(F.count("*").alias("holders")).where("holders > 1")
+    cut = cut_texts(bodies.join(ranges, ["t1", "t2", "docno"]), length, words).dropDuplicates(["t1", "t2"])
+    copies = info.where("n_units >= %d" % length).groupBy("t1", "t2").agg(F.count("*").alias("holders")).where("holders > 1")
     whole = copies.select(
         "t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("kept")
     )
@@ -445,7 +480,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     info = stored(describe(docs, key, text, length), "suffix-info")
     found = cut_results(info, docs, key, text, length, depth).drop("kept")
-    return info.select("key", "n_bytes", "sha", "t1", "t2").join(found, ["t1", "t2"], "left").select(
+    return info.select("key", F.col("n_units").alias("n_bytes"), "sha", "t1", "t2").join(found, ["t1", "t2"], "left").select(
         F.col("key").alias(key),
         "n_bytes",
         F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long").alias("n_removed"),
@@ -454,10 +489,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     )
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 2) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, depth: int = 2, words: bool = False
+) -> DataFrame:
     """The documents with what is left of their texts; what is left of a character that is cut apart goes too."""
-    info = stored(describe(docs, key, text, length), "suffix-info")
-    found = stored(cut_results(info, docs, key, text, length, depth).select("t1", "t2", "kept"), "suffix-kept")
+    info = stored(describe(docs, key, text, length, words), "suffix-info")
+    found = stored(cut_results(info, docs, key, text, length, depth, words).select("t1", "t2", "kept"), "suffix-kept")
     likely = BitFilter(found, "t1")
     shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_t1", "_t2"))])
 
