@@ -1,8 +1,10 @@
 """The near-copy stage of the pipeline against brute force over word shingles."""
 
+import collections
 import random
 
 import corpus_pipeline
+from quillstone.llm import mixing
 from tests.llm import corpus
 
 
@@ -56,3 +58,22 @@ def test_groups_in_mixed_bands_are_whole(spark):
     rows = [[i, edited(rng, words, 3 + i % 5), "en", "s1"] for i in range(60)]
     got, _ = kept(spark, rows)
     assert got == survivors(rows) and 1 < len(got) < 60
+
+
+def test_repeated_and_null_ids_are_judged_row_by_row(spark):
+    rng = random.Random(6)
+    a, b, c, d = (corpus.prose(rng, 80) for _ in range(4))
+    rows = [[1, a, "en", "s1"], [2, b, "en", "s1"], [2, a, "en", "s1"], [2, c, "en", "s1"], [3, c, "en", "s1"], [3, c, "en", "s1"]]
+    rows += [[None, d, "en", "s1"], [None, d, "en", "s1"], [None, b, "en", "s1"], [4, b.upper(), "en", "s1"]]
+    _, out = kept(spark, rows)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted([(1, a), (2, b), (2, c), (0, d)])
+
+
+def test_rows_that_share_an_id_keep_their_copies(spark):
+    rng = random.Random(2)
+    rows = [[i // 3 if i % 10 else None, corpus.prose(rng, rng.randint(20, 90)), "en", f"s{i % 4}"] for i in range(60)]
+    rows += [list(rows[5]), list(rows[5]), list(rows[10])]
+    docs = corpus.frame(spark, rows)
+    out = corpus_pipeline.source_mix(spark, docs, "").collect()
+    want = sum(r["copies"] for r in mixing.mix(docs).collect())
+    assert 0 < want == len(out) and max(collections.Counter(r["text"] for r in out).values()) <= 9
