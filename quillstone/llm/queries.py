@@ -6,7 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import chat, langid, mixing, packing, quality_crf, search, simhash, suffix_dedup, url_filter, vector_join
+from quillstone.llm import (
+    chat,
+    langid,
+    mixing,
+    mixture_packing,
+    packing,
+    prefix_trie,
+    quality_crf,
+    search,
+    simhash,
+    suffix_dedup,
+    turn_repair,
+    url_filter,
+    vector_join,
+)
 
 
 def documents(spark, sf):
@@ -80,6 +94,21 @@ def op10_suffix_array(spark, sf):
     return suffix_dedup.repeats(documents(spark, sf))
 
 
+def op11_deficit_packing(spark, sf):
+    import public_tokenizers
+
+    return mixture_packing.pack_mixture(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_hirschberg_repair(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    return turn_repair.repair_report(rows, turn_repair.damage(rows))
+
+
+def op13_parentheses_trie(spark, sf):
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf}/conversations.parquet"), rebuilt=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +122,9 @@ QUERIES = {
         op8_prefix_targets,
         op9_pivot_range_join,
         op10_suffix_array,
+        op11_deficit_packing,
+        op12_hirschberg_repair,
+        op13_parentheses_trie,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
