@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import let, strip, stripped_lines, title_case
-from quillstone.sources.storage import pinned
+from quillstone.functions.text import strip, stripped_lines, title_case
+from quillstone.operators.spans import is_word, shaped, spans
 
 # Articles that neither link nor lend their names, and the category order of the index.
 NO_LINKS = ("index", "entity-queue")
@@ -50,75 +50,43 @@ def link_dictionary(articles: DataFrame) -> DataFrame:
     )
 
 
-def tokens_of(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)(\w+|[^\w\s])"), 1))
+def link_spans(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(src, dst) for each place outside of tags where an article names another one.
 
+    Names are case-sensitive and have no word character or slash beside them. Reading on from the end of the last name,
+    the longest name at a place wins and uses up its text. Names are found as runs of words (``spans``), so bodies stay
+    where they are; the few places of an article are put in order and resolved by one fold.
+    """
+    names = shaped(dictionary.select(F.col("name").alias("term"), F.col("slug").alias("dst")))
+    plain = articles.where(~F.col("slug").isin(list(NO_LINKS))).select(
+        F.col("slug").alias("src"), "part", F.regexp_replace("body", TAG, CUT).alias("text")
+    )
+    found = spans(plain, F.col("text"), ["src", "part"], names)
+
+    def beside(unit: str) -> Column:
+        return is_word(F.col(unit)) | (F.coalesce(unit, F.lit("")) == "/")
 
-def with_anchor(names: DataFrame) -> DataFrame:
-    """Each name with its rarest token among all names, which keeps common words out of the join."""
-    parts = names.select("name", F.explode(tokens_of(F.col("name"))).alias("token"))
-    frequency = parts.groupBy("token").agg(F.count("*").alias("n"))
-    anchors = parts.join(frequency, "token").groupBy("name").agg(
-        F.min_by("token", F.struct("n", (-F.length("token")).alias("l"), "token")).alias("anchor")
+    places = found.where(~beside("_before") & ~beside("_after")).groupBy("src", "part").agg(
+        F.array_sort(F.collect_list(F.struct("_at", (-F.col("_size")).alias("size"), "dst"))).alias("places")
     )
-    return names.join(anchors, "name")
+    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("taken"))
 
+    def step(state: Column, p: Column) -> Column:
+        taken = F.struct((p["_at"] - p["size"]).alias("end"), F.concat(state["taken"], F.array(p["dst"])).alias("taken"))
+        return F.when(p["_at"] >= state["end"], taken).otherwise(state)
 
-def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Distinct (src, dst): names of other articles in the text outside of tags.
+    taken = F.aggregate("places", nothing, step, lambda state: state["taken"])
+    return places.select("src", F.explode(taken).alias("dst")).where(F.col("src") != F.col("dst"))
 
-    Names are case-sensitive, have no word character or slash beside them, and the longest one wins and
-    uses up its text. Names that can occur in an article are found by an equi-join on one token each;
-    then the article is scanned once with an alternation of just those names, longest first. The
-    dictionary is used three times, so it is written once.
-    """
-    dictionary = pinned(dictionary)
-    plain = articles.where(~F.col("slug").isin(list(NO_LINKS))).select(
-        "slug", "part", F.regexp_replace("body", TAG, CUT).alias("text")
-    )
-    words = plain.select("slug", "part", F.explode_outer(tokens_of(F.col("text"))).alias("anchor"))
-    possible = (
-        words.withColumnRenamed("slug", "src")
-        .join(with_anchor(dictionary).select("anchor", "name"), "anchor")
-        .groupBy("src", "part")
-        .agg(F.collect_set("name").alias("names"))
-    )
 
-    def scan(text: Column, real: Column) -> Column:
-        ordered = F.array_sort(real, lambda a, b: F.length(b) - F.length(a))
-        literal = F.transform(
-            ordered, lambda n: F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        )
-        # most places cannot begin a name; the class of first characters passes over them cheaply
-        firsts = F.array_join(F.array_distinct(F.transform(real, lambda n: F.substring(n, 1, 1))), "")
-        initial = F.concat(F.lit(r"[\Q"), F.replace(firsts, F.lit("\\E"), F.lit("")), F.lit(r"\E\\]"))
-        pattern = F.concat(
-            F.lit("(?U)(?="), initial, F.lit(r")(?<![\w/])("), F.array_join(literal, "|"), F.lit(r")(?![\w/])")
-        )
-        return let(pattern, lambda p: F.array_distinct(F.regexp_extract_all(text, p, 1)))
-
-    def found(text: Column, names: Column) -> Column:
-        return let(
-            F.filter(names, lambda n: F.contains(text, n)),
-            lambda real: F.when(F.size(real) > 0, scan(text, real)).otherwise(F.array().cast("array<string>")),
-        )
-
-    # a left join, so the texts are never the side that Spark broadcasts
-    scanned = plain.withColumnRenamed("slug", "src").join(possible, ["src", "part"], "left")
-    names = F.coalesce("names", F.array().cast("array<string>"))
-    scanned = scanned.select("src", F.explode_outer(found(F.col("text"), names)).alias("name")).where(
-        F.col("name").isNotNull()
-    )
-    return (
-        scanned.join(dictionary.withColumnRenamed("slug", "dst"), "name")
-        .where(F.col("src") != F.col("dst"))
-        .select("src", "dst")
-        .distinct()
-    )
+def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of ``link_spans``."""
+    return link_spans(articles, dictionary).distinct()
 
 
 def outgoing_edges(articles: DataFrame) -> DataFrame:
-    return extract_links(articles, link_dictionary(articles))
+    """(src, dst, n): how often each article names each other one."""
+    return link_spans(articles, link_dictionary(articles)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def inbound_counts(articles: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,24 +1,23 @@
 """Catalog aliases and their mentions in lines of text.
 
-Matching is an equi-join: every run of 1..k words of a line is looked up among the aliases, so the work
-grows with the text and not with text times aliases. k is the longest alias. Aliases that begin or end
-with a symbol cannot be found by whole words; they are joined on one of their tokens and verified.
-No side is force-broadcast: Spark broadcasts the aliases while they are below its size threshold and
-shuffles both sides beyond it.
+Matching is an equi-join of runs of words with the aliases (``spans``), made only where an alias may begin, so the work
+grows with the text and not with text times aliases. Rows on their way to a hit hold a line's key and a run; the lines
+are cut out and joined with their neighbours for the hits alone. No side is force-broadcast: Spark broadcasts the
+aliases while they are below its size threshold and shuffles both sides beyond it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import collapse, left, let, lines, name_key, not_blank, or_blank, slug, strip
+from quillstone.operators.spans import is_word, shaped, spans
+from quillstone.sources.storage import stored
 
-WORD_EDGED = r"(?Us)^\w(?:.*\w)?\z"
-WORD = r"(?U)(\w+)"
-TOKEN = r"(?U)(\w+|[^\w\s])"
+#: what stands at both ends of a term, as patterns
 BOUNDARIES = {"word": (r"(?<!\w)", r"(?!\w)"), "edge": (r"\b", r"\b")}
 
 
@@ -48,62 +47,51 @@ def dedupe_aliases(aliases: DataFrame) -> DataFrame:
     )
 
 
-def word_runs(low: Column, longest: int) -> Column:
-    """Distinct runs of 1..longest whole words with the characters between them as they stand."""
-    runs = [F.regexp_extract_all(low, F.lit(WORD), 1)] + [
-        F.regexp_extract_all(low, F.lit(rf"(?U)(?<!\w)(?=(\w++(?:\W++\w++){{{n}}}))"), 1) for n in range(1, longest)
-    ]
-    return F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])
-
-
 def match_terms(
     rows: DataFrame, terms: DataFrame, text: str, keep: Sequence[str], out: Sequence[str], mode: str = "word"
 ) -> DataFrame:
-    """(keep..., out...) for each row whose ``text`` holds a term, ignoring case.
+    """(keep..., out...) for each place where ``text`` holds a term, ignoring case.
 
     ``terms`` has ``term`` (lower case) and the ``out`` columns. ``mode`` is ``word`` (no word character
     next to the term) or ``edge`` (a word boundary at both ends); they differ for terms with symbols at
-    their ends only. Rows repeat when several terms match.
+    their ends only. Rows repeat when a term stands at several places or several terms match.
     """
-    shape = terms.agg(
-        F.max(F.when(F.col("term").rlike(WORD_EDGED), F.size(F.regexp_extract_all("term", F.lit(WORD), 1)))).alias("k"),
-        F.count_if(~F.col("term").rlike(WORD_EDGED)).alias("symbols"),
-    ).first()
-    low = F.lower(F.col(text))
-    found = None
-    if shape["k"]:
-        # a filter on the key would be copied to every word run, so it is there only when needed
-        whole = terms.where(F.col("term").rlike(WORD_EDGED)) if shape["symbols"] else terms
-        grams = rows.select(*keep, F.explode_outer(word_runs(low, shape["k"])).alias("term"))
-        found = grams.join(whole, "term").select(*keep, *out)
-    if shape["symbols"]:
-        before, after = BOUNDARIES[mode]
-        odd = terms.where(~F.col("term").rlike(WORD_EDGED)).withColumn(
-            "_anchor",
-            F.get(
-                F.array_sort(
-                    F.regexp_extract_all("term", F.lit(TOKEN), 1), lambda a, b: F.length(b) - F.length(a)
-                ),
-                F.lit(0),
-            ),
-        )
-        pattern = F.concat(
-            F.lit("(?U)" + before + r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + after)
-        )
-        tokens = rows.select(
-            *keep,
-            low.alias("_low"),
-            F.explode_outer(F.array_distinct(F.regexp_extract_all(low, F.lit(TOKEN), 1))).alias("_anchor"),
-        )
-        checked = (
-            tokens.join(odd, "_anchor")
-            .where(F.contains("_low", "term") & F.rlike("_low", pattern))
-            .select(*keep, *out)
-        )
-        found = checked if found is None else found.unionByName(checked)
-    if found is None:
-        found = rows.select(*keep).join(terms.select(*out).limit(0), F.lit(False))
-    return found
+    found = spans(rows, F.lower(F.col(text)), keep, shaped(terms.select("term", *out)))
+    before, after = is_word(F.col("_before")), is_word(F.col("_after"))
+    if mode == "edge":
+        whole = (~F.col("_open") | before) & (~F.col("_shut") | after)
+    else:
+        whole = ~(F.col("_open") & before) & ~(F.col("_shut") & after)
+    return found.where(whole).select(*keep, *out)
+
+
+def with_row_hash(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys..., _text, _doc): texts with a hash of their row, by which hits find them again."""
+    return docs.select(*keys, F.col(text).alias("_text"), F.xxhash64(*keys, text).alias("_doc"))
+
+
+def line_hits(docs: DataFrame, keys: Sequence[str], text: str, terms: DataFrame, mode: str = "word", min_len: int = 0) -> DataFrame:
+    """Distinct (keys..., _doc, _i, canonical): the stripped lines, counted from 0, of at least ``min_len`` characters that hold a term."""
+    named = with_row_hash(docs, keys, text)
+    rows = named.select(*keys, "_doc", F.posexplode_outer(F.transform(lines(F.col("_text")), strip)).alias("_i", "_line"))
+    return match_terms(rows.where(F.length("_line") >= min_len), terms, "_line", [*keys, "_doc", "_i"], ["canonical"], mode).distinct()
+
+
+def show_lines(
+    docs: DataFrame, keys: Sequence[str], text: str, hits: DataFrame, show: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """The hits with ``shown``: what ``show`` gives of the stripped lines of their text and a place in them.
+
+    A text is joined once with all places wanted of it, and each place is shown once for all names found there.
+    """
+    wanted = hits.groupBy("_doc").agg(F.collect_set("_i").alias("_places"))
+    texts = with_row_hash(docs, keys, text).select("_text", "_doc").join(wanted, "_doc")
+    places = let(
+        F.transform(lines(F.col("_text")), strip),
+        lambda ls: F.transform(F.col("_places"), lambda i: F.struct(i.alias("i"), show(ls, i).alias("shown"))),
+    )
+    shown = texts.select("_doc", F.explode_outer(places).alias("_s")).select("_doc", F.col("_s.i").alias("_i"), "_s.shown")
+    return hits.join(shown.dropDuplicates(["_doc", "_i"]), ["_doc", "_i"])
 
 
 def with_context(ls: Column, i: Column, min_len: int = 15, width: int = 420) -> Column:
@@ -153,18 +141,14 @@ def as_terms(aliases: DataFrame) -> DataFrame:
 
 
 def match_mentions(
-    notes: DataFrame, aliases: DataFrame, src_rank: int = 0, min_len: int = 12, mode: str = "word"
+    notes: DataFrame, aliases: DataFrame, src_rank: int = 0, min_len: int = 12, mode: str = "word", width: int = 420
 ) -> DataFrame:
-    """Mentions in notes (session, source, text): one row per line and entity with the line's context.
-
-    Only the context, at most 420 characters, travels with the word runs, never the whole line.
-    """
-    rows = lines_with_context(notes, ["session", "source"], min_len=min_len)
-    keep = ["session", "source", "line_no", "context"]
-    hits = match_terms(rows, as_terms(aliases), "line", keep, ["canonical"], mode)
-    return hits.distinct().select(
-        F.lit(src_rank).alias("src_rank"), "session", "source", "line_no", F.col("context").alias("text"), "canonical"
-    )
+    """Mentions in notes (session, source, text): one row per line and entity with the line's context of ``width`` characters."""
+    keys = ["session", "source"]
+    hits = stored(line_hits(notes, keys, "text", as_terms(aliases), mode, min_len), "mention-hits")
+    shown = show_lines(notes, keys, "text", hits, lambda ls, i: with_context(ls, i, width=width))
+    line_no = (F.col("_i") + 1).cast("long").alias("line_no")
+    return shown.select(F.lit(src_rank).alias("src_rank"), *keys, line_no, F.col("shown").alias("text"), "canonical")
 
 
 def match_player_inputs(
@@ -190,7 +174,9 @@ def match_player_inputs(
         left(F.concat(F.lit("["), "player", F.lit("] "), "note"), 320).alias("text"),
     )
     keep = ["line_no", "session", "text"]
-    named = match_terms(rows, as_terms(aliases), "note", keep, ["canonical"])
+    rows = rows.withColumn("_row", F.xxhash64("line_no", "note", "hint", "session", "text"))
+    hits = match_terms(rows, as_terms(aliases), "note", ["_row"], ["canonical"]).distinct()
+    named = rows.join(hits, "_row").select(*keep, "canonical")
     filed = rows.join(
         catalog.select("canonical", F.lower("canonical").alias("hint")).distinct(), "hint"
     ).select(*keep, "canonical")
@@ -251,36 +237,45 @@ def resolve_canonical(requests: DataFrame, catalog: DataFrame, entity: str = "en
     return requests.withColumn("_key", name_key(F.col(entity))).join(keys, "_key", "left").drop("_key")
 
 
-def extend_catalog(requests: DataFrame, catalog: DataFrame, default_type: str = "Unknown") -> DataFrame:
-    """Catalog plus one row for each new name among the requests, in order of first use.
-
-    ``requests`` carries ``request_id``; the first spelling of a new name is kept.
-    """
+def new_names(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(_key, canonical, first_id): names among the requests that the catalog lacks, in their first spelling."""
     unresolved = resolve_canonical(requests, catalog).where(F.col("canonical").isNull())
-    new = unresolved.groupBy(name_key(F.col("entity")).alias("_key")).agg(
-        F.min_by("entity", "request_id").alias("canonical"), F.min("request_id").alias("first_id")
+    return unresolved.groupBy(name_key(F.col("entity")).alias("_key")).agg(
+        strip(F.min_by("entity", "request_id")).alias("canonical"), F.min("request_id").alias("first_id")
     )
-    # positions of new names follow all catalog positions; first use keeps their order
+
+
+def with_names(catalog: DataFrame, new: DataFrame, default_type: str = "Unknown") -> DataFrame:
+    """Catalog plus the new names; their positions follow all others in order of first use."""
     last = catalog.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("p")).scalar()
     return catalog.select("pos", "canonical", "type", "synonyms").unionByName(
         new.select(
             (last + 1 + F.col("first_id")).alias("pos"),
-            strip(F.col("canonical")).alias("canonical"),
+            "canonical",
             F.lit(default_type).alias("type"),
             F.array().cast("array<string>").alias("synonyms"),
         )
     )
 
 
-def settle_names(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+def extend_catalog(requests: DataFrame, catalog: DataFrame, default_type: str = "Unknown") -> DataFrame:
+    """Catalog plus one row for each new name among the requests, in order of first use.
+
+    ``requests`` carries ``request_id``; the first spelling of a new name is kept.
+    """
+    return with_names(catalog, new_names(requests, catalog), default_type)
+
+
+def settle_names(requests: DataFrame, catalog: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """Requests with the ``canonical`` name they get in the catalog extended by their own new names.
 
-    ``is_new`` marks the first request for a new name, the one that adds it.
+    ``is_new`` marks the first request for a new name, the one that adds it. ``new`` are their ``new_names`` if known.
     """
-    known = resolve_canonical(requests, catalog)
-    settled = resolve_canonical(requests, extend_catalog(requests, catalog))
-    first = known.where(F.col("canonical").isNull()).groupBy(name_key(F.col("entity")).alias("_key")).agg(
-        F.min("request_id").alias("request_id")
+    new = new_names(requests, catalog) if new is None else new
+    fresh = new.select("_key", F.col("canonical").alias("_fresh"), "first_id")
+    known = resolve_canonical(requests, catalog).withColumn("_key", name_key(F.col("entity"))).join(fresh, "_key", "left")
+    return known.select(
+        *requests.columns,
+        F.coalesce("canonical", "_fresh").alias("canonical"),
+        F.coalesce(F.col("request_id") == F.col("first_id"), F.lit(False)).alias("is_new"),
     )
-    firsts = first.select("request_id", F.lit(True).alias("_first"))
-    return settled.join(firsts, "request_id", "left").withColumn("is_new", F.coalesce("_first", F.lit(False))).drop("_first", "type", "synonyms")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import left, lines, not_blank, or_blank, slug, strip
-from quillstone.operators.mentions import match_terms
+from quillstone.functions.text import left, not_blank, or_blank, slug, strip
+from quillstone.operators.mentions import line_hits, new_names, settle_names, show_lines, with_names
 from quillstone.operators.ranking import first_per_group, joined_in_order, rank_in_group
+from quillstone.sources.storage import stored
 
 # States, request types, work-log texts and limits of the queue.
 OPEN_STATES = ("incoming", "pending")
@@ -143,51 +146,91 @@ def select_open_requests(queue: DataFrame) -> DataFrame:
     return queue.where(state.isin(list(OPEN_STATES)) & (strip(or_blank(F.col("entity"))) != ""))
 
 
-def find_mentions(terms: DataFrame, log_lines: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
-    """Cited mentions of names: (canonical, rank, domain, source, excerpt).
+# The two kinds of texts that are searched, in order.
+DOMAINS = ("campaign", "general")
+
+
+def log_keys(logs: DataFrame) -> list[str]:
+    """Logs are whole texts (source, text) or single lines (source, line_no, text)."""
+    return ["source", "line_no"] if "line_no" in logs.columns else ["source"]
+
 
-    ``terms`` has (canonical, term). Lines of logs (source, line_no, text) come first, then pages
-    (source, page, text) with their first matching line. With a ``cap`` each name keeps that many first mentions.
+def mention_hits(terms: DataFrame, logs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where names are mentioned: (canonical, domain_rank, file, place, _doc, _i), texts left behind.
+
+    ``terms`` has (canonical, term). Each line of a log counts, of a page (source, page, text) the first line with a
+    name does. ``_doc`` and ``_i`` are the row's hash and the line in it.
     """
     keys = terms.select("canonical", F.lower("term").alias("term")).where(F.col("term") != "").distinct()
-    excerpt = left(strip(F.col("text")), 280)
-    logs = log_lines.select("source", "line_no", "text", excerpt.alias("excerpt"))
-    in_logs = match_terms(logs, keys, "text", ["source", "line_no", "excerpt"], ["canonical"], "edge")
-    from_logs = in_logs.distinct().select(
-        "canonical",
-        F.lit(0).alias("domain_rank"),
-        F.lit("campaign").alias("domain"),
-        F.col("source").alias("file"),
-        F.col("line_no").alias("place"),
-        F.concat("source", F.lit("#L"), F.col("line_no").cast("string")).alias("source"),
-        "excerpt",
-    )
-    page_lines = (
-        pages.select("source", "page", F.posexplode_outer(lines(F.col("text"))).alias("i", "text"))
-        .where(F.col("i").isNotNull())
-        .select("source", "page", "i", "text", excerpt.alias("excerpt"))
-    )
-    in_pages = match_terms(page_lines, keys, "text", ["source", "page", "i", "excerpt"], ["canonical"], "edge")
-    from_pages = (
-        in_pages.groupBy("canonical", "source", "page")
-        .agg(F.min_by("excerpt", "i").alias("excerpt"))
-        .select(
-            "canonical",
-            F.lit(1).alias("domain_rank"),
-            F.lit("general").alias("domain"),
-            F.col("source").alias("file"),
-            F.col("page").alias("place"),
-            F.concat("source", F.lit("#PAGE-"), F.col("page").cast("string")).alias("source"),
-            "excerpt",
+    in_logs = line_hits(logs, log_keys(logs), "text", keys, "edge")
+    place = F.col("line_no") if "line_no" in logs.columns else (F.col("_i") + 1).cast("long")
+    in_pages = line_hits(pages, ["source", "page"], "text", keys, "edge")
+    first = in_pages.groupBy("canonical", "source", "page").agg(F.min(F.struct("_i", "_doc")).alias("at"))
+    return in_logs.select(
+        "canonical", F.lit(0).alias("domain_rank"), F.col("source").alias("file"), place.alias("place"), "_doc", F.col("_i").cast("int").alias("_i")
+    ).unionByName(
+        first.select(
+            "canonical", F.lit(1).alias("domain_rank"), F.col("source").alias("file"), F.col("page").alias("place"), "at._doc", F.col("at._i").cast("int").alias("_i")
         )
     )
-    order = [F.col("domain_rank"), F.col("file"), F.col("place")]
-    both = from_logs.unionByName(from_pages)
+
+
+def cite_mentions(hits: DataFrame, logs: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """(canonical, rank, domain, source, excerpt) of the hits, logs first. With a ``cap`` each name keeps that many.
+
+    Places are ranked and cut before any text is joined.
+    """
+    order = ["domain_rank", "file", "place"]
     if cap is None:
-        ranked = rank_in_group(both, ["canonical"], ["domain_rank", "file", "place"], "rank")
+        ranked = rank_in_group(hits, ["canonical"], order, "rank")
     else:
-        ranked = first_per_group(both, ["canonical"], order, cap)
-    return ranked.select("canonical", F.col("rank").cast("long").alias("rank"), "domain", "source", "excerpt")
+        ranked = first_per_group(hits, ["canonical"], [F.col(c) for c in order], cap)
+
+    def cited(rank: int, texts: DataFrame, keys: list[str], mark: str) -> DataFrame:
+        shown = show_lines(texts, keys, "text", ranked.where(F.col("domain_rank") == rank), lambda ls, i: left(ls[i], 280))
+        return shown.select(
+            "canonical",
+            F.col("rank").cast("long").alias("rank"),
+            F.lit(DOMAINS[rank]).alias("domain"),
+            F.concat("file", F.lit(mark), F.col("place").cast("string")).alias("source"),
+            F.col("shown").alias("excerpt"),
+        )
+
+    return cited(0, logs, log_keys(logs), "#L").unionByName(cited(1, pages, ["source", "page"], "#PAGE-"))
+
+
+def find_mentions(terms: DataFrame, logs: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Cited mentions of names; see ``mention_hits`` and ``cite_mentions``. The places are written once."""
+    return cite_mentions(stored(mention_hits(terms, logs, pages), "mention-hits"), logs, pages, cap)
+
+
+@dataclass(frozen=True)
+class QueueRun:
+    """What the steps of a queue run share: each table is made once and read by all of them."""
+
+    settled: DataFrame  # open requests with their canonical name
+    catalog: DataFrame  # extended by the new names
+    hits: DataFrame  # places where the names are mentioned, none cut off
+    logs: DataFrame
+    pages: DataFrame
+
+    def cited(self, cap: int | None = None) -> DataFrame:
+        return cite_mentions(self.hits, self.logs, self.pages, cap)
+
+
+def queue_run(queue: DataFrame, catalog: DataFrame, logs: DataFrame, pages: DataFrame) -> QueueRun:
+    """Settle the names of the open requests, extend the catalog, and find all mentions.
+
+    The requests, the catalog and the places are written in the shared folder under names of their own, so a step that
+    is repeated reads what the others have read.
+    """
+    asked = stored(select_open_requests(queue), "queue-requests")
+    known = stored(catalog.select("pos", "canonical", "type", "synonyms"), "queue-known")
+    new = stored(new_names(asked, known), "queue-new")
+    extended = stored(with_names(known, new), "queue-catalog")
+    terms = extended.select("canonical", F.explode(F.concat(F.array("canonical"), "synonyms")).alias("term"))
+    hits = stored(mention_hits(terms, logs, pages), "queue-hits")
+    return QueueRun(settle_names(asked, known, new), extended, hits, logs, pages)
 
 
 def complete_requests(

@@ -90,9 +90,16 @@ query("session_title", with_views("notes", "SELECT source, session FROM notes"))
     lambda spark, sf: V.notes(spark, sf).select("source", "session")
 )
 query("match_player_inputs", with_views("input_mentions", "SELECT * FROM input_mentions"))(input_mentions)
-query("all_mentions", with_views("mentions", "SELECT * FROM mentions ORDER BY src_rank, source, line_no"))(
-    lambda spark, sf: mentions(spark, sf).orderBy("src_rank", "source", "line_no")
-)
+EVERY = "SELECT * FROM mentions UNION ALL SELECT * FROM import_mentions ORDER BY src_rank, source, line_no"
+
+
+@query("all_mentions", with_views("mentions import_mentions", EVERY))
+def all_mentions(spark, sf):
+    """Mentions in notes, imports and inputs, in reading order."""
+    imported = M.match_mentions(V.imports(spark, sf), alias_keys(spark, sf), src_rank=1)
+    return M.all_mentions(log_mentions(spark, sf), imported, input_mentions(spark, sf)).orderBy("src_rank", "source", "line_no")
+
+
 
 # --- profiles --------------------------------------------------------------------------------------
 

@@ -159,7 +159,10 @@ query("link_dictionary", links_sql("SELECT * FROM dictionary"))(
 query("extract_links", links_sql("SELECT * FROM edges"))(
     lambda spark, sf: K.extract_links(V.link_articles(spark, sf), K.link_dictionary(V.link_articles(spark, sf)))
 )
-query("outgoing_edges", links_sql("SELECT * FROM edges"))(
+NAMED = r"""SELECT src, slug AS dst, count(*) AS n FROM (SELECT slug AS src,
+    unnest(regexp_extract_all(regexp_replace(body, '<[^>]+>', '|', 'g'), '[\p{L}\p{N}_/]+')) AS name FROM link_articles)
+    JOIN dictionary USING (name) WHERE src <> slug GROUP BY ALL"""
+query("outgoing_edges", links_sql(NAMED))(
     lambda spark, sf: K.outgoing_edges(V.link_articles(spark, sf))
 )
 EDGES = "page_edges edge_articles"
@@ -398,10 +401,6 @@ def resolved(spark, sf):
     return M.resolve_canonical(opened(spark, sf), V.catalog(spark, sf))
 
 
-def settled(spark, sf):
-    return M.settle_names(opened(spark, sf), V.catalog(spark, sf))
-
-
 query("select_open_requests", requests_sql("SELECT request_id, entity, status FROM opened"))(
     lambda spark, sf: opened(spark, sf).select("request_id", "entity", "status")
 )
@@ -412,34 +411,37 @@ query("extend_catalog", requests_sql("SELECT * FROM extended"))(
     lambda spark, sf: M.extend_catalog(opened(spark, sf), V.catalog(spark, sf)).withColumn("synonyms", F.array_join("synonyms", "|"))
 )
 
-HAS = """(contains(norm, term) AND (contains(norm, ' ' || term || ' ') OR contains(norm, ' ' || term || '|')
-    OR contains(norm, '|' || term || ' ') OR contains(norm, '|' || term || '|')))"""
-NORM = r"'|' || regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '|', 'g') || '|'"
 FOUND = dict(
-    all_terms="SELECT DISTINCT canonical, lower(n) AS term FROM all_names WHERE n <> ''",
-    logs=f"SELECT 'doc' || doc_id AS source, line_no, text, {NORM} AS norm FROM doc_lines",
-    page_lines=f"""SELECT 'conv' || conv_id AS source, turn AS page, i, text, {NORM} AS norm FROM (SELECT conv_id, turn,
-      unnest(string_split(text, {NL})) AS text, generate_subscripts(string_split(text, {NL}), 1) AS i FROM conversations)""",
-    hits=f"""SELECT DISTINCT canonical, 0 AS dr, 'campaign' AS domain, source AS file, line_no AS place, source || '#L' || line_no AS source, substr(trim(text), 1, 280) AS excerpt
-      FROM logs JOIN all_terms ON {HAS} UNION ALL
-      SELECT canonical, 1, 'general', source, page, source || '#PAGE-' || page, min_by(substr(trim(text), 1, 280), i) FROM page_lines JOIN all_terms ON {HAS} GROUP BY canonical, source, page""",
-    found="""SELECT canonical, rank, domain, source, excerpt FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY dr, file, place) AS rank FROM hits) WHERE rank <= 120""",
-)
-
-
-def found(spark, sf):
-    catalog = M.extend_catalog(opened(spark, sf), V.catalog(spark, sf))
-    terms = catalog.select("canonical", F.explode(F.concat(F.array("canonical"), "synonyms")).alias("term"))
-    log_lines = S.doc_lines(V.documents(spark, sf)).select(
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "line_no", "text"
-    )
+    all_terms=f"SELECT DISTINCT canonical, {V.UNITS.format(x='lower(n)')} AS term, {V.WORDS.format(x='lower(n)')}[1] AS head FROM all_names WHERE n <> ''",
+    logs=f"""SELECT 'doc' || doc_id AS source, line_no, text, {V.UNITS.format(x='lower(text)')} AS norm,
+      unnest(list_distinct({V.WORDS.format(x='lower(text)')})) AS head FROM doc_lines""",
+    page_lines=f"""SELECT *, {V.UNITS.format(x='lower(text)')} AS norm, unnest(list_distinct({V.WORDS.format(x='lower(text)')})) AS head
+      FROM (SELECT 'conv' || conv_id AS source, turn AS page, unnest(string_split(text, {NL})) AS text,
+        generate_subscripts(string_split(text, {NL}), 1) AS i FROM conversations)""",
+    hits="""SELECT DISTINCT canonical, 0 AS dr, 'campaign' AS domain, source AS file, line_no AS place, source || '#L' || line_no AS source, substr(trim(text), 1, 280) AS excerpt
+      FROM logs JOIN all_terms USING (head) WHERE contains(norm, term) UNION ALL
+      SELECT canonical, 1, 'general', source, page, source || '#PAGE-' || page, min_by(substr(trim(text), 1, 280), i) FROM page_lines JOIN all_terms USING (head)
+      WHERE contains(norm, term) GROUP BY canonical, source, page""",
+    every_hit="SELECT canonical, row_number() OVER (PARTITION BY canonical ORDER BY dr, file, place) AS rank, domain, source, excerpt FROM hits",
+    found=f"SELECT * FROM every_hit WHERE rank <= {R.MENTION_CAP}",
+)
+
+
+def queue_run(spark, sf):
+    """The tables that the steps of a queue run share, over whole documents and conversations."""
+    logs = V.documents(spark, sf).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "text")
     pages = table(spark, sf, "conversations").select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("source"), F.col("turn").alias("page"), "text"
     )
-    return R.find_mentions(terms, log_lines, pages, cap=R.MENTION_CAP)
+    return R.queue_run(V.requests(spark, sf), V.catalog(spark, sf), logs, pages)
 
 
-query("find_mentions", requests_sql("SELECT * FROM found", "doc_lines", **FOUND))(found)
+query("find_mentions", requests_sql("SELECT * FROM found", "doc_lines", **FOUND))(
+    lambda spark, sf: queue_run(spark, sf).cited(R.MENTION_CAP)
+)
+query("find_every_mention", requests_sql("SELECT * FROM every_hit", "doc_lines", **FOUND))(
+    lambda spark, sf: queue_run(spark, sf).cited()
+)
 
 
 def slugs(spark, sf):
@@ -447,14 +449,16 @@ def slugs(spark, sf):
     return V.catalog(spark, sf).where(F.col("pos") % 3 == 0).select(X.slug(F.col("canonical")).alias("slug"))
 
 
-def completed(spark, sf):
-    return R.complete_requests(settled(spark, sf), found(spark, sf), slugs(spark, sf), F.lit(NOW))
+def completed(spark, sf, run=None):
+    """Names count all their mentions; ``MENTION_CAP`` cuts the lists of dossiers only."""
+    run = run or queue_run(spark, sf)
+    return R.complete_requests(run.settled, run.hits, slugs(spark, sf), F.lit(NOW))
 
 
 COMPLETED = dict(
     **FOUND,
     have=f"SELECT DISTINCT {slug_sql('canonical')} AS slug FROM catalog WHERE pos % 3 = 0",
-    counts="SELECT canonical AS c, count(*) AS n FROM found GROUP BY canonical",
+    counts="SELECT canonical AS c, count(*) AS n FROM every_hit GROUP BY canonical",
     named="SELECT *, canonical AS resolved_entity FROM settled",
     completed=f"""SELECT *, {slug_sql('resolved_entity')} AS slug, coalesce(n, 0) AS n_mentions,
       CASE WHEN {slug_sql('resolved_entity')} IN (SELECT slug FROM have) THEN 'integrated' ELSE 'researched' END AS result FROM named LEFT JOIN counts ON c = resolved_entity""",
@@ -530,9 +534,8 @@ def request_audit(spark, sf):
     ),
 )
 def dossier_rows(spark, sf):
-    mentions = pinned(found(spark, sf))
-    done = R.complete_requests(settled(spark, sf), mentions, slugs(spark, sf), F.lit(NOW))
-    return R.dossier_rows(done, M.extend_catalog(opened(spark, sf), V.catalog(spark, sf)), mentions)
+    run = queue_run(spark, sf)
+    return R.dossier_rows(completed(spark, sf, run), run.catalog, run.cited(R.MENTION_CAP))
 
 
 @query(

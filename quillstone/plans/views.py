@@ -43,6 +43,8 @@ FIXES = (("tion", "tlon"), ("tlon.", "tion!"), ("eau", "eo"))
 PLAN = ((1, 2, "opening"), (3, 5, "middle"), (4, 9, "overlap"), (10, 40, "rest"), (900, 999, "none"))
 
 
+LONG_NAME = r"(\p{L}+,? ){19}\p{L}+"
+
 # tables with much work per row, and the columns that tell their rows apart
 TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
@@ -113,16 +115,43 @@ def dirty_docs(spark, sf):
     )
 
 
-def catalog(spark, sf):
+def kind_of(key):
+    return F.when(F.col(key) % 3 == 0, "PC").when(F.col(key) % 3 == 1, "npc").otherwise("Thing").alias("type")
+
+
+def passage_names(spark, sf):
+    """Entities of the benchmark passages; one of their names is 20 words long where it can be."""
     words = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)
-    return table(spark, sf, "benchmark").select(F.col("item_id"), words.alias("w")).select(
+    return table(spark, sf, "benchmark").select("item_id", words.alias("w"), F.regexp_extract("text", LONG_NAME, 0).alias("long")).select(
         F.col("item_id").alias("pos"),
         F.concat(F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1))).alias("canonical"),
-        F.when(F.col("item_id") % 3 == 0, "PC").when(F.col("item_id") % 3 == 1, "npc").otherwise("Thing").alias("type"),
-        F.array(F.get("w", F.lit(3)), F.get("w", F.lit(5))).alias("synonyms"),
+        kind_of("item_id"),
+        F.array(F.get("w", F.lit(3)), F.get("w", F.lit(5)), "long").alias("synonyms"),
     )
 
 
+def catalog(spark, sf):
+    """Entities of the benchmark passages, and one for each part.
+
+    A part's other names are the longest word and the longest pair of words in the whole document of its number.
+    """
+
+    def longest(pattern):
+        found = F.regexp_extract_all("text", F.lit(pattern), 1)
+        return F.array_max(F.transform(found, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+
+    named = documents(spark, sf).select(
+        F.col("doc_id").alias("p_partkey"), longest(r"(\p{L}+)").alias("word"), longest(r"(\p{L}+ \p{L}+)").alias("pair")
+    )
+    parts = table(spark, sf, "part").join(named, "p_partkey").select(
+        (F.col("p_partkey") + 1_000_000).alias("pos"),
+        F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("canonical"),
+        kind_of("p_partkey"),
+        F.array(F.coalesce("word", F.lit("")), F.coalesce("pair", F.lit(""))).alias("synonyms"),
+    )
+    return passage_names(spark, sf).unionByName(parts)
+
+
 def note_docs(spark, sf):
     return documents(spark, sf).select(
         F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
@@ -147,6 +176,15 @@ def notes(spark, sf):
     return note_docs(spark, sf).select(session_title(F.col("name")).alias("session"), "source", "text")
 
 
+def imports(spark, sf):
+    """Imported pages as notes: session, source, text."""
+    return table(spark, sf, "pages").select(
+        F.concat(F.lit("Imported "), F.col("page_id").cast("string")).alias("session"),
+        F.concat(F.lit("imports/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"),
+        F.col("html").alias("text"),
+    )
+
+
 def player_inputs(spark, sf):
     return table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"),
@@ -233,7 +271,7 @@ def edge_articles(spark, sf):
 
 def requests(spark, sf):
     events = table(spark, sf, "events")
-    names = catalog(spark, sf).select("pos", "canonical")
+    names = passage_names(spark, sf).select("pos", "canonical")
     rows = events.select(
         F.col("event_id").alias("request_id"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
@@ -324,6 +362,10 @@ def run_pages(spark, sf):
 NL = "chr(10)"
 LINES = f"string_split(text, {NL})"
 WORDCH = r"[\p{L}\p{N}_]"
+LINES_OF = "string_split({x}, chr(10))"
+# words and single other characters between bars: a term stands whole where its units do
+UNITS = r"'|' || array_to_string(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]'), '|') || '|'"
+WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+')"
 
 SQL = {
     "book_pages": "SELECT source AS book, doc_id AS page, text FROM documents",
@@ -344,9 +386,13 @@ SQL = {
         || (CASE WHEN (doc_id + j - 1) % 4 = 0 THEN {NL} || {NL} || {NL} ELSE '' END)
         || (CASE WHEN (doc_id + j - 1) % 3 = 0 THEN {NL} || lower(x) ELSE '' END)), {NL}), 'ing ', 'i-' || {NL} || 'ng ') AS text
         FROM documents""",
-    "catalog": r"""SELECT item_id AS pos, w[1] || ' ' || w[2] AS canonical,
-        CASE item_id % 3 WHEN 0 THEN 'PC' WHEN 1 THEN 'npc' ELSE 'Thing' END AS type, [w[4], w[6]] AS synonyms
-        FROM (SELECT item_id, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark)""",
+    "catalog": rf"""SELECT item_id AS pos, w[1] || ' ' || w[2] AS canonical,
+        CASE item_id % 3 WHEN 0 THEN 'PC' WHEN 1 THEN 'npc' ELSE 'Thing' END AS type, [w[4], w[6], long] AS synonyms
+        FROM (SELECT item_id, regexp_extract_all(text, '\p{{L}}+') AS w, regexp_extract(text, '{LONG_NAME}') AS long FROM benchmark)
+        UNION ALL SELECT 1000000 + p_partkey, p_name || ' ' || p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'PC' WHEN 1 THEN 'npc' ELSE 'Thing' END,
+          [coalesce(list_reverse_sort(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda x: {{'l': length(x), 'w': x}}))[1].w, ''),
+           coalesce(list_reverse_sort(list_transform(regexp_extract_all(text, '\p{{L}}+ \p{{L}}+'), lambda x: {{'l': length(x), 'w': x}}))[1].w, '')]
+        FROM part JOIN documents ON doc_id = p_partkey""",
     "note_docs": f"""SELECT 'notes/' || doc_id || '.md' AS source,
         CASE WHEN doc_id % 4 = 0 THEN '2024_' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '_'
         || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '_notes.md' ELSE 'note_' || doc_id || '.md' END AS name,
@@ -364,7 +410,7 @@ SQL = {
         CASE WHEN role = 'user' THEN 'user' || conv_id END AS player,
         CASE WHEN turn % 2 = 0 THEN '2024-02-03' ELSE '' END AS date, text AS note FROM conversations""",
     "aliases": """SELECT pos, canonical, trim(u.alias) AS alias, u.idx FROM (SELECT pos, canonical,
-          unnest(list_transform([canonical] || synonyms || [canonical], lambda x, i: {'alias': x, 'idx': CAST(i - 1 AS BIGINT)})) AS u
+          unnest(list_transform([canonical] || synonyms || [array_to_string(string_split(canonical, ' ')[1:2], ' ')], lambda x, i: {'alias': x, 'idx': CAST(i - 1 AS BIGINT)})) AS u
           FROM catalog) WHERE trim(u.alias) <> ''""",
     "alias_keys": """SELECT alias_key, pos, canonical, alias FROM (SELECT lower(alias) AS alias_key, pos, canonical, alias,
           row_number() OVER (PARTITION BY lower(alias) ORDER BY length(alias) DESC, pos, idx) AS rn FROM aliases) WHERE rn = 1""",
@@ -374,19 +420,28 @@ SQL = {
           nullif(trim(line), ''),
           CASE WHEN length(lead(trim(line)) OVER w) >= 15 THEN lead(trim(line)) OVER w END), '\s+', ' ', 'g')), 1, 420) AS context
         FROM note_lines WINDOW w AS (PARTITION BY source ORDER BY line_no)""",
-    "log_mentions": r"""SELECT DISTINCT 0 AS src_rank, session, source, line_no, context AS text, canonical
-        FROM (SELECT *, '|' || regexp_replace(lower(line), '[^\p{L}\p{N}_ ]', '|', 'g') || '|' AS norm
+    "alias_terms": f"SELECT *, {UNITS.format(x='alias_key')} AS term, {WORDS.format(x='alias_key')}[1] AS head FROM alias_keys",
+    "log_mentions": f"""SELECT DISTINCT 0 AS src_rank, session, source, line_no, context AS text, canonical
+        FROM (SELECT *, {UNITS.format(x='lower(line)')} AS norm, unnest(list_distinct({WORDS.format(x='lower(line)')})) AS head
               FROM context_lines WHERE length(line) >= 12) l
-        JOIN alias_keys a ON contains(norm, alias_key) AND (contains(norm, ' ' || alias_key || ' ') OR contains(norm, ' ' || alias_key || '|')
-          OR contains(norm, '|' || alias_key || ' ') OR contains(norm, '|' || alias_key || '|'))""",
+        JOIN alias_terms a USING (head) WHERE contains(norm, term)""",
+    "import_lines": f"""SELECT page_id, unnest({LINES_OF.format(x='html')}) AS line,
+        CAST(generate_subscripts({LINES_OF.format(x='html')}, 1) AS BIGINT) AS line_no FROM pages""",
+    "import_mentions": rf"""SELECT DISTINCT 1 AS src_rank, 'Imported ' || page_id AS session, 'imports/' || page_id || '.html' AS source, line_no,
+        substr(trim(regexp_replace(concat_ws(' ', CASE WHEN length(prior) >= 15 THEN prior END, nullif(trim(line), ''), CASE WHEN length(next) >= 15 THEN next END),
+          '\s+', ' ', 'g')), 1, 420) AS text, canonical
+        FROM (SELECT *, {UNITS.format(x='lower(trim(line))')} AS norm, unnest(list_distinct({WORDS.format(x='lower(line)')})) AS head FROM (
+          SELECT *, lag(trim(line)) OVER w AS prior, lead(trim(line)) OVER w AS next FROM import_lines WINDOW w AS (PARTITION BY page_id ORDER BY line_no))
+          WHERE length(trim(line)) >= 12) l
+        JOIN alias_terms a USING (head) WHERE contains(norm, term)""",
     "input_rows": """SELECT line_no, trim(note, ' ' || chr(10)) AS note, lower(trim(entity)) AS hint,
         'Player Input (' || coalesce(nullif(date, ''), 'undated') || ')' AS session,
         substr('[' || coalesce(player, 'Unknown Player') || '] ' || trim(note, ' ' || chr(10)), 1, 320) AS text
         FROM player_inputs WHERE length(trim(note, ' ' || chr(10))) >= 8""",
-    "input_mentions": r"""SELECT DISTINCT 2 AS src_rank, session, 'inputs' AS source, line_no, text, canonical FROM (
-        SELECT session, line_no, text, canonical FROM (SELECT *, '|' || regexp_replace(lower(note), '[^\p{L}\p{N}_ ]', '|', 'g') || '|' AS norm FROM input_rows) l
-        JOIN alias_keys a ON contains(norm, alias_key) AND (contains(norm, ' ' || alias_key || ' ') OR contains(norm, ' ' || alias_key || '|')
-          OR contains(norm, '|' || alias_key || ' ') OR contains(norm, '|' || alias_key || '|'))
+    "input_mentions": f"""SELECT DISTINCT 2 AS src_rank, session, 'inputs' AS source, line_no, text, canonical FROM (
+        SELECT session, line_no, text, canonical FROM (SELECT *, {UNITS.format(x='lower(note)')} AS norm,
+          unnest(list_distinct({WORDS.format(x='lower(note)')})) AS head FROM input_rows) l
+        JOIN alias_terms a USING (head) WHERE contains(norm, term)
         UNION ALL SELECT session, line_no, text, canonical FROM input_rows JOIN catalog ON lower(canonical) = hint)""",
     "mentions": "SELECT * FROM log_mentions UNION ALL SELECT * FROM input_mentions",
     "entity_file_list": r"""SELECT scope, name, scope || '/' || page_id || '/' || name AS path, title AS body FROM (
@@ -447,9 +502,11 @@ NEEDS = {
     "aliases": ["catalog"],
     "alias_keys": ["aliases"],
     "context_lines": ["note_lines"],
-    "log_mentions": ["context_lines", "alias_keys"],
+    "alias_terms": ["alias_keys"],
+    "log_mentions": ["context_lines", "alias_terms"],
+    "import_mentions": ["import_lines", "alias_terms"],
     "input_rows": ["player_inputs"],
-    "input_mentions": ["input_rows", "alias_keys", "catalog"],
+    "input_mentions": ["input_rows", "alias_terms", "catalog"],
     "mentions": ["log_mentions", "input_mentions"],
     "entity_files": ["entity_file_list"],
     "requests": ["catalog"],

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with hot keys and odd names."""
 
 import dataclasses
+import random
 import re
 
 import pytest
@@ -53,7 +54,7 @@ def test_links(spark):
     articles = spark.createDataFrame(
         rows, "slug string, title string, path string, body string, category string, part bigint, src_rank int"
     )
-    got = {tuple(r) for r in K.outgoing_edges(articles).collect()}
+    got = {(r.src, r.dst) for r in K.outgoing_edges(articles).collect()}
     slug = {n: f"n{i}" for i, n in enumerate(names)}
     every = re.compile(r"(?<![\w/])(" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?![\w/])")
     want = set()
@@ -311,3 +312,48 @@ def test_imports_stand_between_notes_and_inputs(spark):
     imports = spark.createDataFrame([("2024-01-03", "wp.md", "An imported line on the Red Fox")], "session string, source string, text string")
     found = api.rebuild(dataclasses.replace(small_sources(spark), imports=imports), scope="entity")["mentions"].collect()
     assert {(r["src_rank"], r["source"]) for r in found} == {(0, "a.md"), (1, "wp.md"), (2, "submissions")}
+
+
+def exchanged(df):
+    """Columns that go through an exchange, by plan node."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\(\d+\) (?:Broadcast)?Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)\]", plan)
+
+
+def test_texts_stay_out_of_exchanges(spark):
+    """Neither lines nor bodies move before names are found in them, also when nothing is broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        notes = spark.createDataFrame([("s", "a.md", "the red fox ran\nnothing"), ("s", "b.md", None)], "session string, source string, text string")
+        terms = spark.createDataFrame([("red fox", "Fox"), ("ran", "Run")], "term string, canonical string")
+        hits = M.line_hits(notes, ["session", "source"], "text", terms)
+        moved = exchanged(hits)
+        assert moved and not any(c in m for m in moved for c in ("_text", "_line", "_sp_units"))
+        assert {(r.source, r["_i"], r.canonical) for r in hits.collect()} == {("a.md", 0, "Fox"), ("a.md", 0, "Run")}
+        articles = spark.createDataFrame(
+            [("a", "Red Fox", "p", "Den", "general", 0, 1), ("b", "Den", "q", "the Red Fox Den", "general", 0, 1)],
+            "slug string, title string, path string, body string, category string, part bigint, src_rank int",
+        )
+        edges = K.link_spans(articles, K.link_dictionary(articles))
+        assert not any(c in m for m in exchanged(edges) for c in ("body", "text", "_sp_units"))
+        assert sorted(map(tuple, edges.collect())) == [("a", "b"), ("b", "a")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_batch_search_keeps_the_best(spark):
+    """The bound drops no document that belongs to the best, ties included."""
+    rng = random.Random(7)
+    words = ["the", "at", "a", "there", "cat", "tt", "rat", "theatre"]
+    texts = {d: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 3, 40]))) for d in range(120)}
+    asked = {q: " ".join(rng.choice([*words, "zz", "e"]) for _ in range(rng.randint(1, 5))) for q in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id bigint, text string")
+    got = {(r.query_id, r.doc_id): (r.score, r["rank"]) for r in L.batch_search(docs, queries, 5).collect()}
+    want = {}
+    for q, query in asked.items():
+        scores = [(sum(t.count(w) for w in query.split()), d) for d, t in texts.items()]
+        for i, (n, d) in enumerate(sorted(((-n, d) for n, d in scores if n))[:5]):
+            want[q, d] = (float(-n), i + 1)
+    assert got == want
