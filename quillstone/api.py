@@ -11,6 +11,7 @@ from quillstone.operators import manifest, mentions, profiles, requests, search
 from quillstone.sources import sinks
 from quillstone.sources.scans import scan_scope
 from quillstone.sources.storage import pinned
+from quillstone.sources.versions import write_tables
 
 REBUILD_SCOPES = ("all", "campaign", "entity")
 
@@ -81,3 +82,16 @@ def rebuild(sources: Sources, target: str = "", scope: str = "all", inputs_name:
         first = sessions.first_event_per_entity(out["manifest"], sources.timeline_events)
         out["intro_timeline"] = sessions.intro_order(first)
     return out
+
+
+def publish_rebuild(sources: Sources, root: str, target: str = "", scope: str = "all", inputs_name: str = "submissions") -> str:
+    """Write the tables of a ``rebuild`` below ``root`` and make them current together; gives the new version's folder.
+
+    A table that cannot be made ends the run and leaves the version before it in place. ``versions.read_table`` reads
+    what is current.
+    """
+    tables = rebuild(sources, target, scope, inputs_name)
+    if not tables:
+        raise ValueError(f"unknown scope {scope!r}")
+    spark = sources.catalog.sparkSession
+    return write_tables(spark, root, [(name, lambda t=t: t) for name, t in tables.items()])

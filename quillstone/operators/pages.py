@@ -68,29 +68,32 @@ def synthesize_pages(files: DataFrame) -> DataFrame:
     )
 
 
-def split_page_ranges(pages: DataFrame, plan: Sequence[tuple[int, int, str]]) -> DataFrame:
-    """One text per book and planned page range; a range without pages gives an empty text.
+def plan_table(books: DataFrame, plan: Sequence[tuple[int, int, str]]) -> DataFrame:
+    """A short plan (first page, last page, hint) for each of the books, as (book, a, b, hint)."""
+    ranges = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(h).alias("hint")) for a, b, h in plan])
+    return books.select("book", F.inline(ranges))
 
-    The plan is a short argument list, so a page finds its ranges without a join; a group holds at most
-    the pages of one range.
+
+def split_page_ranges(pages: DataFrame, plan: DataFrame | Sequence[tuple[int, int, str]], width: int = 32) -> DataFrame:
+    """One text per planned range (book, a, b, hint) of pages; a range without pages gives an empty text.
+
+    Ranges and pages are joined on the book and on buckets of ``width`` pages, then compared, so any number of ranges
+    meets only the pages near them. A group holds at most the pages of one range.
     """
-    ranges = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f"chunk_{a:03d}-{b:03d}_{hint}").alias("name")
-            )
-            for a, b, hint in plan
-        ]
-    )
-    hits = pages.select(
-        "book",
-        "page",
-        F.concat(marker(F.col("page")), "text").alias("text"),
-        F.explode_outer(F.filter(ranges, lambda r: F.col("page").between(r["a"], r["b"]))["name"]).alias("chunk_name"),
-    ).where(F.col("chunk_name").isNotNull())
-    empty = pages.select("book").distinct().select(
-        "book", F.lit(None).cast("long").alias("page"), F.lit("").alias("text"), F.explode(ranges["name"]).alias("chunk_name")
-    )
+    if not isinstance(plan, DataFrame):
+        plan = plan_table(pages.select("book").distinct(), plan)
+    named = plan.select(
+        "book", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.format_string("chunk_%03d-%03d_%s", "a", "b", "hint").alias("chunk_name")
+    ).distinct()
+
+    def bucket(page):
+        return F.floor(page / width).cast("long")
+
+    spread = named.where("a <= b").select("*", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("b")))).alias("bucket"))
+    text = F.concat(marker(F.col("page")), "text").alias("text")
+    near = pages.select("book", "page", text, bucket(F.col("page")).alias("bucket"))
+    hits = near.join(spread, ["book", "bucket"]).where(F.col("page").between(F.col("a"), F.col("b"))).select("book", "page", "text", "chunk_name")
+    empty = named.select("book", F.lit(None).cast("long").alias("page"), F.lit("").alias("text"), "chunk_name")
     return (
         hits.unionByName(empty)
         .groupBy("book", "chunk_name")

@@ -664,11 +664,43 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{root}/table")
 
 
-@query("stream_dedupe", "SELECT DISTINCT event_id // 2 AS submission_id FROM events")
+# Events come in four files of eight days; some pairs of events come one file late, some two.
+DELIVERED = "least((extract(day from ts) - 1) {div} 8 + CASE (event_id {div} 2) % 97 WHEN 5 THEN 1 WHEN 6 THEN 2 ELSE 0 END, 3)"
+
+
+def delivered(spark, sf, folder, files):
+    """Write some of the files to the log that streams read."""
+    events = table(spark, sf, "events").withColumn("file", F.expr(DELIVERED.format(div="div")))
+    for i in files:
+        events.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
+
+
+def over_files(spark, sf, label, start):
+    """Run a stream one file at a time, stop after two files, and go on from its progress; gives its folder."""
+    root = fresh_dir(spark, label)
+    for files in ((0, 1), (2, 3)):
+        delivered(spark, sf, f"{root}/log", files)
+        stream = logs.read_log(spark, f"{root}/log", table(spark, sf, "events").schema, "parquet", files=1)
+        logs.drain(start(stream.withColumn("event_time", F.col("ts").cast("timestamp")), root))
+    return root
+
+
+# rows of the second run are late by the watermark that the first run has left; within a run it acts two files later
+LATE = """WITH e AS (SELECT *, {file} AS file FROM events),
+    w AS (SELECT file, CASE WHEN file >= 2 THEN (SELECT max(ts) FROM e WHERE file < 2) END AS seen FROM (SELECT DISTINCT file FROM e))"""
+LATE = LATE.format(file=DELIVERED.format(div="//"))
+
+
+@query(
+    "stream_dedupe",
+    LATE + " SELECT DISTINCT event_id // 2 AS submission_id FROM e JOIN w USING (file) WHERE seen IS NULL OR ts > seen - INTERVAL 2 DAY",
+)
 def stream_dedupe(spark, sf):
-    root = fresh_dir(spark, "dedupe")
-    rows = event_stream(spark, sf).select(F.expr("event_id div 2").alias("submission_id"), "event_time")
-    logs.drain(logs.stream_dedupe(rows, f"{root}/table", f"{root}/progress", delay="60 days"))
+    def start(stream, root):
+        rows = stream.select(F.expr("event_id div 2").alias("submission_id"), "event_time")
+        return logs.stream_dedupe(rows, f"{root}/table", f"{root}/progress", delay="2 days")
+
+    root = over_files(spark, sf, "dedupe", start)
     return spark.read.parquet(f"{root}/table").select("submission_id")
 
 
@@ -695,17 +727,38 @@ def stream_route(spark, sf):
     return spark.read.parquet(f"{root}/queue").select("entity", "note", "source_submission_id")
 
 
-@query("stream_daily_sessions", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day")
+@query(
+    "stream_daily_sessions",
+    LATE + """ SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM e JOIN w USING (file)
+      WHERE seen IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > seen - INTERVAL 2 DAY GROUP BY day""",
+)
 def stream_daily_sessions(spark, sf):
-    root = fresh_dir(spark, "daily")
-    logs.drain(logs.stream_daily_sessions(event_stream(spark, sf), f"{root}/table", f"{root}/progress"))
-    return logs.latest_table(spark, f"{root}/table", key="day", order=("batch",))
+    def start(stream, root):
+        return logs.stream_daily_sessions(stream, f"{root}/table", f"{root}/progress", delay="2 days")
 
+    root = over_files(spark, sf, "daily", start)
+    return logs.day_table(spark, f"{root}/table", f"{root}/days")
 
-@query("stream_incremental_pages", with_views("dirty_docs", "SELECT doc_id, text FROM cleaned", **{**QT.CLEAN_CTES, "flat": QT.CLEAN_CTES["flat"].replace("FROM dirty_docs", "FROM documents")}))
+
+@query(
+    "stream_incremental_pages",
+    with_views(
+        "",
+        """SELECT q.doc_id, q.text, label, word_count, quality_score, low_quality FROM cq_quality q
+        LEFT JOIN (SELECT doc_id, quality AS label FROM labels) USING (doc_id)""",
+        **{**QT.CLEAN_CTES, "flat": QT.CLEAN_CTES["flat"].replace("FROM dirty_docs", "FROM documents")},
+        **QT.quality_ctes("cleaned", "doc_id", "cq_"),
+    ),
+)
 def stream_incremental_pages(spark, sf):
+    """Documents come in six files; a first run takes three, two at a time, a second run only the other three."""
     root = fresh_dir(spark, "pages")
-    docs = logs.read_log(spark, sf, table(spark, sf, "documents").schema, "parquet", "documents.parquet")
-    work = lambda df: clean_documents(df.select("doc_id", "text"), V.FIXES)
-    logs.drain(logs.stream_incremental_pages(docs, work, f"{root}/table", f"{root}/progress"))
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    files = docs.withColumn("file", F.pmod(F.xxhash64("doc_id"), F.lit(6)))
+    for half in ((0, 1, 2), (3, 4, 5)):
+        for i in half:
+            files.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/log")
+        stream = logs.read_log(spark, f"{root}/log", docs.schema, "parquet", files=2)
+        work = lambda df: logs.quality_pages(df, V.FIXES, labels)
+        logs.drain(logs.stream_incremental_pages(stream, work, f"{root}/table", f"{root}/progress"))
     return spark.read.parquet(f"{root}/table")

@@ -124,10 +124,12 @@ SCOPED = "CASE {m} WHEN 0 THEN 'campaign' WHEN 1 THEN 'lore' WHEN 2 THEN 'topics
     WHERE scope IN ('lore', 'topics', 'rules_references', '90_derived')""",
 )
 def scan_scope(spark, sf):
-    docs = V.documents(spark, sf).select(
-        F.expr("concat('d/', doc_id div 2)").alias("path"), F.expr(SCOPED.format(m="doc_id % 5")).alias("scope")
-    )
-    return S.scan_scope(docs, "rules").select("path")
+    """Documents written below a folder for each part of the library, of which the scope's folders are read."""
+    path = fresh_dir(spark, "scoped")
+    V.documents(spark, sf).select(
+        F.expr("concat('d/', doc_id div 2)").alias("path"), F.expr(SCOPED.format(m="doc_id % 5")).alias("scope"), "text"
+    ).write.partitionBy("scope").parquet(path)
+    return S.scan_scopes(spark.read.parquet(path), S.scope_table(spark), "rules").select("path")
 
 
 FOLDERS = "CASE {m} WHEN 0 THEN 'core_rules' WHEN 1 THEN 'sourcebooks' WHEN 2 THEN 'adventures' WHEN 3 THEN 'player_aids' ELSE 'misc' END"
@@ -137,18 +139,15 @@ FOLDERS = "CASE {m} WHEN 0 THEN 'core_rules' WHEN 1 THEN 'sourcebooks' WHEN 2 TH
     "list_work_items",
     f"""SELECT path, folder, name, length FROM (SELECT folder, name, 'lib/' || folder || '/' || name AS path, length FROM (
       SELECT {FOLDERS.format(m='page_id % 5')} AS folder, (CASE WHEN page_id % 6 = 0 THEN '._' ELSE '' END) || 'b' || page_id
-        || (CASE WHEN page_id % 7 = 0 THEN '.txt' ELSE '.pdf' END) AS name, length(html) AS length FROM pages))
+        || (CASE WHEN page_id % 7 = 0 THEN '.txt' ELSE '.pdf' END) AS name, strlen(html) AS length FROM pages))
     WHERE folder <> 'misc' AND name LIKE '%.pdf' AND name NOT LIKE '.%'""",
 )
 def list_work_items(spark, sf):
-    files = table(spark, sf, "pages").select(
-        F.expr(
-            f"""concat('lib/', {FOLDERS.format(m='page_id % 5')}, '/', if(page_id % 6 = 0, '._', ''), 'b', page_id,
-            if(page_id % 7 = 0, '.txt', '.pdf'))"""
-        ).alias("path"),
-        F.length("html").cast("long").alias("length"),
-    )
-    return S.list_work_items(files)
+    """Pages written as single files, listed from the file system."""
+    path = fresh_dir(spark, "library")
+    name = f"""concat('lib/', {FOLDERS.format(m='page_id % 5')}, '/', if(page_id % 6 = 0, '._', ''), 'b', page_id, if(page_id % 7 = 0, '.txt', '.pdf'))"""
+    sinks.write_files(table(spark, sf, "pages").select(F.expr(name).alias("path"), F.col("html").alias("text")), path)
+    return S.list_work_items(S.list_files(spark, path))
 
 
 INVENTORY_SQL = """SELECT DISTINCT CASE split_part(path, '/', 1) WHEN 'en' THEN 'Books' WHEN 'fr' THEN 'Books' ELSE 'Notes' END AS group_name,
@@ -186,13 +185,12 @@ def doc_stub_scan(spark, sf):
 
 @query("write_docs", "SELECT doc_id AS key, text AS body FROM documents")
 def write_docs(spark, sf):
-    """All documents as files, read back by the file reader with a name pattern and sub-folders."""
+    """All documents written twice, the second time over the first, and read back."""
     path = fresh_dir(spark, "docs")
-    sinks.write_docs(V.documents(spark, sf).select(F.col("doc_id").alias("key"), F.col("text").alias("body")), path)
-    files = S.scan_text(spark, path, "*.txt", recursive=True)
-    return files.select(
-        F.regexp_extract("path", r"/key=(\d+)/", 1).cast("long").alias("key"), F.regexp_replace("text", r"\n\z", "").alias("body")
-    )
+    docs = V.documents(spark, sf).select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
+    for _ in range(2):
+        sinks.write_docs(docs, path)
+    return sinks.read_docs(spark, path)
 
 
 @query("write_json_doc", "SELECT doc_id, to_json({'lang': lang, 'source': source, 'n_chars': n_chars}) AS json FROM documents")
@@ -250,9 +248,9 @@ def synthesize_pages(spark, sf):
     return P.synthesize_pages(files)
 
 
-PLAN_SQL = " UNION ALL ".join(
-    f"SELECT {a} AS a, {b} AS b, 'chunk_{a:03d}-{b:03d}_{h}' AS chunk_name" for a, b, h in V.PLAN
-)
+PLAN_SQL = " UNION ALL ".join(f"SELECT doc_id AS book, {a} AS a, {b} AS b, '{h}' AS hint FROM documents" for a, b, h in V.PLAN)
+PLAN_SQL = f"""SELECT book, a, b, printf('chunk_%03d-%03d_%s', a, b, hint) AS chunk_name FROM ({PLAN_SQL}
+  UNION ALL SELECT doc_id, doc_id % 7 + 1, doc_id % 7 + 3 + doc_id % 3 * 40, 'own' FROM documents)"""
 
 
 @query(
@@ -261,15 +259,13 @@ PLAN_SQL = " UNION ALL ".join(
         "para_pages",
         """SELECT book, chunk_name, coalesce(string_agg('===== PAGE ' || page || ' =====' || text, '' ORDER BY page), '') AS text,
         CAST(coalesce(sum(length('===== PAGE ' || page || ' =====' || text)), 0) AS BIGINT) AS n_chars
-        FROM (SELECT DISTINCT book FROM para_pages) CROSS JOIN plan LEFT JOIN para_pages USING (book)
-        WHERE page BETWEEN a AND b GROUP BY book, chunk_name
-        UNION ALL SELECT book, chunk_name, '', 0 FROM (SELECT DISTINCT book FROM para_pages) b1 CROSS JOIN plan
-        WHERE NOT EXISTS (SELECT 1 FROM para_pages p WHERE p.book = b1.book AND p.page BETWEEN a AND b)""",
+        FROM plan LEFT JOIN para_pages USING (book) WHERE page BETWEEN a AND b GROUP BY book, chunk_name
+        UNION ALL SELECT DISTINCT book, chunk_name, '', 0 FROM plan p1 WHERE NOT EXISTS (SELECT 1 FROM para_pages p WHERE p.book = p1.book AND p.page BETWEEN a AND b)""",
         plan=PLAN_SQL,
     ),
 )
 def split_page_ranges(spark, sf):
-    return P.split_page_ranges(V.para_pages(spark, sf), V.PLAN)
+    return P.split_page_ranges(V.para_pages(spark, sf), V.page_plan(spark, sf))
 
 
 @query(

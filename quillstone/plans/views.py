@@ -88,6 +88,17 @@ def para_pages(spark, sf):
     ).select("book", (F.col("i") + 1).cast("long").alias("page"), "text")
 
 
+def page_plan(spark, sf):
+    """Ranges of pages to cut out, a few of each book."""
+    from quillstone.operators.pages import plan_table
+
+    books = table(spark, sf, "documents").select(F.col("doc_id").alias("book"))
+    own = books.select(
+        "book", (F.col("book") % 7 + 1).alias("a"), (F.col("book") % 7 + 3 + F.col("book") % 3 * 40).alias("b"), F.lit("own").alias("hint")
+    )
+    return plan_table(books, PLAN).unionByName(own)
+
+
 def engine_a(spark, sf):
     c = table(spark, sf, "conversations")
     return c.where(F.col("role") == "user").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")

@@ -124,6 +124,34 @@ def scan_scope(
     return found if key is None else found.dropDuplicates([key])
 
 
+def scan_scopes(docs: DataFrame, scopes: DataFrame, scope: str = "all", column: str = "scope", key: str | None = "path") -> DataFrame:
+    """Documents in the folders that a table (scope, folder) gives for a scope.
+
+    On a table partitioned by ``column`` Spark reads the folder names first and then only these folders.
+    """
+    wanted = scopes.where(F.lower("scope") == (scope or "all").lower()).select(F.col("folder").alias("_folder"))
+    found = docs.join(wanted, F.col(column) == F.col("_folder"), "left_semi")
+    return found if key is None else found.dropDuplicates([key])
+
+
+def scope_table(spark: SparkSession, folders: Mapping[str, Sequence[str]] = SCOPE_FOLDERS, always: Sequence[str] = ALWAYS_IN_SCOPE) -> DataFrame:
+    """(scope, folder) of the accepted scope names."""
+    rows = [(scope, f) for scope, own in folders.items() for f in (*own, *always)]
+    return spark.createDataFrame(rows, "scope string, folder string")
+
+
+def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """(path below root, length, modified) of all files below a folder of any file system; none is opened.
+
+    The file reader lists folders in parallel; as the content is not selected, it reads nothing else.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    below = F.substring_index("path", root.rstrip("/").removeprefix("file:") + "/", -1)
+    return reader.load(root).select(below.alias("path"), "length", F.col("modificationTime").alias("modified"))
+
+
 def list_work_items(
     files: DataFrame, folders: Sequence[str] = WORK_FOLDERS, suffix: str = ".pdf"
 ) -> DataFrame:

@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillstone.functions.quality import page_quality
+from quillstone.operators.cleaning import clean_documents
 from quillstone.operators.requests import route_submissions, valid_submissions
+from quillstone.sources.versions import current, new_version, publish
 
 
-def read_log(spark: SparkSession, path: str, schema, fmt: str = "json", pattern: str | None = None) -> DataFrame:
+def read_log(
+    spark: SparkSession, path: str, schema, fmt: str = "json", pattern: str | None = None, files: int | None = None
+) -> DataFrame:
+    """Files of a folder as a stream, oldest first; ``files`` bounds how many a batch takes."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path)
@@ -117,7 +125,7 @@ def daily_sessions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_daily_sessions(stream: DataFrame, root: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Counts per day, corrected while late events arrive; ``latest_table`` by day and batch reads them."""
+    """Counts per day, corrected while late events arrive; ``day_table`` reads them."""
     return (
         daily_sessions(stream, delay)
         .writeStream.outputMode("update")
@@ -126,8 +134,28 @@ def stream_daily_sessions(stream: DataFrame, root: str, checkpoint: str, delay:
     )
 
 
+def day_table(spark: SparkSession, root: str, state: str) -> DataFrame:
+    """(day, n) as of now. The batches so far are folded into ``state`` first, so only new batches are read next time."""
+    folded = current(spark, state)
+    after = None if folded is None else f"{folded}/days"
+    version = new_version(state)
+    compact(spark, root, f"{version}/days", key="day", order=("batch",), after=after)
+    publish(spark, state, version)
+    return spark.read.parquet(f"{version}/days").select("day", "n")
+
+
+def quality_pages(docs: DataFrame, fixes, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Cleaned documents with their quality and, from a static table (key, quality), their label if they have one."""
+    cleaned = clean_documents(docs.select(key, "text"), fixes)
+    measured = cleaned.withColumn("q", page_quality(F.col("text")))
+    known = labels.select(key, F.col("quality").alias("label"))
+    return measured.join(known, key, "left").select(
+        key, "text", "label", F.col("q.word_count").alias("word_count"), F.col("q.quality_score").alias("quality_score"), F.col("q.low_quality").alias("low_quality")
+    )
+
+
 def stream_incremental_pages(
     stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Only new documents pass through ``work``, which is any per-row operator of this package."""
+    """Only new documents pass through ``work``, any narrow chain of this package, joins with static tables included."""
     return stream_ingest(work(stream), target, checkpoint)

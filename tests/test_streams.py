@@ -43,3 +43,36 @@ def test_ingest_takes_each_row_once(spark, tmp_path):
         put(log, name, rows)
         logs.drain(logs.stream_ingest(logs.read_log(spark, str(log), SCHEMA), table, f"{tmp_path}/progress"))
     assert sorted(map(tuple, spark.read.parquet(table).collect())) == [(1, 1, "x"), (1, 1, "x"), (2, 2, "y")]
+
+
+def test_late_rows_and_the_day_table(spark, tmp_path):
+    """A late row within the delay corrects its day, one behind the watermark is dropped; a second run goes on."""
+    log, table, state = tmp_path / "log", f"{tmp_path}/table", f"{tmp_path}/state"
+    log.mkdir()
+
+    def run(*files):
+        for name, days in files:
+            (log / name).write_text("\n".join(json.dumps({"event_time": f"2024-01-{d:02d}T12:00:00Z"}) for d in days))
+        stream = logs.read_log(spark, str(log), "event_time timestamp", files=1)
+        logs.drain(logs.stream_daily_sessions(stream, table, f"{tmp_path}/progress", delay="2 days"))
+        return {r["day"][-2:]: r["n"] for r in logs.day_table(spark, table, state).collect()}
+
+    assert run(("a.json", [1, 1, 5])) == {"01": 2, "05": 1}
+    assert run(("b.json", [4, 1, 9])) == {"01": 2, "04": 1, "05": 1, "09": 1}  # the fourth is late, the first too late
+    assert run() == {"01": 2, "04": 1, "05": 1, "09": 1}
+    assert run(("c.json", [8, 9, 2])) == {"01": 2, "04": 1, "05": 1, "08": 1, "09": 2}
+
+
+def test_quality_pages_reads_new_files_only(spark, tmp_path):
+    docs, labels = tmp_path / "docs", spark.createDataFrame([(1, 0)], "doc_id bigint, quality int")
+    docs.mkdir()
+    seen = []
+    for i, name in enumerate(("a.json", "b.json", "c.json")):
+        (docs / name).write_text(json.dumps({"doc_id": i, "text": "a line of words\na line of words\n" * (i + 1)}))
+        stream = logs.read_log(spark, str(docs), "doc_id bigint, text string", files=1)
+        query = logs.stream_incremental_pages(stream, lambda df: logs.quality_pages(df, [], labels), f"{tmp_path}/out", f"{tmp_path}/progress")
+        logs.drain(query)
+        seen.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert seen == [1, 1, 1]
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert set(rows) == {0, 1, 2} and rows[1].label == 0 and rows[0].label is None and all(r.text == "a line of words\n" and r.word_count == 4 for r in rows.values())
