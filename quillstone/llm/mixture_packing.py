@@ -245,7 +245,8 @@ def pack_mixture(
         return spark.createDataFrame([], schema).withColumnRenamed("doc", key)
     robin = RoundRobin(phases(sizes, weights), capacity)
     bases = running_total(blocks.select("part", "slot", number.alias("queue"), "n"), ["queue"], ["part", "slot"], "n", "base")
-    placed = tokens.join(bases.select("part", "slot", "queue", "base"), ["part", "slot"]).select(
+    bases = stored(bases.select("part", "slot", "queue", "base"), "mixture-bases")  # Spark knows its size before it joins
+    placed = tokens.join(bases, ["part", "slot"]).select(
         "doc", "source", "queue", (F.col("base") + F.col("start")).alias("low"), "n", "ids"
     )
     names = [c.split()[0] for c in schema.split(", ")]
