@@ -61,6 +61,17 @@ def aggregate_entity_body(files: DataFrame) -> DataFrame:
     )
 
 
+def unlisted_bodies(files: DataFrame) -> DataFrame:
+    """Bodies of entities without a manifest: all Markdown files (scope, name, path, body) of a scope with the same first name part.
+
+    Sub-documents and the single document stand together, and data files are not listed.
+    """
+    found = files.where(F.col("name").endswith(".md")).select(
+        "scope", F.substring_index("name", ".", 1).alias("entity"), F.lit("md").alias("kind"), "name", "path", "body"
+    )
+    return aggregate_entity_body(found)
+
+
 def entity_articles(bodies: DataFrame, general_keys: DataFrame) -> DataFrame:
     """Manifest entities as articles; campaign entities known as general ones are left out."""
     in_campaign = F.col("scope") == "campaign"
@@ -162,15 +173,15 @@ def winners(candidates: DataFrame) -> DataFrame:
     )
 
 
-def build_articles(bodies: DataFrame, files: DataFrame) -> DataFrame:
+def build_articles(bodies: DataFrame, files: DataFrame, listed: bool = True) -> DataFrame:
     """All articles: (slug, title, path, body, category, part, src_rank).
 
     ``bodies`` come from the manifest (scope, entity, part, path, body), ``files`` are documents
-    (root, rel_path, body).
+    (root, rel_path, body). Without a manifest (``listed`` is false, see ``unlisted_bodies``) a general entity does not
+    hide a campaign one.
     """
-    general_keys = (
-        bodies.where(F.col("scope") == "general").select(entity_key(F.col("entity")).alias("key")).distinct()
-    )
+    general = F.col("scope") == "general" if listed else F.lit(False)
+    general_keys = bodies.where(general).select(entity_key(F.col("entity")).alias("key")).distinct()
     entities = entity_articles(bodies, general_keys)
     documents = document_articles(files, general_keys, entities.select("slug").distinct())
     candidates = entities.unionByName(documents)

@@ -53,6 +53,21 @@ OPINIONS: Mapping[str, Sequence[tuple[str | None, str]]] = {
     ),
     "": ((None, "{name} is not well known yet."),),
 }
+# The sentences of a profile, its section titles and what stands in a section without rows.
+SENTENCES = {
+    "described": "{name} is a {label} campaign figure first cited in {session}.",
+    "unknown": "{name} has no cited campaign references yet.",
+    "summary": "Across {n} cited mentions, {name} appears as a consistent participant in key run-time decisions and scene-level developments.",
+    "no_summary": "{name} currently has insufficient campaign data for a reliable profile.",
+}
+SECTIONS = (
+    ("## Timeline (abbreviated)", "_No timeline events yet._"),
+    ("## Notable events", "_No notable events identified yet._"),
+    ("## Passing / death record", "_No confirmed passing/death reference found in current notes._"),
+    ("## Continuity notes", "_No major continuity conflicts detected in current notes._"),
+)
+NO_FACET = "_Not clearly established in current notes._"
+NO_REFERENCES = "_No references recorded._"
 NO_OPINION = "Still a mystery; more notes are needed."
 FEW_DATA = "Insufficient data for a meaningful opinion."
 
@@ -149,12 +164,15 @@ def entity_summary(
         .select("canonical", "first_session", "n", tags.alias("tags"))
     )
     rows = catalog.select("canonical", "type").join(known, "canonical", "left")
-    name = F.col("canonical")
     none = F.col("n").isNull()
     label = F.when(F.size("tags") > 0, F.array_join("tags", " and ")).otherwise("recurring")
 
     def sentence(text: str) -> Column:
-        return F.replace(F.lit(text), F.lit("{name}"), name)
+        out = F.lit(text)
+        for field, value in (("{label}", label), ("{session}", F.col("first_session")), ("{n}", F.col("n").cast("string")), ("{name}", F.col("canonical"))):
+            if field in text:
+                out = F.replace(out, F.lit(field), value)
+        return out
 
     kind = F.upper(or_blank(F.col("type")))
     opinion = None
@@ -171,17 +189,8 @@ def entity_summary(
     opinion = opinion.otherwise(other)
     return rows.select(
         "canonical",
-        F.when(none, F.concat(name, F.lit(" has no cited campaign references yet.")))
-        .otherwise(F.concat(name, F.lit(" is a "), label, F.lit(" campaign figure first cited in "), "first_session", F.lit(".")))
-        .alias("description"),
-        F.when(none, F.concat(name, F.lit(" currently has insufficient campaign data for a reliable profile.")))
-        .otherwise(
-            F.concat(
-                F.lit("Across "), F.col("n").cast("string"), F.lit(" cited mentions, "), name,
-                F.lit(" appears as a consistent participant in key run-time decisions and scene-level developments."),
-            )
-        )
-        .alias("summary"),
+        F.when(none, sentence(SENTENCES["unknown"])).otherwise(sentence(SENTENCES["described"])).alias("description"),
+        F.when(none, sentence(SENTENCES["no_summary"])).otherwise(sentence(SENTENCES["summary"])).alias("summary"),
         F.when(none, NO_OPINION).when(F.col("n") < 2, FEW_DATA).otherwise(opinion).alias("opinion"),
     )
 
@@ -284,15 +293,8 @@ def entity_document(
         .when(F.col("section_rank") == base + 3, F.concat(F.lit("- conflicting survival language "), cite))
         .otherwise(F.concat(F.lit("- "), "text", F.lit(" "), cite))
     )
-    titles = [f"### {FACET_LABELS.get(name, name)}" for name, _ in facets] + [
-        "## Timeline (abbreviated)", "## Notable events", "## Passing / death record", "## Continuity notes",
-    ]
-    empty = ["_Not clearly established in current notes._"] * base + [
-        "_No timeline events yet._",
-        "_No notable events identified yet._",
-        "_No confirmed passing/death reference found in current notes._",
-        "_No major continuity conflicts detected in current notes._",
-    ]
+    titles = [f"### {FACET_LABELS.get(name, name)}" for name, _ in facets] + [title for title, _ in SECTIONS]
+    empty = [NO_FACET] * base + [nothing for _, nothing in SECTIONS]
     items = (
         numbered.select("canonical", "section_rank", "item_rank", item.alias("item"))
         .groupBy("canonical")
@@ -326,7 +328,7 @@ def entity_document(
     for i, title in enumerate(titles):
         shown = F.when(or_blank(F.col(str(i))) == "", empty[i]).otherwise(F.col(str(i)))
         blocks += [F.lit(title), shown]
-    blocks += [F.lit("## References"), F.coalesce("references", F.lit("_No references recorded._"))]
+    blocks += [F.lit("## References"), F.coalesce("references", F.lit(NO_REFERENCES))]
     return rows.select(
         "canonical", slug(F.col("canonical")).alias("slug"), F.concat_ws("\n\n", *blocks).alias("body")
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import left, not_blank, or_blank, slug, strip
+from quillstone.functions.text import left, lines, not_blank, or_blank, slug, strip
 from quillstone.operators.mentions import line_hits, new_names, settle_names, show_lines, with_names
 from quillstone.operators.ranking import first_per_group, joined_in_order, rank_in_group
 from quillstone.sources.storage import stored
@@ -365,6 +365,25 @@ def dossier_rows(completed: DataFrame, catalog: DataFrame, mentions: DataFrame)
     return rows.select("slug", body.alias("body"))
 
 
+def dossier_documents(before: DataFrame, dossiers: DataFrame, completed: DataFrame) -> DataFrame:
+    """Dossiers (slug, body) after a run: new ones replace old ones, and an entity with an article of its own has none."""
+    gone = completed.select("slug").distinct()
+    return before.join(gone, "slug", "left_anti").select("slug", "body").unionByName(dossiers.select("slug", "body"))
+
+
+def dossier_diffs(before: DataFrame, dossiers: DataFrame) -> DataFrame:
+    """(slug, diff): removed and added lines of each rewritten dossier, as ``- line`` and ``+ line`` with their number."""
+    def split(docs: DataFrame) -> DataFrame:
+        return docs.select(F.col("slug").alias("key"), F.explode(lines(F.col("body"))).alias("line"))
+
+    old = before.join(dossiers.select("slug"), "slug", "left_semi")
+    changes = document_changes(split(old), split(dossiers))
+    times = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(" times)"))).otherwise("")
+    added = F.col("change") == "added"
+    shown = F.concat(F.when(added, "+ ").otherwise("- "), "line", times)
+    return changes.groupBy(F.col("key").alias("slug")).agg(joined_in_order(F.struct(added.alias("a"), "line"), shown, "\n").alias("diff"))
+
+
 def document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Lines (key, line) added or removed between two versions, with multiplicity."""
     signed = after.select("key", "line", F.lit(1).alias("d")).unionByName(before.select("key", "line", F.lit(-1).alias("d")))

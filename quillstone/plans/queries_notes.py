@@ -191,17 +191,22 @@ def opinion_sql() -> str:
     return f"CASE upper(type) {' '.join(kinds)} ELSE {chain(P.OPINIONS[''])} END"
 
 
-query(
-    "entity_summary_text",
-    profile(
-        f"""SELECT canonical, CASE WHEN n IS NULL THEN canonical || ' has no cited campaign references yet.'
-          ELSE canonical || ' is a ' || coalesce(nullif(replace(tags, '|', ' and '), ''), 'recurring') || ' campaign figure first cited in ' || first_session || '.' END AS description,
-        CASE WHEN n IS NULL THEN canonical || ' currently has insufficient campaign data for a reliable profile.'
-          ELSE 'Across ' || n || ' cited mentions, ' || canonical || ' appears as a consistent participant in key run-time decisions and scene-level developments.' END AS summary,
-        CASE WHEN n IS NULL THEN '{P.NO_OPINION}' WHEN n < 2 THEN '{P.FEW_DATA}' ELSE {opinion_sql()} END AS opinion
-        FROM catalog LEFT JOIN tags USING (canonical) LEFT JOIN (SELECT canonical, count(*) AS n, min_by(session, {PLACE}) AS first_session FROM ordered GROUP BY canonical) USING (canonical)"""
-    ),
-)(lambda spark, sf: P.entity_summary(V.catalog(spark, sf), mentions(spark, sf), V.TAG_RULES))
+def said(key: str, **fields: str) -> str:
+    """A sentence of the profile as SQL."""
+    out = "'" + P.SENTENCES[key].replace("'", "''") + "'"
+    for field, value in (*fields.items(), ("name", "canonical")):
+        out = f"replace({out}, '{{{field}}}', {value})"
+    return out
+
+
+PROFILE["summaries"] = f"""SELECT canonical, CASE WHEN n IS NULL THEN {said('unknown')}
+      ELSE {said('described', label="coalesce(nullif(replace(tags, '|', ' and '), ''), 'recurring')", session='first_session')} END AS description,
+    CASE WHEN n IS NULL THEN {said('no_summary')} ELSE {said('summary', n='CAST(n AS VARCHAR)')} END AS summary,
+    CASE WHEN n IS NULL THEN '{P.NO_OPINION}' WHEN n < 2 THEN '{P.FEW_DATA}' ELSE {opinion_sql()} END AS opinion
+    FROM catalog LEFT JOIN tags USING (canonical) LEFT JOIN (SELECT canonical, count(*) AS n, min_by(session, {PLACE}) AS first_session FROM ordered GROUP BY canonical) USING (canonical)"""
+query("entity_summary_text", profile("SELECT * FROM summaries"))(
+    lambda spark, sf: P.entity_summary(V.catalog(spark, sf), mentions(spark, sf), V.TAG_RULES)
+)
 query("entity_timeline", profile("SELECT * FROM timeline"))(lambda spark, sf: P.entity_timeline(mentions(spark, sf)))
 query("notable_events", profile("SELECT * FROM notable"))(
     lambda spark, sf: P.notable_events(mentions(spark, sf), V.NOTABLE)
@@ -227,7 +232,30 @@ query(
         "synonyms", F.array_join("synonyms", "|")
     )
 )
-query("entity_document")(
+BASE = len(V.FACETS)
+GAP = "chr(10) || chr(10)"
+PROFILE["items"] = f"""SELECT canonical, facet_rank AS section, rank AS item, source, '- ' || text || ' ' AS said FROM facets
+    UNION ALL SELECT canonical, {BASE}, rank, source, '- **' || session || '** — ' || text || ' ' FROM timeline
+    UNION ALL SELECT canonical, {BASE + 1}, rank, source, '- ' || text || ' ' FROM notable
+    UNION ALL SELECT canonical, {BASE + 2}, 1, source, '- ' || text || ' ' FROM passing
+    UNION ALL SELECT canonical, {BASE + 3}, 1, death_source, '- conflicting survival language ' FROM conflicts
+    UNION ALL SELECT canonical, {BASE + 3}, 2, alive_source, '- conflicting survival language ' FROM conflicts"""
+PROFILE["blocks"] = f"""SELECT canonical, section, string_agg(said || '[[' || ref_no || ']]', {NL} ORDER BY item) AS block
+    FROM items JOIN refs USING (canonical, source) GROUP BY canonical, section"""
+PROFILE["listed"] = f"SELECT canonical, string_agg('- [' || ref_no || '] `' || source || '`', {NL} ORDER BY ref_no) AS reference_list FROM refs GROUP BY canonical"
+TITLES = [f"### {P.FACET_LABELS.get(name, name)}" for name, _ in V.FACETS] + [title for title, _ in P.SECTIONS]
+NOTHING = [P.NO_FACET] * BASE + [nothing for _, nothing in P.SECTIONS]
+PARTS = f" || {GAP} || ".join(
+    f"'{title}' || {GAP} || coalesce((SELECT block FROM blocks b WHERE b.canonical = c.canonical AND section = {i}), '{nothing}')"
+    for i, (title, nothing) in enumerate(zip(TITLES, NOTHING, strict=True))
+)
+DOCUMENT = f"""SELECT c.canonical, {slug_sql('c.canonical')} AS slug, '# Campaign ' || CASE upper(trim(type)) WHEN 'PC' THEN 'PC' WHEN 'NPC' THEN 'NPC' ELSE 'Entity' END || ': ' || c.canonical
+    || {GAP} || '- Entity type: **' || type || '**' || {NL} || '- Synonyms: ' || CASE WHEN len(synonyms) > 0 THEN array_to_string(synonyms, ', ') ELSE '_None_' END
+    || {NL} || '- Citation count: **' || citations || '**' || {GAP} || '## Description' || {GAP} || description || {GAP} || '## Summary' || {GAP} || summary
+    || {GAP} || '## Opinion' || {GAP} || opinion || {GAP} || '## Profile facets' || {GAP} || {PARTS}
+    || {GAP} || '## References' || {GAP} || coalesce(reference_list, '{P.NO_REFERENCES}') AS body
+    FROM counts c JOIN summaries s ON s.canonical = c.canonical LEFT JOIN listed l ON l.canonical = c.canonical"""
+query("entity_document", profile(DOCUMENT))(
     lambda spark, sf: P.entity_document(
         V.catalog(spark, sf), mentions(spark, sf), V.FACETS, V.NOTABLE, V.DEATH, V.ALIVE, V.TAG_RULES
     )

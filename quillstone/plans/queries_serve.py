@@ -107,6 +107,17 @@ def articles(spark, sf):
 
 SHOWN = ("slug", "title", "path", "body", "category")
 query("build_articles", articles_sql("SELECT * FROM articles"))(lambda spark, sf: articles(spark, sf).select(*SHOWN))
+UNLISTED = ARTICLE_CTES | dict(
+    bodies=f"""SELECT scope, split_part(name, '.', 1) AS entity, CAST(0 AS BIGINT) AS part, min_by(path, {{'a': lower(name), 'b': name, 'c': path}}) AS path,
+      coalesce(string_agg(trim(body), {NL} || {NL} ORDER BY lower(name), name, path) FILTER (WHERE trim(body) <> ''), '') AS body
+      FROM entity_file_list WHERE name LIKE '%.md' GROUP BY ALL""",
+    general_keys="SELECT '' AS k WHERE false",
+)
+query("build_unlisted_articles", with_views("entity_file_list article_files", "SELECT * FROM articles", **UNLISTED))(
+    lambda spark, sf: A.build_articles(
+        pinned(A.unlisted_bodies(V.entity_file_list(spark, sf))), V.article_files(spark, sf), listed=False
+    ).select(*SHOWN)
+)
 query(
     "article_category",
     with_views("article_files", f"SELECT root, rel_path, {CATEGORY} AS category FROM article_files"),
@@ -495,47 +506,76 @@ def append_history(spark, sf):
     return completed(spark, sf).select("request_id", F.to_json("history").alias("history"))
 
 
+DOSSIERS = dict(
+    **COMPLETED,
+    last="SELECT * FROM completed WHERE result = 'researched' QUALIFY row_number() OVER (PARTITION BY slug ORDER BY request_id DESC) = 1",
+    every="""SELECT canonical AS resolved_entity, min_by(type, pos) AS type, min_by(syn, pos) AS syn FROM (
+      SELECT pos, canonical, type, array_to_string(synonyms, ', ') AS syn FROM catalog UNION ALL SELECT pos, canonical, 'Unknown', '' FROM fresh) GROUP BY canonical""",
+    lists="""SELECT canonical AS resolved_entity, string_agg('- **' || domain || '** - ' || excerpt || chr(10) || '  - Source: `' || source || '`', chr(10) ORDER BY rank) AS cited
+      FROM found GROUP BY canonical""",
+    dossiers="""SELECT slug, '# Campaign Entity Dossier: ' || resolved_entity || chr(10) || chr(10) || '- Pipeline status: **researched_from_queue**' || chr(10)
+    || '- Queue status at processing: **' || lower(trim(status)) || '**' || chr(10) || '- Entity type: **' || type || '**' || chr(10)
+    || '- Synonyms: ' || CASE WHEN syn = '' THEN '_None_' ELSE syn END || chr(10) || '- Requested as: **' || trim(entity) || '**' || chr(10)
+    || '- Mentions found: **' || n_mentions || '**' || chr(10) || chr(10)
+    || CASE WHEN note = '' THEN '' ELSE '- Request note: ' || note || chr(10) || chr(10) END
+    || '## Cited Mentions' || chr(10) || chr(10) || coalesce(cited, '_No mentions found yet._') || chr(10) AS body
+    FROM last JOIN every USING (resolved_entity) LEFT JOIN lists USING (resolved_entity)""",
+)
+# dossiers that stand before a run: one for each name of the passages
+OLD = f"""SELECT DISTINCT {slug_sql('canonical')} AS slug, '# Campaign Entity Dossier: ' || min(canonical) || chr(10) || chr(10) || '- an old line' || chr(10) || '- an old line' || chr(10) AS body
+    FROM catalog WHERE pos < 1000 GROUP BY slug"""
+DIFFS = dict(
+    **DOSSIERS,
+    old=OLD,
+    moved=f"""SELECT slug, line, sum(d) AS n FROM (SELECT slug, unnest(string_split(rtrim(body, {NL}), {NL})) AS line, 1 AS d FROM dossiers
+      UNION ALL SELECT slug, unnest(string_split(rtrim(body, {NL}), {NL})), -1 FROM old WHERE slug IN (SELECT slug FROM dossiers)) GROUP BY slug, line HAVING sum(d) <> 0""",
+    diffs=f"""SELECT slug, string_agg((CASE WHEN n > 0 THEN '+ ' ELSE '- ' END) || line || (CASE WHEN abs(n) > 1 THEN ' (' || abs(n) || ' times)' ELSE '' END), {NL} ORDER BY n > 0, line) AS diff
+      FROM moved GROUP BY slug""",
+)
+
+
+def old_dossiers(spark, sf):
+    name = F.col("canonical")
+    body = F.concat(F.lit("# Campaign Entity Dossier: "), F.min(name), F.lit("\n\n- an old line\n- an old line\n"))
+    return V.passage_names(spark, sf).groupBy(X.slug(name).alias("slug")).agg(body.alias("body"))
+
+
+def dossiers(spark, sf):
+    """(completed requests, their dossiers) of a run."""
+    run = queue_run(spark, sf)
+    done = completed(spark, sf, run)
+    return done, R.dossier_rows(done, run.catalog, run.cited(R.MENTION_CAP))
+
+
 @query(
     "request_audit",
     requests_sql(
         f"""SELECT source_submission_id AS submission_id, CAST({NOW} AS BIGINT) AS ts, 'completed' AS status, result, resolved_entity AS entity,
         concat_ws('|', {", ".join(chr(39) + w + chr(39) for w in R.WORK_LOG)}, CASE WHEN is_new THEN 'catalog entry created' END,
           CASE WHEN result = 'integrated' THEN 'existing entity dossier detected; no write needed' ELSE 'request dossier generated (' || n_mentions || ' mentions)' END) AS actions,
-        CASE WHEN result = 'integrated' THEN '' ELSE 'requests/' || slug || '.md' END AS edited FROM completed WHERE source_submission_id <> ''""",
+        CASE WHEN result = 'integrated' THEN '' ELSE 'requests/' || slug || '.md' END AS edited,
+        CASE WHEN result = 'integrated' THEN '' ELSE substr(coalesce(diff, ''), 1, {R.DIFF_CAP}) END AS diff
+        FROM completed LEFT JOIN diffs USING (slug) WHERE source_submission_id <> ''""",
         "doc_lines",
-        **COMPLETED,
+        **DIFFS,
     ),
 )
 def request_audit(spark, sf):
-    rows = R.request_audit(completed(spark, sf))
+    done, new = dossiers(spark, sf)
+    rows = R.request_audit(done, R.dossier_diffs(old_dossiers(spark, sf), new))
     return rows.select(
         "submission_id", "ts", "status", "result", "entity", F.array_join("actions", "|").alias("actions"),
-        F.array_join("edited_docs.path", "|").alias("edited"),
+        F.array_join("edited_docs.path", "|").alias("edited"), F.array_join("edited_docs.diff", "|").alias("diff"),
     )
 
 
-@query(
-    "dossier_rows",
+query("dossier_rows", requests_sql("SELECT slug, body FROM dossiers", "doc_lines", **DOSSIERS))(lambda spark, sf: dossiers(spark, sf)[1])
+query(
+    "dossier_documents",
     requests_sql(
-        """SELECT slug, '# Campaign Entity Dossier: ' || resolved_entity || chr(10) || chr(10) || '- Pipeline status: **researched_from_queue**' || chr(10)
-        || '- Queue status at processing: **' || lower(trim(status)) || '**' || chr(10) || '- Entity type: **' || type || '**' || chr(10)
-        || '- Synonyms: ' || CASE WHEN syn = '' THEN '_None_' ELSE syn END || chr(10) || '- Requested as: **' || trim(entity) || '**' || chr(10)
-        || '- Mentions found: **' || n_mentions || '**' || chr(10) || chr(10)
-        || CASE WHEN note = '' THEN '' ELSE '- Request note: ' || note || chr(10) || chr(10) END
-        || '## Cited Mentions' || chr(10) || chr(10) || coalesce(cited, '_No mentions found yet._') || chr(10) AS body
-        FROM last JOIN every USING (resolved_entity) LEFT JOIN lists USING (resolved_entity)""",
-        "doc_lines",
-        **COMPLETED,
-        last="SELECT * FROM completed WHERE result = 'researched' QUALIFY row_number() OVER (PARTITION BY slug ORDER BY request_id DESC) = 1",
-        every="""SELECT canonical AS resolved_entity, min_by(type, pos) AS type, min_by(syn, pos) AS syn FROM (
-          SELECT pos, canonical, type, array_to_string(synonyms, ', ') AS syn FROM catalog UNION ALL SELECT pos, canonical, 'Unknown', '' FROM fresh) GROUP BY canonical""",
-        lists="""SELECT canonical AS resolved_entity, string_agg('- **' || domain || '** - ' || excerpt || chr(10) || '  - Source: `' || source || '`', chr(10) ORDER BY rank) AS cited
-          FROM found GROUP BY canonical""",
+        "SELECT slug, body FROM dossiers UNION ALL SELECT slug, body FROM old WHERE slug NOT IN (SELECT slug FROM completed)", "doc_lines", **DIFFS
     ),
-)
-def dossier_rows(spark, sf):
-    run = queue_run(spark, sf)
-    return R.dossier_rows(completed(spark, sf, run), run.catalog, run.cited(R.MENTION_CAP))
+)(lambda spark, sf: R.dossier_documents(old_dossiers(spark, sf), *reversed(dossiers(spark, sf))))
 
 
 @query(
