@@ -70,27 +70,32 @@ def with_row_hash(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return docs.select(*keys, F.col(text).alias("_text"), F.xxhash64(*keys, text).alias("_doc"))
 
 
-def line_hits(docs: DataFrame, keys: Sequence[str], text: str, terms: DataFrame, mode: str = "word", min_len: int = 0) -> DataFrame:
-    """Distinct (keys..., _doc, _i, canonical): the stripped lines, counted from 0, of at least ``min_len`` characters that hold a term."""
+def line_hits(
+    docs: DataFrame, keys: Sequence[str], text: str, terms: DataFrame, mode: str = "word", min_len: int = 0, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct (carry..., _doc, _i, canonical): the stripped lines, counted from 0, of at least ``min_len`` characters that hold a term.
+
+    ``_doc`` is the hash of the text's row; ``carry`` are those keys that are needed before the text is met again.
+    """
     named = with_row_hash(docs, keys, text)
-    rows = named.select(*keys, "_doc", F.posexplode_outer(F.transform(lines(F.col("_text")), strip)).alias("_i", "_line"))
-    return match_terms(rows.where(F.length("_line") >= min_len), terms, "_line", [*keys, "_doc", "_i"], ["canonical"], mode).distinct()
+    rows = named.select(*carry, "_doc", F.posexplode_outer(F.transform(lines(F.col("_text")), strip)).alias("_i", "_line"))
+    return match_terms(rows.where(F.length("_line") >= min_len), terms, "_line", [*carry, "_doc", "_i"], ["canonical"], mode).distinct()
 
 
 def show_lines(
-    docs: DataFrame, keys: Sequence[str], text: str, hits: DataFrame, show: Callable[[Column, Column], Column]
+    docs: DataFrame, keys: Sequence[str], text: str, hits: DataFrame, show: Callable[[Column, Column], Column], add: Sequence[str] = ()
 ) -> DataFrame:
-    """The hits with ``shown``: what ``show`` gives of the stripped lines of their text and a place in them.
+    """The hits with the keys ``add`` and ``shown``: what ``show`` gives of the stripped lines of their text and a place in them.
 
     A text is joined once with all places wanted of it, and each place is shown once for all names found there.
     """
     wanted = hits.groupBy("_doc").agg(F.collect_set("_i").alias("_places"))
-    texts = with_row_hash(docs, keys, text).select("_text", "_doc").join(wanted, "_doc")
+    texts = with_row_hash(docs, keys, text).join(wanted, "_doc")
     places = let(
         F.transform(lines(F.col("_text")), strip),
         lambda ls: F.transform(F.col("_places"), lambda i: F.struct(i.alias("i"), show(ls, i).alias("shown"))),
     )
-    shown = texts.select("_doc", F.explode_outer(places).alias("_s")).select("_doc", F.col("_s.i").alias("_i"), "_s.shown")
+    shown = texts.select(*add, "_doc", F.explode_outer(places).alias("_s")).select(*add, "_doc", F.col("_s.i").alias("_i"), "_s.shown")
     return hits.join(shown.dropDuplicates(["_doc", "_i"]), ["_doc", "_i"])
 
 
@@ -146,7 +151,7 @@ def match_mentions(
     """Mentions in notes (session, source, text): one row per line and entity with the line's context of ``width`` characters."""
     keys = ["session", "source"]
     hits = stored(line_hits(notes, keys, "text", as_terms(aliases), mode, min_len), "mention-hits")
-    shown = show_lines(notes, keys, "text", hits, lambda ls, i: with_context(ls, i, width=width))
+    shown = show_lines(notes, keys, "text", hits, lambda ls, i: with_context(ls, i, width=width), keys)
     line_no = (F.col("_i") + 1).cast("long").alias("line_no")
     return shown.select(F.lit(src_rank).alias("src_rank"), *keys, line_no, F.col("shown").alias("text"), "canonical")
 

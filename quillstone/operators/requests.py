@@ -162,9 +162,9 @@ def mention_hits(terms: DataFrame, logs: DataFrame, pages: DataFrame) -> DataFra
     name does. ``_doc`` and ``_i`` are the row's hash and the line in it.
     """
     keys = terms.select("canonical", F.lower("term").alias("term")).where(F.col("term") != "").distinct()
-    in_logs = line_hits(logs, log_keys(logs), "text", keys, "edge")
+    in_logs = line_hits(logs, log_keys(logs), "text", keys, "edge", carry=log_keys(logs))
     place = F.col("line_no") if "line_no" in logs.columns else (F.col("_i") + 1).cast("long")
-    in_pages = line_hits(pages, ["source", "page"], "text", keys, "edge")
+    in_pages = line_hits(pages, ["source", "page"], "text", keys, "edge", carry=["source", "page"])
     first = in_pages.groupBy("canonical", "source", "page").agg(F.min(F.struct("_i", "_doc")).alias("at"))
     return in_logs.select(
         "canonical", F.lit(0).alias("domain_rank"), F.col("source").alias("file"), place.alias("place"), "_doc", F.col("_i").cast("int").alias("_i")

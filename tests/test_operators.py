@@ -327,7 +327,7 @@ def test_texts_stay_out_of_exchanges(spark):
     try:
         notes = spark.createDataFrame([("s", "a.md", "the red fox ran\nnothing"), ("s", "b.md", None)], "session string, source string, text string")
         terms = spark.createDataFrame([("red fox", "Fox"), ("ran", "Run")], "term string, canonical string")
-        hits = M.line_hits(notes, ["session", "source"], "text", terms)
+        hits = M.line_hits(notes, ["session", "source"], "text", terms, carry=["source"])
         moved = exchanged(hits)
         assert moved and not any(c in m for m in moved for c in ("_text", "_line", "_sp_units"))
         assert {(r.source, r["_i"], r.canonical) for r in hits.collect()} == {("a.md", 0, "Fox"), ("a.md", 0, "Run")}
