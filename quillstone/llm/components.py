@@ -37,14 +37,15 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star steps: nodes link to the smallest neighbour until only stars are left. A step
     shuffles the links and keeps their number; a node with many links is aggregated before it is shuffled and joined,
-    which lets Spark split it.
+    which lets Spark split it. Rounds grow with the logarithm of a component's diameter; links that are no stars after
+    ``rounds`` of them are an error, never a result.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
     for _ in range(rounds):
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            break
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -58,4 +59,4 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = stored(small.distinct(), "links")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components are not found after {rounds} rounds")

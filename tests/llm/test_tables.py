@@ -148,3 +148,14 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} <= alone and all(r["offset"] + r["length"] <= 2048 for r in packed)
     for name, stage in corpus_pipeline.STAGES:
         assert data(stage(spark, docs.limit(0), str(tmp_path))) == []
+
+
+def test_components_end_or_fail(spark):
+    """A long path is one component; too few rounds are an error, not a part of the result."""
+    from quillstone.llm.components import components
+
+    path = spark.range(300).selectExpr("(id * 37) % 301 AS a", "((id + 1) * 37) % 301 AS b")
+    assert {(r.node, r.component) for r in components(path).collect()} == {(i, 0) for i in range(1, 301)}
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        components(path, rounds=2)
+    assert components(path.limit(0)).count() == 0
