@@ -3,8 +3,10 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillstone.llm import mixing
+from quillstone.llm import mixing, near_copies
 from tests.llm import corpus
 
 
@@ -60,6 +62,28 @@ def test_groups_in_mixed_bands_are_whole(spark):
     assert got == survivors(rows) and 1 < len(got) < 60
 
 
+def test_copies_of_one_text_meet_at_their_hub(spark):
+    """2,000 different near copies of one text, each unlike most others: they are one group, and no pair of them is verified twice."""
+    rng = random.Random(14)
+    words = corpus.words(rng, 300)
+    rows = [[0, " ".join(words), "en", "s1"]] + [[i, edited(rng, words, 5 + i % 2), "en", "s1"] for i in range(1, 2001)]
+    rows += [[5000 + i, edited(rng, words, 14), "en", "s1"] for i in range(40)]
+    got, _ = kept(spark, rows)
+    assert got == [(False, 0)] + [(False, 5000 + i) for i in range(40)]
+
+
+def test_bound_never_drops_a_similar_pair(spark):
+    rng = random.Random(15)
+    words = corpus.words(rng, 300)
+    sets = [near_copies.shingles(edited(rng, words[: rng.randint(200, 300)], rng.randint(0, 12)).encode()) for _ in range(80)] + [near_copies.shingles(b"")]
+    rows = [(i, len(s), near_copies.parities(s).tolist()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "a long, n long, x array<long>")
+    pairs = frame.join(frame.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("x").alias("y")), F.col("a") < F.col("b"))
+    left = {(r["a"], r["b"]) for r in pairs.where(near_copies.may_be_similar("n", "m", "x", "y")).select("a", "b").collect()}
+    true = {(i, j) for j in range(80) for i in range(j) if near_copies.similar(sets[i], sets[j])}
+    assert true <= left and len(left) < 1.5 * len(true) + 40
+
+
 def test_repeated_and_null_ids_are_judged_row_by_row(spark):
     rng = random.Random(6)
     a, b, c, d = (corpus.prose(rng, 80) for _ in range(4))
