@@ -15,7 +15,11 @@ A byte goes if a string of ``length`` bytes that covers it starts at another pla
    settle the windows inside that prefix.
 4. Exact check. What is left are the ends of repeated passages, which lie between anchors. All windows that name an
    anchor with unsettled windows are compared by a 64-bit hash of their bytes, anchor by anchor; an anchor that very many
-   texts share is dealt to many tasks by that hash.
+   texts share is dealt to many tasks by that hash. Windows that occur twice in one text are settled there, and the text
+   sends each of its different windows once.
+
+In a text that repeats one word or phrase every period names the same anchor. Only the ends of such a run are symbols of
+the strings; its windows go to the exact check, where they are one run of one text and few different hashes.
 
 The units are bytes or, with ``words``, whole words: then ``length`` and all places count words, each told by a 64-bit hash
 of its bytes, so white space does not matter. Scripts that put no spaces between words count each character as one.
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,11 +47,12 @@ from pyspark.sql import types as T
 
 from quillstone.llm.arrow_text import bytes_list, prefix_hashes, slices, span_hashes
 from quillstone.llm.bit_filter import BitFilter
+from quillstone.llm.names import fresh
 from quillstone.sources.storage import discard, stored
 
 CHUNK = 1 << 20  #: windows worked on at once
 SPAN = 6  #: symbols compared between neighbours
-MEMBERS = 5_000  #: anchors with the same bytes that go to one task
+MEMBERS = 5_000  #: texts with the same anchor that go to one task
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -153,7 +159,10 @@ def describe(docs: DataFrame, key: str, text: str, length: int, words: bool = Fa
 
 
 def anchor_rows(texts: DataFrame, length: int, likely: BitFilter | None = None) -> DataFrame:
-    """(t1, t2, ord, pos, gap, low, high, g): an anchor, the distance to the next, its windows and its hash."""
+    """(t1, t2, ord, pos, gap, low, high, g, run): an anchor, the distance to the next, its windows and its hash.
+
+    Of neighbours with the same hash, a run, only the first and the last are given.
+    """
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,21 +170,64 @@ def anchor_rows(texts: DataFrame, length: int, likely: BitFilter | None = None)
             for i in range(batch.num_rows):
                 pos = np.frombuffer(batch.column("place")[i].as_py(), "<u4").astype(np.int64)
                 if len(pos):
-                    low = np.frombuffer(batch.column("first")[i].as_py(), "<u4").astype(np.int64)
-                    high = np.append(low[1:], batch.column("n_units")[i].as_py() - length + 1) - 1
-                    gram = np.frombuffer(batch.column("gram")[i].as_py(), "<i8")
-                    out.append((np.full(len(pos), i), np.arange(len(pos)), pos, np.append(np.diff(pos), 0), low, high, gram))
+                    low, high, gram = _windows_of(batch, i, length)
+                    same = gram[1:] == gram[:-1]
+                    before, after = np.append(False, same), np.append(same, False)
+                    own = ~(before & after)
+                    columns = np.arange(len(pos)), pos, np.append(np.diff(pos), 0), low, high, gram, before | after
+                    out.append((np.full(own.sum(), i), *(c[own] for c in columns)))
             if out:
                 row, *columns = (np.concatenate(c) for c in zip(*out, strict=True))
                 if likely:
-                    own = likely.passes(columns[-1])
+                    own = likely.passes(columns[-2])
                     row, columns = row[own], [c[own] for c in columns]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).take(pa.array(row)) for c in ("t1", "t2")), *(pa.array(c) for c in columns)],
-                    names=["t1", "t2", "ord", "pos", "gap", "low", "high", "g"],
+                    names=["t1", "t2", "ord", "pos", "gap", "low", "high", "g", "run"],
                 )
 
-    return texts.mapInArrow(exploded, "t1 long, t2 long, ord long, pos long, gap long, low long, high long, g long")
+    return texts.mapInArrow(exploded, "t1 long, t2 long, ord long, pos long, gap long, low long, high long, g long, run boolean")
+
+
+def _windows_of(batch: pa.RecordBatch, i: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window and hash of the anchors of a text."""
+    low = np.frombuffer(batch.column("first")[i].as_py(), "<u4").astype(np.int64)
+    high = np.append(low[1:], batch.column("n_units")[i].as_py() - length + 1) - 1
+    return low, high, np.frombuffer(batch.column("gram")[i].as_py(), "<i8")
+
+
+def anchor_groups(texts: DataFrame, length: int, likely: BitFilter | None = None) -> DataFrame:
+    """(t1, t2, docno, g, n, places): a row for each different anchor of a text, how often it holds it and, for those
+    that ``likely`` lets pass, the places, first and last windows as packed numbers."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, grams, counts, places = [], [], [], []
+            for i in range(batch.num_rows):
+                pos = np.frombuffer(batch.column("place")[i].as_py(), "<u4")
+                if not len(pos):
+                    continue
+                low, high, gram = _windows_of(batch, i, length)
+                order = np.argsort(gram, kind="stable")
+                begins = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0))
+                ends = np.append(begins[1:], len(order))
+                if likely:
+                    own = likely.passes(gram[order[begins]])
+                    begins, ends = begins[own], ends[own]
+                    packed = np.stack([pos, low, high], axis=1).astype("<u4")[order]
+                    places += [packed[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                rows += [i] * len(begins)
+                grams.append(gram[order[begins]])
+                counts.append(ends - begins)
+            if rows:
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in ("t1", "t2", "docno")), pa.array(np.concatenate(grams)), pa.array(np.concatenate(counts)),
+                     pa.array(places if likely else [None] * len(rows), pa.binary())],
+                    names=["t1", "t2", "docno", "g", "n", "places"],
+                )
+
+    return texts.mapInArrow(grouped, "t1 long, t2 long, docno long, g long, n long, places binary")
 
 
 def _next(column: str, k: int) -> Column:
@@ -297,27 +349,65 @@ def _parts(before: np.ndarray, hashes: np.ndarray, parts: int, length: int) -> n
     return (before * places // (most + 1)) * int(finer) + (hashes % finer).astype(np.int64)
 
 
+def text_windows(data: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of the anchors (pos, low, high), in order, of a text."""
+    at, hashes, i = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while i < len(wanted):
+        base = wanted[i, 1]
+        j = int(np.searchsorted(wanted[:, 1], base + CHUNK))
+        n = wanted[i:j, 2] - wanted[i:j, 1] + 1
+        own = np.repeat(wanted[i:j, 1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        prefix = prefix_hashes(data[base : own[-1] + length])
+        at.append(own)
+        hashes.append(span_hashes(prefix, own - base, own - base + length))
+        i = j
+    return np.concatenate(at), np.concatenate(hashes)
+
+
+def runs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of successive numbers in ascending ones."""
+    edge = np.flatnonzero(np.diff(at) != 1)
+    return (at[np.append(0, edge + 1)], at[np.append(edge, len(at) - 1)]) if len(at) else (at, at)
+
+
 def window_rows(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """(g, part, t1, t2, at, hash): the windows of the anchors (low, high, g, parts) of each text, as packed numbers."""
+    """(g, part, t1, t2, at, hash): the different windows of the anchors (places, g, parts) of each text, as packed numbers.
+
+    A row of the part -1 has the first and the last places of runs of windows that the text itself holds twice.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
             out: list[tuple] = []
             for i, text in enumerate(bytes_list(batch.column("t"))):
                 name = batch.column("t1")[i].as_py(), batch.column("t2")[i].as_py()
-                wanted = sorted(batch.column("wanted")[i].as_py(), key=lambda w: w["low"])
-                data = units(text, words)
-                base, prefix = 0, np.zeros(1, np.uint64)
-                for w in wanted:
-                    if w["high"] + length > base + len(prefix) - 1:
-                        base = w["low"]
-                        prefix = prefix_hashes(data[base : base + CHUNK + 2 * length])
-                    at = np.arange(w["low"], w["high"] + 1)
-                    h = span_hashes(prefix, at - base, at - base + length)
-                    part = _parts(w["pos"] - at, h, w["parts"], length)
-                    for p in np.unique(part).tolist():
-                        own = part == p
-                        out.append((w["g"], p, *name, at[own].astype("<u4").tobytes(), h[own].tobytes()))
+                groups = batch.column("wanted")[i].as_py()
+                places = [np.frombuffer(w["places"], "<u4").reshape(-1, 3).astype(np.int64) for w in groups]
+                anchor = np.repeat(np.arange(len(groups)), [len(p) for p in places])
+                wanted = np.concatenate(places)
+                order = np.argsort(wanted[:, 1])
+                wanted, anchor = wanted[order], anchor[order]
+                at, h = text_windows(units(text, words), wanted, length)
+                n = wanted[:, 2] - wanted[:, 1] + 1
+                anchor, before = np.repeat(anchor, n), np.repeat(wanted[:, 0], n) - at
+                order = np.argsort(h, kind="stable")
+                new = np.append(True, h[order][1:] != h[order][:-1])
+                twice = ~(new & np.append(new[1:], True))
+                if twice.any():
+                    starts, stops = runs_of(np.sort(at[order[twice]]))
+                    out.append((name[0], -1, *name, starts.astype("<u4").tobytes(), stops.astype("<u8").tobytes()))
+                once = order[new]
+                at, h, anchor, before = at[once], h[once], anchor[once], before[once]
+                part = np.zeros(len(at), np.int64)
+                for k, w in enumerate(groups):
+                    if w["parts"] > 1:
+                        own = anchor == k
+                        part[own] = _parts(before[own], h[own], w["parts"], length)
+                order = np.lexsort((at, part, anchor))
+                at, h, anchor, part = at[order], h[order], anchor[order], part[order]
+                begins = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(part) != 0))).tolist()
+                for a, b in zip(begins, [*begins[1:], len(at)], strict=True):
+                    out.append((groups[anchor[a]]["g"], int(part[a]), *name, at[a:b].astype("<u4").tobytes(), h[a:b].tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -344,7 +434,11 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
                 other = np.flatnonzero((g != g[-1]) | (p != p[-1]))
                 done = int(other[-1]) + 1 if len(other) else 0
             if done:
-                yield _runs(held.slice(0, done))
+                own = pa.array(p[:done] < 0)
+                whole = held.slice(0, done)
+                yield from _settled(whole.filter(own)).to_batches()
+                if (p[:done] >= 0).any():
+                    yield _runs(whole.filter(pc.invert(own)))
                 held = held.slice(done)
 
     shape = "t1 long, t2 long, start long, stop long"
@@ -356,6 +450,18 @@ def _then_none(batches):
     yield None
 
 
+def _settled(rows: pa.Table) -> pa.Table:
+    """(t1, t2, start, stop) of runs that texts have settled themselves."""
+    starts = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows.column("at")]
+    stops = [np.frombuffer(x.as_py(), "<u8").astype(np.int64) for x in rows.column("hash")]
+    row = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
+    empty = np.zeros(0, np.int64)
+    return pa.table({
+        **{c: rows.column(c).to_numpy()[row] for c in ("t1", "t2")},
+        "start": np.concatenate([empty, *starts]), "stop": np.concatenate([empty, *stops]),
+    })
+
+
 def _runs(rows: pa.Table) -> pa.RecordBatch:
     at = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows.column("at")]
     h = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in rows.column("hash")])
@@ -420,8 +526,9 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, lengt
         ),
         "suffix-texts",
     )
-    often = stored(anchor_rows(texts, length).groupBy("g").agg(F.count("*").alias("members")).where("members > 1"), "suffix-often")
-    candidates = stored(anchor_rows(texts, length, BitFilter(often, "g")).join(often, "g"), "suffix-anchors")
+    members = anchor_groups(texts, length).groupBy("g").agg(F.sum("n").alias("members"), F.count("*").alias("holding"))
+    often = stored(members.where("members > 1").select("g", "holding"), "suffix-often")
+    candidates = stored(anchor_rows(texts, length, BitFilter(often, "g")).join(often.select("g"), "g"), "suffix-anchors")
     strings = stored(
         candidates.select("t1", "t2", F.lit(0).cast("long").alias("path"), "ord", F.xxhash64("g", "gap").alias("sym"), "gap", "pos"), "suffix-strings"
     )
@@ -434,9 +541,10 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, lengt
         "suffix-settled",
     )
     discard(ranks, strings)
-    wanted = candidates.join(unsettled(candidates, settled), "g").withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
-    asked = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "pos", "g", "parts")).alias("wanted"))
-    asked = stored(asked.join(texts.select("t1", "t2", "docno"), ["t1", "t2"]), "suffix-asked")
+    unsure = unsettled(candidates, settled).unionByName(candidates.where("run").select("g")).distinct()
+    unsure = stored(often.join(unsure, "g").select("g", F.ceil(F.col("holding") / MEMBERS).cast("int").alias("parts")), "suffix-unsure")
+    wanted = anchor_groups(texts, length, BitFilter(unsure, "g")).join(unsure, "g")
+    asked = stored(wanted.groupBy("t1", "t2", "docno").agg(F.collect_list(F.struct("g", "parts", "places")).alias("wanted")), "suffix-asked")
     windows = window_rows(named_texts(docs, key, text, BitFilter(asked, "t1")).join(asked, ["t1", "t2", "docno"]), length, words)
     ranges = settled.unionByName(repeated_windows(windows))
     alone = texts.where("holders = 1").select("t1", "t2", "docno")
@@ -444,7 +552,7 @@ def repeated_ranges(info: DataFrame, docs: DataFrame, key: str, text: str, lengt
         ranges.join(alone, ["t1", "t2"]).groupBy("t1", "t2", "docno").agg(F.collect_list(F.struct("start", "stop")).alias("windows")),
         "suffix-ranges",
     )
-    discard(settled, asked, candidates, texts, often)
+    discard(settled, asked, unsure, candidates, texts, often)
     return out
 
 
@@ -494,9 +602,12 @@ def drop_repeats(
 ) -> DataFrame:
     """The documents with what is left of their texts; what is left of a character that is cut apart goes too."""
     info = stored(describe(docs, key, text, length, words), "suffix-info")
-    found = stored(cut_results(info, docs, key, text, length, depth, words).select("t1", "t2", "kept"), "suffix-kept")
-    likely = BitFilter(found, "t1")
-    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_t1", "_t2"))])
+    a, b, own_a, own_b, kept = fresh(docs, "t1", "t2", "own_t1", "own_t2", "kept")
+    found = cut_results(info, docs, key, text, length, depth, words).select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("kept").alias(kept))
+    found = stored(found, "suffix-kept")
+    discard(info)
+    likely = BitFilter(found, a)
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in (own_a, own_b))])
 
     def marked(passing: bool):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,10 +615,10 @@ def drop_repeats(
                 names = np.array([_name(t) for t in bytes_list(part.column(text))], np.int64).reshape(-1, 2)
                 own = pa.array(np.flatnonzero(likely.passes(names[:, 0].copy()) == passing))
                 columns = [*part.columns, *(pa.array(names[:, i].copy()) for i in (0, 1))]
-                yield pa.RecordBatch.from_arrays([c.take(own) for c in columns], names=[*part.schema.names, "_t1", "_t2"])
+                yield pa.RecordBatch.from_arrays([c.take(own) for c in columns], names=shape.names)
 
         return rows
 
-    same = (F.col("_t1") == found["t1"]) & (F.col("_t2") == found["t2"])
-    changed = docs.mapInArrow(marked(True), shape).join(found, same, "left").withColumn(text, F.coalesce("kept", text))
+    same = (F.col(own_a) == F.col(a)) & (F.col(own_b) == F.col(b))
+    changed = docs.mapInArrow(marked(True), shape).join(found, same, "left").withColumn(text, F.coalesce(kept, text))
     return changed.select(docs.columns).unionByName(docs.mapInArrow(marked(False), shape).select(docs.columns))
