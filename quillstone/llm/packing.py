@@ -3,9 +3,13 @@
 Documents become pieces of at most ``capacity`` tokens; only longer ones are cut. A configuration is a multiset of
 piece lengths that fits into a sequence. The covering program over the length histogram (at most ``capacity`` numbers)
 is solved on the driver by multiplicative weights: each round prices the lengths by their weights, finds the best
-configuration by a knapsack dynamic program, and lowers the weights of what it covers. The mean of the rounds is
-rounded down to whole sequences; what is left over is packed by best-fit patterns, each repeated as often as the
-histogram allows. Both are bounded by the capacity, not by the data: at most rounds + capacity patterns.
+configuration by a knapsack dynamic program, and lowers the weights of what it covers. Rare neighbouring lengths stand as
+one class, so that whole sequences are left after rounding; a length common enough is a class of its own.
+
+The mean of the rounds is rounded to whole sequences and the slots of each get real lengths of their classes; the last
+slot takes the best fit. What the configurations leave is solved by the same program again, and the few pieces after
+that are packed by best-fit patterns. Each pattern repeats until one of its lengths is used up, so their number
+is bounded by the capacity and the rounds, not by the data.
 
 Pieces then take their places in Spark: their number among the pieces of their length (counted in bounded groups, so a
 length that a third of all pieces share is no hot spot) gives pattern, repetition and offset by a look-up in a table of
@@ -17,6 +21,7 @@ their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import collections
 import os
 import re
 import zlib
@@ -136,28 +141,82 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(pieces, PIECES)
 
 
-def best_configuration(values: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """Most valuable multiset of lengths within the capacity: unbounded knapsack, then cut to the limits."""
-    sizes = np.flatnonzero(values > 0)
-    worth = values[sizes]
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        k = np.searchsorted(sizes, room, side="right")
-        best[room], take[room] = best[room - 1], 0
-        if k:
-            total = best[room - sizes[:k]] + worth[:k]
-            i = int(np.argmax(total))
-            if total[i] > best[room]:
-                best[room], take[room] = total[i], sizes[i]
-    out: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if size := int(take[room]):
-            out[size] = out.get(size, 0) + 1
-            room -= size
-        else:
-            room -= 1
-    return {s: min(n, int(limits[s])) for s, n in out.items()}
+class Class(NamedTuple):
+    """Neighbouring lengths that the program takes for one: their mean, how many pieces, the lengths from the longest."""
+
+    size: int
+    demand: int
+    lengths: list[int]
+
+
+def classes(left: np.ndarray, parts: int, width: int) -> list[Class]:
+    """Lengths from the longest on share a class while it holds at most 1 / ``parts`` of the tokens and its lengths differ
+    by at most 1 / ``width``: a common length stands alone."""
+    groups: list[list[int]] = []
+    most, mass = float(left @ np.arange(len(left))) / parts, 0
+    for size in np.flatnonzero(left)[::-1].tolist():
+        own = size * int(left[size])
+        if not groups or mass + own > most or size * width < groups[-1][0] * (width - 1):
+            groups.append([])
+            mass = 0
+        groups[-1].append(size)
+        mass += own
+    out = []
+    for lengths in groups:
+        demand = int(left[lengths].sum())
+        out.append(Class(-(-int(left[lengths] @ np.array(lengths)) // demand), demand, lengths))
+    return out
+
+
+class Knapsack:
+    """Most valuable configuration for given prices, by dynamic programming over the room; no class more often than it
+    has pieces (its copies are items of 1, 2, 4, ... pieces)."""
+
+    def __init__(self, of: list[Class], capacity: int):
+        self.capacity = capacity
+        self.items: list[tuple[int, int, int]] = []
+        for i, c in enumerate(of):
+            most, n = min(capacity // c.size, c.demand), 1
+            while most > 0:
+                n = min(n, most)
+                self.items.append((i, n, c.size * n))
+                most -= n
+                n *= 2
+        self.taken = np.zeros((len(self.items), capacity + 1), bool)
+
+    def best(self, prices: np.ndarray) -> dict[int, int]:
+        worth = np.zeros(self.capacity + 1)
+        for taken, (i, n, size) in zip(self.taken, self.items, strict=True):
+            total = worth[:-size] + n * prices[i]
+            np.greater(total, worth[size:], out=taken[size:])
+            np.maximum(total, worth[size:], out=worth[size:])
+        out: dict[int, int] = {}
+        room = self.capacity
+        for taken, (i, n, size) in zip(self.taken[::-1], self.items[::-1], strict=True):
+            if taken[room]:
+                out[i] = out.get(i, 0) + n
+                room -= size
+        return out
+
+
+def program(of: list[Class], capacity: int, rounds: int, rate: float) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Configurations ((class, number), ...) with the whole sequences that the mean of the rounds gives each; fractions
+    are carried to the next."""
+    demand = np.array([c.demand for c in of], float)
+    bins = sum(c.size * c.demand for c in of) / capacity
+    weights, chosen, knapsack = np.ones(len(of)), collections.Counter(), Knapsack(of, capacity)
+    for _ in range(rounds):
+        pattern = knapsack.best(weights / demand)
+        chosen[tuple(sorted(pattern.items()))] += 1
+        for i, n in pattern.items():
+            weights[i] *= np.exp(-rate * n * bins / rounds / demand[i])
+        weights /= weights.max()
+    out, carry = [], 0.0
+    for form, n in sorted(chosen.items(), key=lambda x: (-x[1], x[0])):
+        carry += n * bins / rounds
+        out.append((form, int(carry)))
+        carry -= int(carry)
+    return out
 
 
 def best_fit(left: np.ndarray, capacity: int, first: dict[int, int] | None = None) -> dict[int, int]:
@@ -178,41 +237,73 @@ def best_fit(left: np.ndarray, capacity: int, first: dict[int, int] | None = Non
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200, rate: float = 5.0) -> list[tuple[dict[int, int], int]]:
+def longest(left: np.ndarray, room: int, used: dict[int, int]) -> int:
+    return next((s for s in np.flatnonzero(left[: room + 1])[::-1].tolist() if left[s] > used.get(s, 0)), 0)
+
+
+def fill(form: tuple[tuple[int, int], ...], of: list[Class], left: np.ndarray, capacity: int, near: int) -> tuple[dict[int, int], int] | None:
+    """Real lengths for the slots of a configuration, and the tokens in slots of their class; None if a class is used up.
+
+    A slot takes the longest of its class that leaves the later slots their means. If the last one then leaves more than
+    ``near`` tokens open, the longest piece of any class that fits stands there.
+    """
+    out: dict[int, int] = {}
+    slots = [i for i, n in form for _ in range(n)]
+    room, ahead, own = capacity, sum(of[i].size for i in slots), 0
+    for turn, i in enumerate(slots, 1):
+        ahead -= of[i].size
+        free = [s for s in of[i].lengths if s <= room and left[s] > out.get(s, 0)]
+        if not free:
+            return None
+        size = next((s for s in free if s <= room - ahead), free[-1])
+        if turn == len(slots) and room - size > near:
+            size = longest(left, room, out)
+        own += size if size in of[i].lengths else 0
+        out[size] = out.get(size, 0) + 1
+        room -= size
+    return out, own
+
+
+def take(left: np.ndarray, pattern: dict[int, int], times: int) -> int:
+    """Takes the pattern's pieces out of ``left`` as often as they last, at most ``times``."""
+    times = min([times, *(int(left[s]) // n for s, n in pattern.items())])
+    for s, n in pattern.items():
+        left[s] -= n * times
+    return times
+
+
+def by_program(left: np.ndarray, capacity: int, rounds: int, rate: float, parts: int, width: int, near: int) -> list[tuple[dict[int, int], int, int]]:
+    """Patterns with their repetitions and the tokens that one repetition holds in slots of the program; what they hold is
+    taken out of ``left``. The same program is solved for what its configurations leave, until they place nothing more."""
+    out: list[tuple[dict[int, int], int, int]] = []
+    lengths = np.arange(capacity + 1)
+    while left @ lengths >= capacity:
+        before, of = len(out), classes(left, parts, width)
+        for form, times in program(of, capacity, rounds, rate):
+            while times > 0 and (slots := fill(form, of, left, capacity, near)):
+                pattern = best_fit(left, capacity, slots[0])
+                n = take(left, pattern, times)
+                out.append((pattern, n, slots[1]))
+                times -= n
+        if len(out) == before:
+            break
+    return out
+
+
+def solve(
+    histogram: dict[int, int], capacity: int = 2048, rounds: int = 600, rate: float = 40.0, parts: int = 32, width: int = 8, near: int = 4
+) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> number) with their repetitions; together they hold the histogram exactly."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
-    patterns: list[tuple[dict[int, int], int]] = []
-
-    def use(pattern: dict[int, int], times: int) -> None:
-        times = min([times, *(int(left[s]) // n for s, n in pattern.items())])
-        if times > 0:
-            patterns.append((pattern, times))
-            for s, n in pattern.items():
-                left[s] -= n * times
-
-    if left[capacity]:
-        use({capacity: 1}, int(left[capacity]))
-    demand = left.astype(float)
-    bins = float((demand * np.arange(capacity + 1)).sum()) / capacity
-    if bins >= 1:
-        weights, chosen = (demand > 0).astype(float), {}
-        for _ in range(rounds):
-            values = np.divide(weights, demand, out=np.zeros_like(weights), where=demand > 0)
-            pattern = best_configuration(values, left, capacity)
-            form = tuple(sorted(pattern.items()))
-            chosen[form] = chosen.get(form, 0) + 1
-            for s, n in pattern.items():
-                weights[s] *= np.exp(-rate * min(1.0, n * bins / rounds / demand[s]))
-            weights /= weights.max()
-        for form, n in sorted(chosen.items(), key=lambda x: (-x[1], x[0])):
-            if all(left[s] >= k for s, k in form):
-                use(best_fit(left, capacity, dict(form)), int(n * bins / rounds))
+    patterns = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    patterns += [(pattern, times) for pattern, times, _ in by_program(left, capacity, rounds, rate, parts, width, near)]
     while left.any():
         largest = int(np.flatnonzero(left)[-1])
         pattern = best_fit(left, capacity, {largest: 1})
-        use(pattern, int(left[largest]))
+        patterns.append((pattern, take(left, pattern, int(left[largest]))))
     return patterns
 
 

@@ -133,6 +133,25 @@ def test_patterns_hold_the_histogram():
         assert sum(t for _, t in patterns) <= 1.02 * first_fit(histogram, capacity) + 1
 
 
+def test_program_places_the_pieces():
+    rng = np.random.default_rng(5)
+    sizes = np.minimum(2047, rng.lognormal(6, 0.9, 8000).astype(int) + 1)
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
+    left = np.zeros(2049, np.int64)
+    left[list(histogram)] = list(histogram.values())
+    planned = sum(times * own for _, times, own in packing.by_program(left, 2048, 600, 40.0, 32, 8, 4))
+    assert planned >= 0.85 * sizes.sum()
+    assert left @ np.arange(2049) <= 3 * 2048
+    assert sum(t for _, t in packing.solve(histogram)) <= 1.002 * math.ceil(sizes.sum() / 2048) + 1
+
+
+def test_program_beats_best_fit():
+    """Best fit pairs 510 with 270 and wastes the rest; the program pairs 510 + 260 + 230 and 2 x 270 + 2 x 230."""
+    histogram = {510: 6000, 270: 6000, 260: 6000, 230: 12000}
+    assert sum(t for _, t in packing.solve(histogram, 1000, rounds=0)) == 11_000
+    assert sum(t for _, t in packing.solve(histogram, 1000)) <= 1.005 * 9000
+
+
 def first_fit(histogram, capacity):
     room = []
     for size in sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True):
