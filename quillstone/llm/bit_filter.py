@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.names import fresh
+
 
 class BitFilter:
     def __init__(self, hashes: DataFrame, column: str, bits: int = 24):
@@ -40,14 +42,15 @@ def parted(rows: DataFrame, key: str, partners: DataFrame) -> tuple[DataFrame, D
 
     ``partners`` has the column ``key``. The rows with their whole texts are read twice instead of shuffled once.
     """
-    likely = BitFilter(partners.select(F.xxhash64(key).alias("_h")), "_h")
-    hashed = rows.withColumn("_h", F.xxhash64(key))
-    shape = T.StructType([f for f in hashed.schema.fields if f.name != "_h"])
+    (hash_of,) = fresh(rows, "h")
+    likely = BitFilter(partners.select(F.xxhash64(key).alias(hash_of)), hash_of)
+    hashed = rows.withColumn(hash_of, F.xxhash64(key))
+    shape = T.StructType([f for f in hashed.schema.fields if f.name != hash_of])
 
     def filtered(passing: bool):
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = likely.passes(batch.column("_h").to_numpy(zero_copy_only=False)) == passing
+                own = likely.passes(batch.column(hash_of).to_numpy(zero_copy_only=False)) == passing
                 at = pa.array(np.flatnonzero(own))
                 yield pa.RecordBatch.from_arrays([batch.column(f.name).take(at) for f in shape.fields], names=shape.names)
 

@@ -18,6 +18,8 @@ rows; an empty table gives an empty result; with no word at all every target is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,14 +67,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return table.select("source", "source_size", F.when(capped, F.col("top")).otherwise(F.col("weight") * level).alias("target"))
 
 
+def _top(most: int) -> float:
+    """An exponent beyond which every rate is ``most``."""
+    return max(2.0, math.log(most) + 1.0)
+
+
 def _rate(multiplier: Column, size: Column, mean: Column, most: int) -> Column:
     """Rate in whole billionths; the exponent is held so that no value overflows."""
-    tilt = F.exp(F.least(multiplier * size / mean, F.lit(2.0)))
+    tilt = F.exp(F.least(multiplier * size / mean, F.lit(_top(most))))
     return F.round(F.least(F.lit(float(most)), tilt) * UNIT).cast("long")
 
 
 def tilts(cells: DataFrame, targets: DataFrame, most: int = 3, rounds: int = 40, within: float = 1e-7) -> DataFrame:
-    """(source, multiplier, mean) that meet the targets; ``cells`` has (source, size, n) with size above 0."""
+    """(source, multiplier, mean) that meet the targets; ``cells`` has (source, size, n) with size above 0.
+
+    Targets that are not met after the last round are an error. A target counts as met ``within`` its share, or as close as
+    rates in billionths can tell.
+    """
     shape = cells.groupBy("source").agg(
         (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least")
     )
@@ -82,9 +93,10 @@ def tilts(cells: DataFrame, targets: DataFrame, most: int = 3, rounds: int = 40,
             "source",
             "mean",
             "target",
+            "source_size",
             F.lit(0.0).alias("multiplier"),
             F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) / F.col("z")).alias("low"),
-            (F.lit(1.1) / F.col("z")).alias("high"),  # above ln(most) for the default of 3
+            (F.lit(max(1.1, math.log(most) + 0.1)) / F.col("z")).alias("high"),  # above ln(most) / z, where every rate is ``most``
             F.lit(1.0).alias("miss"),
         ),
         "mix-state",
@@ -99,17 +111,19 @@ def tilts(cells: DataFrame, targets: DataFrame, most: int = 3, rounds: int = 40,
         high = F.when(F.col("gap") > 0, F.col("multiplier")).otherwise(F.col("high"))
         bracketed = now.withColumns({"low": low, "high": high, "step": F.col("multiplier") - F.col("gap") / F.nullif("slope", F.lit(0.0))})
         inside = (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
-        near = F.abs("gap") <= within * F.greatest("target", F.lit(1.0))
+        near = F.abs("gap") <= F.greatest(within * F.greatest("target", F.lit(1.0)), F.col("source_size") / UNIT)
         moved = F.when(near, F.col("multiplier")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
         state = stored(
             bracketed.select(
-                "source", "mean", "target", F.round(moved, 12).alias("multiplier"), "low", "high",
+                "source", "mean", "target", "source_size", F.round(moved, 12).alias("multiplier"), "low", "high",
                 F.when(near, 0.0).otherwise(F.abs("gap")).alias("miss"),
             ),
             "mix-state",
         )
-        if not state.agg(F.max("miss")).first()[0]:
+        if not (miss := state.agg(F.max("miss")).first()[0]):
             break
+    else:
+        raise RuntimeError(f"a source misses its target by {miss} words after {rounds} rounds")
     return state.select("source", "mean", "multiplier")
 
 

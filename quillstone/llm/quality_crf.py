@@ -180,12 +180,14 @@ def learn_quality(
     max_docs: int = 3000,
     max_lines: int = 400,
 ) -> Field | None:
-    """The field fitted on a bounded sample of the labelled documents; None if there are none."""
+    """The field fitted on a bounded sample of the labelled documents, one text for each id; None if there are none."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     sample = known.orderBy(F.xxhash64("k"), "k").limit(max_docs)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")  # max_docs rows
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")  # max_docs rows
+    one = F.max(F.struct(F.xxhash64("t"), "t"))["t"]
+    rows = found.groupBy("k", "y").agg(one.alias("t"))
     shapes = rows.select("y", "t").mapInArrow(_shapes_of(max_lines), "y long, shape binary")
-    pdf = shapes.limit(2 * max_docs).toPandas()
+    pdf = shapes.toPandas()  # max_docs rows of max_lines lines
     if not len(pdf):
         return None
     parts = [np.frombuffer(s, np.float32).reshape(-1, N_SHAPE).astype(float) for s in pdf["shape"]]

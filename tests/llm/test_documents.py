@@ -195,6 +195,24 @@ def test_mix(docs, nothing):
     assert data(mixing.mix(nothing)) == []
 
 
+def test_mix_of_many_copies(spark):
+    import pytest
+
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 10 == 0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = data(mixing.mix(df, weights=(1, 9), most=20))
+    assert {r["source"] for r in out if r["target"] < 20 * r["source_size"]} == {"a", "b"}
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4
+        assert max(r["copies"] for r in own) <= 20
+    assert max(r["copies"] for r in out) > 3
+    cells = spark.createDataFrame([("a", s, 5) for s in range(1, 9)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 180, 99.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="misses its target"):
+        mixing.tilts(cells, targets, rounds=2)
+
+
 def fingerprint(text, width=4):
     w = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(max(1, len(w) - width + 1))] if w else []
