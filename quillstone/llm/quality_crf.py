@@ -187,7 +187,7 @@ def learn_quality(
     one = F.max(F.struct(F.xxhash64("t"), "t"))["t"]
     rows = found.groupBy("k", "y").agg(one.alias("t"))
     shapes = rows.select("y", "t").mapInArrow(_shapes_of(max_lines), "y long, shape binary")
-    pdf = shapes.toPandas()  # max_docs rows of max_lines lines
+    pdf = shapes.toPandas().sort_values(["y", "shape"], ignore_index=True)  # max_docs rows of max_lines lines, in one order
     if not len(pdf):
         return None
     parts = [np.frombuffer(s, np.float32).reshape(-1, N_SHAPE).astype(float) for s in pdf["shape"]]
