@@ -246,6 +246,17 @@ def test_simhash(docs, nothing, distance):
     assert data(simhash.near_duplicates(nothing)) == []
 
 
+def test_parted_rows_keep_their_columns(spark):
+    from quillstone.llm.bit_filter import parted
+
+    df = spark.createDataFrame([(i, f"v{i}", -i) for i in range(40)], "doc_id long, _h string, __H long")
+    maybe, rest = parted(df, "doc_id", spark.createDataFrame([(3,), (5,)], "doc_id long"))
+    assert maybe.columns == rest.columns == df.columns
+    found = {tuple(r) for r in maybe.collect()}
+    assert {(3, "v3", -3), (5, "v5", -5)} <= found and len(found) < 40
+    assert found | {tuple(r) for r in rest.collect()} == {tuple(r) for r in df.collect()}
+
+
 def test_dense_cells_meet_as_blocks():
     rng = np.random.default_rng(3)
     fp = np.unique(np.uint64(0xABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)))
