@@ -357,3 +357,37 @@ def test_batch_search_keeps_the_best(spark):
         for i, (n, d) in enumerate(sorted(((-n, d) for n, d in scores if n))[:5]):
             want[q, d] = (float(-n), i + 1)
     assert got == want
+
+
+def test_lines_that_name_several_entities(spark):
+    """Profiles read lines with names as they read one row per mention, and no text moves for an aggregate."""
+    rows = [(0, "s", "a.md", 1, "fox died by the gun", ["Fox", "Owl"]), (0, "s", "a.md", 2, "the fox is alive", ["Fox"]), (0, "t", "b.md", 1, "fox died by the gun", ["Fox", None])]
+    lines = spark.createDataFrame(rows, "src_rank int, session string, source string, line_no bigint, text string, names array<string>")
+    single = M.by_name(lines)
+    assert single.count() == 5
+    makers = (
+        profiles.entity_facets, profiles.entity_timeline, profiles.passing_record, profiles.continuity_conflicts, profiles.entity_tags,
+        lambda found: profiles.notable_events(found, ["gun"]),
+    )
+    for make in makers:
+        got = [sorted(map(repr, make(found).collect())) for found in (lines, single)]
+        assert got[0] == got[1] and got[0]
+    assert {(r.canonical, r.rank, r.source) for r in profiles.notable_events(lines, ["gun"]).collect()} == {("Fox", 1, "a.md#L1"), ("Owl", 1, "a.md#L1"), (None, 1, "b.md#L1")}
+    moved = exchanged(profiles.entity_tags(lines)) + exchanged(profiles.continuity_conflicts(lines))
+    assert moved and not any("text" in m for m in moved)
+
+
+def test_shared_terms_are_searched_once(spark):
+    """A term of several names has its places once, and names that no request asks for are not searched."""
+    catalog = spark.createDataFrame(
+        [(0, "Fox", "NPC", ["Red"]), (1, "Hen", "NPC", ["Red"]), (2, "Cat", "NPC", ["sat"])], "pos bigint, canonical string, type string, synonyms array<string>"
+    )
+    queue = spark.createDataFrame([(1, "fox", "incoming"), (2, "hen", "pending")], "request_id bigint, entity string, status string")
+    logs = spark.createDataFrame([("log", 1, "a red fox sat"), ("log", 2, "red")], "source string, line_no bigint, text string")
+    pages = spark.createDataFrame([("book", 1, "x\nfox\nred")], "source string, page bigint, text string")
+    run = R.queue_run(queue, catalog, logs, pages)
+    assert sorted((r.term, r.file) for r in run.terms.collect()) == [("fox", "book"), ("fox", "log"), ("red", "book"), ("red", "log"), ("red", "log")]
+    assert sorted((r.canonical, r.file, r.place, r["_i"]) for r in run.hits.collect()) == [
+        ("Fox", "book", 1, 1), ("Fox", "log", 1, 0), ("Fox", "log", 2, 0), ("Hen", "book", 1, 2), ("Hen", "log", 1, 0), ("Hen", "log", 2, 0),
+    ]
+    assert sorted((r.canonical, r.rank, r.source, r.excerpt) for r in run.cited(1).collect()) == [("Fox", 1, "log#L1", "a red fox sat"), ("Hen", 1, "log#L1", "a red fox sat")]
