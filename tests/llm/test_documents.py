@@ -7,8 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillstone.llm import langid, mixing, packing, quality_crf, search, simhash, suffix_dedup
 from tests.llm import corpus
@@ -296,6 +298,41 @@ def test_search(docs, nothing):
     assert data(search.search(nothing, nothing["doc_id"] % 4 == 0)) == []
 
 
+def test_search_copies_no_document_for_a_block_of_queries(docs):
+    tokens = search.term_counts(docs)
+    rows = tokens.limit(9).select(F.col("key").alias("query"), F.col("terms").alias("term"), F.col("counts").alias("df")).toArrow()
+    block = docs.sparkSession.sparkContext.broadcast(search.questions_of(rows, len(ROWS)))
+    found = search.answers(tokens, block, 40.0, 3, 1.2, 0.75, 20)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["query_id"] for r in data(found)} <= set(rows.column("query").to_pylist())
+
+
+def test_shards_are_bounded_by_documents_and_postings(monkeypatch):
+    monkeypatch.setattr(search, "POSTINGS", 10)
+    sizes = [4, 4, 4, 25, 1, 1, 1, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([[7] * n for n in sizes], pa.list_(pa.int64()))], names=["terms"])
+    parts = [[len(x) for x in part.column("terms").to_pylist()] for part in search.shards([batch], 4)]
+    assert parts == [[4, 4], [4], [25], [1, 1, 1, 1], [1]]
+
+
+def test_threshold_from_an_earlier_shard_keeps_what_can_enter():
+    rng = np.random.default_rng(5)
+    n, asked = 300, np.arange(30)
+    lists = [np.flatnonzero(rng.random(30) < rng.random()) for _ in range(n)]
+    lists = [x if len(x) else np.array([3]) for x in lists]
+    ends = np.append(0, np.cumsum([len(x) for x in lists]))
+    counts = rng.integers(1, 5, ends[-1]).astype(np.int32)
+    shard = search.Shard(rng.integers(5, 90, n), ends, np.concatenate(lists), counts, 40.0, 1.2, 0.75, asked, np.linspace(0.1, 3, 30))
+    rank = np.arange(n)
+    for some in (asked, asked[::3], asked[:4]):
+        docs, scores = shard.search(some, n, rank)
+        for least in (0.0, scores[3], scores[20], scores[0]):
+            got, worth = shard.search(some, 10, rank, least)
+            keep = scores[:10] >= least
+            assert got[: keep.sum()].tolist() == docs[:10][keep].tolist()
+            assert np.allclose(worth[: keep.sum()], scores[:10][keep], rtol=1e-12)
+
+
 def cut(rows, length):
     texts = [(t or "").encode() for _, t, *_ in rows]
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
