@@ -26,7 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with an exact similarity of 0.8 and more."""
+    """One document of each group of near copies: five-word shingles with an exact similarity of 0.8 and more.
+
+    Candidates are those of the popcount grid over fingerprints, and those that only bands of minima find.
+    """
     return near_copies.drop_near_copies(docs, width=5)
 
 

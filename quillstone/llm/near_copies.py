@@ -1,16 +1,18 @@
-"""Near copies by the exact similarity of their word shingles; candidates by minima of hashes.
+"""Near copies by the exact similarity of their word shingles; candidates by fingerprints and by minima of hashes.
 
 The set of a text are its lower-cased ``width``-word shingles (the whole text if it has fewer words). Two texts are near
 copies if their sets have a Jaccard similarity of ``SIMILAR`` at least. Near copies of near copies form one group.
 
-1. Candidates. ``BANDS`` times ``ROWS`` minima of independently hashed shingles; two sets share a minimum with the
-   probability of their similarity, so two of similarity 0.8 share no whole band with a probability of
-   (1 - 0.8 ** 5) ** 40 = 1.3e-7, and less above. This is the only place where a pair can be missed.
+1. Candidates. The popcount grid (``simhash.py``) links the sets whose fingerprints differ by at most ``DISTANCE`` bits;
+   each set meets one set of its group. Fingerprints of pairs at 0.8 differ by more, so the others are found by ``BANDS``
+   times ``ROWS`` minima of independently hashed shingles; two sets share a minimum with the probability of their
+   similarity, so two of similarity 0.8 share no whole band with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7, and
+   less above. This is the only place where a pair can be missed.
 2. Bound. ``PARITIES`` bits of a set say for each class of shingles whether it holds an odd number of them. Two sets
    differ in at least as many shingles as in bits, so a pair with too many different bits is surely not similar and is
    never made. The bound loses no pair, whatever the sets' sizes; it prunes little for texts of many thousand words.
 3. Verification. The sets of a band are compared with its hub, the one of them that shares the most bands with others:
-   copies that were each made from one text meet that text. In bands whose sets are then not all in one group, the sets
+   copies that were each made from one text meet that text. Pairs of the grid are verified with them. In bands whose sets are then not all in one group, the sets
    outside the hub's group are compared with all sets of other groups that the bound leaves. A pair links by the exact
    similarity of its shingles alone (as 64-bit hashes), never by the minima.
 4. Groups are the components of the verified links. Of each group one row stays: that of the smallest key, a null key
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm import simhash
 from quillstone.llm.arrow_text import bytes_list, prefix_hashes, slices, span_hashes
 from quillstone.llm.bit_filter import BitFilter
 from quillstone.llm.components import components
@@ -40,6 +43,7 @@ from quillstone.llm.names import fresh
 from quillstone.sources.storage import discard, stored
 
 BANDS, ROWS = 40, 5
+DISTANCE = 4  #: bits in which fingerprints of the grid's pairs differ
 PARITIES = 512  #: a multiple of 64
 SIMILAR = (4, 5)  #: numerator and denominator of the least similarity
 _random = np.random.default_rng(42)
@@ -87,7 +91,7 @@ def text_name(text: bytes) -> int:
 
 
 def described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, t, s, n, bands, bits): name of the text, name and size of its set, its bands as bytes and its parities."""
+    """(key, t, s, n, fp, bands, bits): name of the text, name and size of its set, its fingerprint, bands as bytes and parities."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -99,14 +103,15 @@ def described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     pa.array([text_name(t) for t in texts], pa.int64()),
                     pa.array([text_name(x.tobytes()) for x in sets], pa.int64()),
                     pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array(np.array([simhash.majority(x) for x in sets], np.uint64).view(np.int64)),
                     pa.array([bands(x).tobytes() for x in sets], pa.binary()),
                     pa.array([parities(x) for x in sets], pa.list_(pa.int64())),
                 ],
-                names=["key", "t", "s", "n", "bands", "bits"],
+                names=["key", "t", "s", "n", "fp", "bands", "bits"],
             )
 
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    return own.mapInArrow(rows, f"key {own.schema['key'].dataType.simpleString()}, t long, s long, n long, bands binary, bits array<long>")
+    return own.mapInArrow(rows, f"key {own.schema['key'].dataType.simpleString()}, t long, s long, n long, fp long, bands binary, bits array<long>")
 
 
 def band_rows(sets: DataFrame, likely: BitFilter | None = None) -> DataFrame:
@@ -180,6 +185,20 @@ def hubs(sets: DataFrame) -> DataFrame:
     return out
 
 
+def grid_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints the popcount grid links, each with one of its group, if the bound leaves them."""
+    leads = stored(sets.groupBy("fp").agg(F.min("s").alias("a")), "near-fingerprints")
+    near = simhash.near_links(leads, DISTANCE)
+    other = leads.select(F.col("fp").alias("b"), F.col("a").alias("s"))
+    apart = near.join(other, "b").join(leads.withColumnRenamed("a", "lead"), F.col("a") == F.col("fp")).select(F.col("lead").alias("a"), "s")
+    same = sets.select("fp", "s").join(leads, "fp").where("s <> a").select("a", "s")
+    own = sets.select(F.col("s").alias("a"), F.col("n").alias("m"), F.col("bits").alias("a_bits"))
+    met = apart.unionByName(same).distinct().join(sets.select("s", "n", "bits"), "s").join(own, "a")
+    out = stored(met.where(may_be_similar("n", "m", "bits", "a_bits")).select("a", F.col("s").alias("b")), "near-grid")
+    discard(leads)
+    return out
+
+
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
     """(a, b): the similar ones of the pairs, whose texts are read once."""
     pairs = stored(pairs.distinct(), "near-pairs")
@@ -192,11 +211,12 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width:
 
 
 def near_links(sets: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(a, b): verified links that connect all similar candidates; ``sets`` has (s, t, n, bands, bits), each set once."""
+    """(a, b): verified links that connect all similar candidates; ``sets`` has (s, t, n, fp, bands, bits), each set once."""
+    grid = grid_pairs(sets)
     leads = hubs(sets)
     members = stored(band_rows(sets, BitFilter(leads, "band")).join(leads, "band"), "near-members")
     with_hub = members.where((F.col("s") != F.col("a")) & may_be_similar("n", "m", "bits", "a_bits"))
-    links = linked(with_hub.select("a", F.col("s").alias("b")), sets, docs, text, width)
+    links = linked(with_hub.select("a", F.col("s").alias("b")).unionByName(grid), sets, docs, text, width)
     placed = members.join(components(links), F.col("s") == F.col("node"), "left").select("band", "s", "n", "bits", "a", F.coalesce("component", "s").alias("group"))
     placed = stored(placed, "near-placed")
     settled = placed.where("s = a").select("band", F.col("group").alias("hub"))
@@ -206,14 +226,14 @@ def near_links(sets: DataFrame, docs: DataFrame, text: str, width: int) -> DataF
     apart = outside.join(other, "band").where(new & may_be_similar("n", "m", "bits", "o_bits"))
     more = linked(apart.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")), sets, docs, text, width)
     out = stored(links.unionByName(more), "near-all-links")
-    discard(leads, members, placed, outside, links, more)
+    discard(grid, leads, members, placed, outside, links, more)
     return out
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """The documents but for those that have a verified near copy in a group whose one row stays."""
     marked = stored(described(docs, key, text, width), "near-described")
-    sets = stored(marked.groupBy("s").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "near-sets")
+    sets = stored(marked.groupBy("s").agg(F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "bits"))), "near-sets")
     group = components(near_links(sets, docs, text, width))
     rows = marked.select("key", "t", "s").join(group, F.col("s") == F.col("node"), "left")
     rows = rows.select("key", "t", F.coalesce("component", "s").alias("group"))

@@ -34,6 +34,15 @@ PAIRS = 1 << 21  #: verified at once
 BLOCK = 256  #: rows of a matrix of pairs
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     """Bits that are set in over half the hashes of the ``width``-word shingles."""
     words = text.lower().split()
@@ -45,11 +54,7 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, width: int = 4) -> DataFrame:

@@ -54,6 +54,17 @@ def test_near_copies_are_those_of_similarity(spark):
     assert got == survivors(rows)
 
 
+def test_copies_are_found_by_the_popcount_grid(spark, monkeypatch):
+    """Without any band, texts of near fingerprints still go by their verified shingles."""
+    rng = random.Random(6)
+    near, far = corpus.words(rng, 2000), corpus.words(rng, 2000)
+    rows = [[1, " ".join(near), "en", "s1"], [2, edited(rng, near, 1), "en", "s1"], [3, " ".join(far), "en", "s1"], [4, "", "en", "s1"], [5, None, "en", "s1"]]
+    whole = near_copies.band_rows
+    monkeypatch.setattr(near_copies, "band_rows", lambda sets, likely=None: whole(sets, likely).limit(0))
+    got, _ = kept(spark, rows)
+    assert got == survivors(rows) == [(False, 1), (False, 3), (False, 4)]
+
+
 def test_groups_in_mixed_bands_are_whole(spark):
     rng = random.Random(3)
     words = corpus.words(rng, 300)
