@@ -50,7 +50,7 @@ TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": [
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; a small text table is dealt out over all cores.
+    """A given table; a small text table is dealt out over all cores, in more tasks the more splits it has.
 
     A text needs far more work than reading it, and a small file is one row group, thus one task. When
     the scan has few splits for the cores there are, the rows are spread by their key; a large table has
@@ -58,8 +58,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < 4 * cores:
-        return df.repartition(cores, *TEXT_TABLES[name])
+    if name in TEXT_TABLES and (splits := df.rdd.getNumPartitions()) < 4 * cores:
+        return df.repartition(max(cores, 4 * splits), *TEXT_TABLES[name])
     return df
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone import api
 from quillstone.operators import pages as P
+from quillstone.plans import views
 from quillstone.sources import scans, sinks, versions
 
 
@@ -81,3 +82,19 @@ def test_ranges_from_a_table(spark):
     assert {(r.book, r.chunk_name): r.text for r in got.collect()} == want
     short = P.split_page_ranges(pages, [(1, 2, "a"), (500, 501, "b")])
     assert {(r.book, r.chunk_name, r.n_chars > 0) for r in short.collect()} == {(b, c, c[6] == "0") for b in "xy" for c in ("chunk_001-002_a", "chunk_500-501_b")}
+
+
+def test_a_text_table_is_dealt_out_by_its_splits(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    files = cores // 2 + 2
+    spark.range(1000).selectExpr("id AS doc_id", "repeat('word ', 50) AS text").repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # less than two files
+    try:
+        splits = spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions()
+        dealt = views.table(spark, str(tmp_path), "documents")
+        assert dealt.rdd.getNumPartitions() == (max(cores, 4 * splits) if splits < 4 * cores else splits)
+        assert dealt.rdd.getNumPartitions() > cores
+        assert sorted(r[0] for r in dealt.select("doc_id").collect()) == list(range(1000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
