@@ -167,7 +167,7 @@ def term_hits(names: DataFrame, logs: DataFrame, pages: DataFrame) -> DataFrame:
     page, text) the first line with a term does. ``_doc`` and ``_i`` are the row's hash and the line in it.
     """
     keys = names.select("term", F.col("term").alias("canonical")).distinct()
-    in_logs = line_hits(logs, log_keys(logs), "text", keys, "edge", carry=log_keys(logs))
+    in_logs = line_hits(logs, log_keys(logs), "text", keys, "edge", carry=log_keys(logs)).distinct()
     place = F.col("line_no") if "line_no" in logs.columns else (F.col("_i") + 1).cast("long")
     in_pages = line_hits(pages, ["source", "page"], "text", keys, "edge", carry=["source", "page"])
     first = in_pages.groupBy("canonical", "source", "page").agg(F.min(F.struct("_i", "_doc")).alias("at"))
@@ -189,6 +189,21 @@ def name_hits(hits: DataFrame, names: DataFrame) -> DataFrame:
     return in_logs.unionByName(in_pages.select("canonical", "domain_rank", "file", "place", "at._doc", "at._i"))
 
 
+def mention_counts(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """(canonical, n_mentions): how many places name each name, as many as ``name_hits`` has, which are not made.
+
+    A place counts for a name at the first of the name's terms that stands there. So a place is one row with its terms,
+    and names that share terms multiply nothing but counts.
+    """
+    log = F.col("domain_rank") == 0
+    place = [F.col(c) for c in ("domain_rank", "file", "place")] + [F.when(log, F.col(c)).alias(c) for c in ("_doc", "_i")]
+    held = hits.groupBy(*place).agg(F.collect_set("term").alias("held")).select("held", F.explode("held").alias("term"))
+    own = names.groupBy("canonical").agg(F.array_sort(F.collect_set("term")).alias("own"))
+    firsts = own.select("canonical", F.posexplode("own").alias("i", "term"), "own").select("canonical", "term", F.slice("own", 1, F.col("i")).alias("sooner"))
+    met = held.join(firsts, "term").where(~F.arrays_overlap("held", "sooner"))
+    return met.groupBy("canonical").agg(F.count("*").alias("n_mentions"))
+
+
 def cite_mentions(hits: DataFrame, names: DataFrame, logs: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
     """(canonical, rank, domain, source, excerpt) of the hits, logs first. With a ``cap`` each name keeps that many.
 
@@ -235,6 +250,11 @@ class QueueRun:
     logs: DataFrame
     pages: DataFrame
 
+    @property
+    def counts(self) -> DataFrame:
+        """How many places mention each asked name."""
+        return mention_counts(self.terms, self.names)
+
     @property
     def hits(self) -> DataFrame:
         """Places where the asked names are mentioned."""
@@ -280,9 +300,11 @@ def complete_requests(
 
     ``requests`` carry ``canonical`` and ``is_new`` (``mentions.settle_names``). With an article of that slug the
     request is integrated and points to it, else it is researched and points to its dossier. A time at which work
-    started stays, and so do all other columns of the queue.
+    started stays, and so do all other columns of the queue. ``mentions`` are places of names or, with the column
+    ``n_mentions``, their counts.
     """
-    counts = mentions.groupBy("canonical").agg(F.count("*").alias("n_mentions"))
+    counted = "n_mentions" in mentions.columns
+    counts = mentions.select("canonical", "n_mentions") if counted else mentions.groupBy("canonical").agg(F.count("*").alias("n_mentions"))
     present = articles.select("slug").distinct().withColumn("_there", F.lit(True))
     named = requests.withColumn("resolved_entity", F.coalesce("canonical", strip(F.col("entity"))))
     rows = (

@@ -472,7 +472,7 @@ def slugs(spark, sf):
 def completed(spark, sf, run=None):
     """Names count all their mentions; ``MENTION_CAP`` cuts the lists of dossiers only."""
     run = run or queue_run(spark, sf)
-    return R.complete_requests(run.settled, run.hits, slugs(spark, sf), F.lit(NOW))
+    return R.complete_requests(run.settled, run.counts, slugs(spark, sf), F.lit(NOW))
 
 
 COMPLETED = dict(

@@ -391,3 +391,24 @@ def test_shared_terms_are_searched_once(spark):
         ("Fox", "book", 1, 1), ("Fox", "log", 1, 0), ("Fox", "log", 2, 0), ("Hen", "book", 1, 2), ("Hen", "log", 1, 0), ("Hen", "log", 2, 0),
     ]
     assert sorted((r.canonical, r.rank, r.source, r.excerpt) for r in run.cited(1).collect()) == [("Fox", 1, "log#L1", "a red fox sat"), ("Hen", 1, "log#L1", "a red fox sat")]
+
+
+def test_counts_of_names_that_share_terms(spark):
+    """As many as the places of each name, though places and names never meet in an exchange."""
+    rng = random.Random(3)
+    places = [(d, f"f{i % 7}", i, i * 10 + d, i) for i in range(60) for d in (0, 1)]
+    hits = [(t, *p) for p in places for t in "abcdef" if rng.random() < 0.4]
+    hits += [("a", 1, "f0", 0, 99, 99)]
+    names = [(n, t) for n, own in (("x", "abc"), ("y", "abc"), ("z", "f"), ("w", "adef"), ("v", "q")) for t in own]
+    hits = spark.createDataFrame(hits, "term string, domain_rank int, file string, place long, _doc long, _i int")
+    names = spark.createDataFrame(names, "canonical string, term string")
+    got = R.mention_counts(hits, names)
+    want = R.name_hits(hits, names).groupBy("canonical").count()
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    exchanges = [line for line in exchanged(R.mention_counts(hits, F.broadcast(names))) if "canonical" in line and "file" in line]
+    assert not exchanges
+
+
+def exchanged(frame):
+    """The lines of a plan that exchange rows by hash."""
+    return [line for line in frame._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in line]
