@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import strip, stripped_lines, title_case
-from quillstone.operators.spans import is_word, shaped, spans
+from quillstone.operators.spans import shaped, spans
 
 # Articles that neither link nor lend their names, and the category order of the index.
 NO_LINKS = ("index", "entity-queue")
@@ -61,12 +61,8 @@ def link_spans(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
     plain = articles.where(~F.col("slug").isin(list(NO_LINKS))).select(
         F.col("slug").alias("src"), "part", F.regexp_replace("body", TAG, CUT).alias("text")
     )
-    found = spans(plain, F.col("text"), ["src", "part"], names)
-
-    def beside(unit: str) -> Column:
-        return is_word(F.col(unit)) | (F.coalesce(unit, F.lit("")) == "/")
-
-    places = found.where(~beside("_before") & ~beside("_after")).groupBy("src", "part").agg(
+    found = spans(plain, F.col("text"), ["src", "part"], names, also="/")
+    places = found.where(~F.col("_before") & ~F.col("_after")).groupBy("src", "part").agg(
         F.array_sort(F.collect_list(F.struct("_at", (-F.col("_size")).alias("size"), "dst"))).alias("places")
     )
     nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("taken"))

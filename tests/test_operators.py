@@ -4,6 +4,8 @@ import dataclasses
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from quillstone.operators import pages as P
 from quillstone.operators import profiles
 from quillstone.operators import requests as R
 from quillstone.operators import search as L
+from quillstone.operators import spans
 from quillstone.operators.ranking import rank_in_group
 from quillstone.sources import scans as S
 
@@ -393,6 +396,32 @@ def test_shared_terms_are_searched_once(spark):
     assert sorted((r.canonical, r.rank, r.source, r.excerpt) for r in run.cited(1).collect()) == [("Fox", 1, "log#L1", "a red fox sat"), ("Hen", 1, "log#L1", "a red fox sat")]
 
 
+def test_runs_that_are_no_terms_are_no_rows(spark):
+    """Words that begin a term, with as many units as it has, are rows only where the term itself is likely."""
+    rows = spark.createDataFrame([(1, "red a red b red c Été vert red fox x"), (2, None), (3, "")], "i int, text string")
+    shapes = spans.shaped(spark.createDataFrame([("red fox",), ("Été vert",), ("/",)], "term string"))
+    found = spans.spans(rows, F.col("text"), ["i"], shapes)
+    assert {(r["_at"], r.term, r["_before"], r["_after"]) for r in found.collect()} == {(12, "Été vert", False, False), (16, "red fox", False, False)}
+    searched = spans.Likely(shapes)
+    texts = [b"red a", b"red b", b"red c", b"red fox", "Été vert".encode()]
+    ends = [0]
+    for t in texts:
+        ends.append(ends[-1] + len(t))
+    hashed = spans.Hashed(np.frombuffer(b"".join(texts), np.uint8))
+    assert searched.passes(hashed.runs(np.array(ends[:-1]), np.array(ends[1:]))).tolist() == [False, False, False, True, True]
+
+
+def test_units_are_those_of_the_pattern(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab_1 \t\n.,-́éßЖ中\U0001f600\x1c\xa0‍٣\x85") for _ in range(rng.randrange(30))) for _ in range(300)]
+    want = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", spans.units(F.col("t")).alias("u")).orderBy("i").collect()
+    data, begin = spans.bytes_of(pa.array(texts))
+    start, _ = spans.unit_starts(data, begin[:-1], spans.kinds(spark).value)
+    ends, bounds = [*start.tolist(), len(data)], np.searchsorted(start, begin)
+    for r in want:
+        assert [bytes(data[ends[k] : ends[k + 1]]).decode() for k in range(bounds[r.i], bounds[r.i + 1])] == r.u
+
+
 def test_counts_of_names_that_share_terms(spark):
     """As many as the places of each name, though places and names never meet in an exchange."""
     rng = random.Random(3)
