@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import strip, stripped_lines, title_case
@@ -55,14 +56,24 @@ def link_spans(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Names are case-sensitive and have no word character or slash beside them. Reading on from the end of the last name,
     the longest name at a place wins and uses up its text. Names are found as runs of words (``spans``), so bodies stay
-    where they are; the few places of an article are put in order and resolved by one fold.
+    where they are. A place that shares no text with another one is taken; places that overlap, one after the other, are
+    put in order and resolved by one fold, which thus is as long as such a knot and not as the article.
     """
     names = shaped(dictionary.select(F.col("name").alias("term"), F.col("slug").alias("dst")))
     plain = articles.where(~F.col("slug").isin(list(NO_LINKS))).select(
         F.col("slug").alias("src"), "part", F.regexp_replace("body", TAG, CUT).alias("text")
     )
     found = spans(plain, F.col("text"), ["src", "part"], names, also="/")
-    places = found.where(~F.col("_before") & ~F.col("_after")).groupBy("src", "part").agg(
+    order = W.partitionBy("src", "part").orderBy("_at", F.desc("_size"), F.asc_nulls_last("dst"))
+    ended = F.max("_end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    places = (
+        found.where(~F.col("_before") & ~F.col("_after"))
+        .select("src", "part", "_at", "_size", "dst", (F.col("_at") + F.col("_size")).alias("_end"))
+        .withColumn("_apart", F.col("_at") >= F.coalesce(ended, F.lit(0)))
+        .withColumn("_alone", F.col("_apart") & (F.coalesce(F.lead("_at").over(order), F.col("_end")) >= F.col("_end")))
+        .withColumn("_knot", F.count_if("_apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    )
+    knots = places.where(~F.col("_alone")).groupBy("src", "part", "_knot").agg(
         F.array_sort(F.collect_list(F.struct("_at", (-F.col("_size")).alias("size"), "dst"))).alias("places")
     )
     nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("taken"))
@@ -72,7 +83,8 @@ def link_spans(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
         return F.when(p["_at"] >= state["end"], taken).otherwise(state)
 
     taken = F.aggregate("places", nothing, step, lambda state: state["taken"])
-    return places.select("src", F.explode(taken).alias("dst")).where(F.col("src") != F.col("dst"))
+    every = places.where("_alone").select("src", "dst").unionByName(knots.select("src", F.explode(taken).alias("dst")))
+    return every.where(F.col("src") != F.col("dst"))
 
 
 def extract_links(articles: DataFrame, dictionary: DataFrame) -> DataFrame:

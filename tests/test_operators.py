@@ -438,6 +438,15 @@ def test_counts_of_names_that_share_terms(spark):
     assert not exchanges
 
 
+def test_links_of_an_article_of_many_places(spark):
+    """Places apart from each other need no fold; overlapping ones are resolved in reading order."""
+    names = [("Red Fox", "rf"), ("Fox Den", "fd"), ("Den", "d"), ("Red", "r")]
+    body = ". ".join(["Red", "Red Fox Den", "Den", "Fox Den Den", "Red Fox"] * 50)
+    articles = spark.createDataFrame([("t", "T", "p", body, "general", 0, 1)] * 2, "slug string, title string, path string, body string, category string, part bigint, src_rank int")
+    found = K.link_spans(articles, spark.createDataFrame(names, "name string, slug string"))
+    assert {tuple(r) for r in found.groupBy("dst").count().collect()} == {("r", 50), ("rf", 100), ("d", 150), ("fd", 50)}
+
+
 def exchanged(frame):
     """The lines of a plan that exchange rows by hash."""
     return [line for line in frame._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in line]
