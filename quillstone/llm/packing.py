@@ -25,6 +25,7 @@ import collections
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,10 +39,12 @@ from quillstone.llm.arrow_text import slices
 from quillstone.sources.storage import stored
 
 PIECES = "doc long, piece int, start long, length long, ids_crc32 long"
-MOST_WORDS = 600_000  #: words whose tokens a worker keeps
-MOST_CORES = 1_000_000  #: words without marks; these cost the tokenizer's work
+MOST_WORDS = 1_000_000  #: words whose tokens a worker keeps
 AT_ONCE = 2_000  #: words that the tokenizer gets at once; its answers are large
 _MARKED = re.compile(rb"(.*[^\x00-\x40\x5b-\x60\x7b-\x7f])([!-/:-@\[-`{-~]+)", re.S)
+_BYTES = np.arange(256)
+_MARK = np.isin(_BYTES, np.frombuffer(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), np.uint8))
+_LETTER = (_BYTES | 32 >= ord("a")) & (_BYTES | 32 <= ord("z")) & (_BYTES < 128)
 _tokenizers: dict[str, WordTokens] = {}
 
 
@@ -50,7 +53,9 @@ class WordTokens:
 
     The vocabulary drops white space and joins nothing across it, so the tokens of a text are those of its words. Only
     spaces and line feeds separate here; other white space stays inside a word and is left to the tokenizer. ASCII
-    letters are lowered first, as the tokenizer does, except beside markers, whose capitals count.
+    letters are lowered first, as the tokenizer does, except beside markers, whose capitals count. Marks at the end of a
+    word, behind a letter, are a word of their own. Texts are cut and put together in arrays; only distinct words of a
+    slice are looked up one by one.
     """
 
     def __init__(self, path: str):
@@ -62,7 +67,6 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Tokens of each word. Words of letters go as one text, which is faster; each ends with an end-of-word token."""
@@ -71,7 +75,7 @@ class WordTokens:
         out: list[bytes] = [b""] * len(words)
         for i in range(0, len(plain), AT_ONCE):
             some = plain[i : i + AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, "<u4")
+            ids = self.ids(" ".join([texts[k] for k in some]))
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 raw, start = ids.tobytes(), 0
@@ -80,38 +84,76 @@ class WordTokens:
                     start = stop
             else:  # a letter became more than letters when it was lowered
                 for k in some:
-                    out[k] = self.alone(texts[k])
+                    out[k] = self.ids(texts[k]).tobytes()
         for k in set(range(len(words))).difference(plain):
-            out[k] = self.alone(texts[k])
+            out[k] = self.ids(texts[k]).tobytes()
         return out
 
-    def alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[bytes]) -> None:
-        """Adds words; marks behind a letter are tokens of their own."""
-        cores = self.cores
-        cut = [None if b"<|" in w else _MARKED.fullmatch(w) for w in words]
-        parts = [(m[1], m[2]) if m and m[1].decode()[-1].isalpha() else (w, b"") for w, m in zip(words, cut, strict=True)]
-        fresh = list({p for pair in parts for p in pair}.difference(cores))
-        cores.update(zip(fresh, self.encode(fresh), strict=True))
-        self.known.update((word, cores[core] + cores[marks]) for word, (core, marks) in zip(words, parts, strict=True))
+        """Adds words. Those of a to z go to the model itself: what stands before it leaves them as they are."""
+        known, tokens = self.known, self.tokenizer.model.tokenize
+        plain = [w for w in words if w.isalpha() and w.islower()]
+        known.update((w, array("I", [t.id for t in tokens(w.decode())]).tobytes()) for w in plain)
+        others = [w for w in words if w not in known]
+        cut = [None if b"<|" in w else _MARKED.fullmatch(w) for w in others]
+        parts = [(m[1], m[2]) if m and m[1].decode()[-1].lower()[-1].isalpha() else (w, b"") for w, m in zip(others, cut, strict=True)]
+        known[b""] = b""
+        fresh = list({p for pair in parts for p in pair}.difference(known))
+        known.update(zip(fresh, self.encode(fresh), strict=True))
+        known.update((word, known[core] + known[marks]) for word, (core, marks) in zip(others, parts, strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit tokens of each text."""
-        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        words, bounds = cut_words([t if b"<|" in t else t.lower() for t in texts])
+        if not len(words):
+            return [b""] * len(texts)
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        if len(self.cores) > MOST_CORES:
-            self.cores.clear()
-        self.cores[b""] = b""
-        known = self.known
-        known[b""] = b""
-        missing: set[bytes] = set()
-        for words in split:
-            missing.update(set(words).difference(known))
-        self.learn(list(missing))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known, coded = self.known, words.dictionary_encode()
+        _, ends, letters = coded.dictionary.buffers()
+        ends, letters = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), letters.to_pybytes()
+        distinct = [letters[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        found = list(map(known.get, distinct))
+        if None in found:
+            self.learn([w for w, t in zip(distinct, found, strict=True) if t is None])
+            found = [known[w] for w in distinct]
+        tokens = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends, raw = np.frombuffer(tokens.buffers()[1], np.int64), tokens.buffers()[2].to_pybytes()
+        stops = ends[bounds].tolist()
+        return [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many there are up to the end of each text.
+
+    Marks at the end of a word behind an ASCII letter, or one from U+00C0 to U+023F, are a word of their own, unless
+    the word has a marker.
+    """
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    blank = (data == 32) | (data == 10)
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    stops = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    mark = _MARK[data]
+    at = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1
+    last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    wide = (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xC8)
+    wide &= ~np.isin(lead.astype(np.int64) << 8 | last, [0xC397, 0xC3B7, 0xC4B0])  # two signs, and one that is lowered to a letter and an accent
+    at = at[_LETTER[last] | wide]
+    word = np.searchsorted(starts, at, "right") - 1
+    before = np.cumsum(mark, dtype=np.int32)
+    cut = before[stops[word] - 1] - before[at - 1] == stops[word] - at
+    marker = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    cut &= ~np.isin(word, np.searchsorted(starts, marker, "right") - 1)
+    edges = np.sort(np.concatenate([starts, at[cut]]))
+    gone = np.cumsum(blank, dtype=np.int32)  # a slice has at most 2 GB, as a text has
+    kept = data[~blank]
+    offsets = np.append(edges - gone[edges], len(kept)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return words, np.searchsorted(edges, ends)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:

@@ -121,6 +121,22 @@ def test_packing(docs, nothing):
     assert data(packing.pack_documents(nothing, TOKENIZER)) == []
 
 
+def test_words_and_their_marks():
+    """Marks behind a letter are words of their own, so the tokenizer sees a word once, whatever follows it."""
+    from tokenizers import Tokenizer
+
+    whole, some = Tokenizer.from_file(TOKENIZER), packing.WordTokens(TOKENIZER)
+    bits = ["fox", "Fox", "don't", "é", "e\u0301", "×", "İ", "日本", "12", "a-b", "\t", "\u3000", "<|endoftext|>", "<|", "|>", "'s", ",", "...", " ", "\n", "ENDOFTEXT"]
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "\n\n", ",", "fox,", " fox, Fox. fox!?", "İ.", "ñ,", "é;é"] + ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(3000)]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert some.texts([t.encode() for t in texts]) == want
+    assert some.texts([]) == [] and some.texts([b"", b"\n"]) == [b"", b""]
+    some.known.clear()
+    some.texts(["fox fox, Fox. fox!?".encode()])
+    assert set(some.known) - {b""} == {b"fox", b",", b".", b"!?"}
+
+
 def test_patterns_hold_the_histogram():
     rng = np.random.default_rng(2)
     for capacity in (10, 64, 257):
