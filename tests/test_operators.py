@@ -381,6 +381,71 @@ def test_lines_that_name_several_entities(spark):
     assert moved and not any("text" in m for m in moved)
 
 
+def mention_input(spark):
+    notes = [("s", "a.md", "the Red Fox ran home\nnothing is to be seen\nfoxy, red fox and the owl"), ("s", "b.md", None), ("t", "c.md", "an owl in the old barn")]
+    names = [("red fox", "Red Fox"), ("foxy", "Red Fox"), ("owl", "Owl"), ("old barn", None), ("fox ran", "Run"), ("", "Blank"), (None, "None")]
+    aliases = spark.createDataFrame(names, "alias_key string, canonical string")
+    notes = spark.createDataFrame([*notes, notes[0]], "session string, source string, text string")
+    first = "the Red Fox ran home nothing is to be seen"
+    third = "nothing is to be seen foxy, red fox and the owl"
+    owl = "an owl in the old barn"
+    want = [
+        ("a.md", 1, first, "Red Fox"), ("a.md", 1, first, "Run"), ("a.md", 3, third, "Owl"), ("a.md", 3, third, "Red Fox"), ("c.md", 1, owl, None), ("c.md", 1, owl, "Owl"),
+    ]
+    return notes, aliases, sorted(want, key=repr)
+
+
+def mentioned(found):
+    return sorted(((r.source, r.line_no, r.text, r.canonical) for r in found.collect()), key=repr)
+
+
+def test_mentions_move_neither_texts_nor_places(spark):
+    """Names are found and looked up in the row of the text, also when Spark may broadcast nothing; a row that repeats counts once."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        notes, aliases, want = mention_input(spark)
+        assert mentioned(M.match_mentions(notes, aliases)) == want
+        once = M.match_mentions(notes.distinct(), aliases)
+        assert exchanged(once) == [] and mentioned(once) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_names_in_many_blocks(spark, monkeypatch):
+    """Names that one task cannot hold are looked up in several readings, and each mention is found once."""
+    notes, aliases, want = mention_input(spark)
+    for block, chain in ((1 << 20, 4), (40, 100), (40, 1)):
+        monkeypatch.setattr(M, "BLOCK", block)
+        monkeypatch.setattr(M, "CHAIN", chain)
+        lines = M.mention_lines(notes, aliases)
+        assert mentioned(M.by_name(lines)) == want
+        first = {(r.canonical, r.source) for r in profiles.entity_timeline(lines, 1).collect()}
+        assert first == {("Red Fox", "a.md#L1"), ("Run", "a.md#L1"), ("Owl", "a.md#L3"), (None, "c.md#L1")}
+
+
+def test_profiles_shuffle_wanted_lines_alone(spark):
+    """Lines that no profile shows are left out before texts are shuffled, and texts are joined with few rows."""
+    notes = [("s", f"{i:03d}.md", f"the red fox {'died' if i % 50 == 0 else 'ran'} on day {i}") for i in range(200)]
+    aliases = spark.createDataFrame([("red fox", "Red Fox")], "alias_key string, canonical string")
+    lines = M.mention_lines(spark.createDataFrame(notes, "session string, source string, text string"), aliases)
+    got = profiles.passing_record(lines)
+    assert [(r.canonical, r.source, r.text) for r in got.collect()] == [("Red Fox", "000.md#L1", "the red fox died on day 0")]
+    assert not any("names" in m or "terms" in m for m in exchanged(got))
+    assert [(r["rank"], r.source) for r in profiles.notable_events(lines, ["died"]).orderBy("rank").collect()] == [(i + 1, f"{50 * i:03d}.md#L1") for i in range(4)]
+
+
+def test_submissions_with_the_same_text(spark):
+    """Rows that show the same are one submission with the names of both; an entity it was filed for is named, too."""
+    long = "x" * 400
+    rows = [(1, "owl ", None, None, f"{long} red fox"), (1, "", None, None, f"{long} foxy barn"), (2, "nobody", "ann", "", "the owl sat here")]
+    inputs = spark.createDataFrame(rows, "line_no bigint, entity string, player string, date string, note string")
+    aliases = spark.createDataFrame([("red fox", "Red Fox"), ("barn", "Barn"), ("owl", "Owl")], "alias_key string, canonical string")
+    catalog = spark.createDataFrame([("Owl",), ("Barn",), (None,)], "canonical string")
+    got = M.match_player_inputs(inputs, aliases, catalog, "in").collect()
+    assert sorted((r.line_no, r.canonical) for r in got) == [(1, "Barn"), (1, "Owl"), (1, "Red Fox"), (2, "Owl")]
+
+
 def test_shared_terms_are_searched_once(spark):
     """A term of several names has its places once, and names that no request asks for are not searched."""
     catalog = spark.createDataFrame(
