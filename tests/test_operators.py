@@ -446,6 +446,26 @@ def test_submissions_with_the_same_text(spark):
     assert sorted((r.line_no, r.canonical) for r in got) == [(1, "Barn"), (1, "Owl"), (1, "Red Fox"), (2, "Owl")]
 
 
+def test_every_mention_moves_places_alone(spark, monkeypatch):
+    """No mention is shuffled, names count on from one range of places to the next, and a page counts at its first line."""
+    names = spark.createDataFrame([("Fox", "fox"), ("Fox", "red"), ("Hen", "red"), ("Cat", "cat")], "canonical string, term string")
+    rows = [(f"log{i:02d}", f"a red fox\nnothing\n{'the cat' if i % 3 == 0 else 'red'}") for i in range(40)]
+    logs = spark.createDataFrame([*rows, rows[0]], "source string, text string")
+    pages = spark.createDataFrame([("book", 1, "x\nfox\nred"), ("book", 1, "no\ncat\nfox\nred"), ("book", 2, "cat cat")], "source string, page bigint, text string")
+    want = []
+    for name, terms in (("Fox", ("fox", "red")), ("Hen", ("red",)), ("Cat", ("cat",))):
+        found = [(s, i, line) for s, t in rows for i, line in enumerate(t.split("\n"), 1) if any(x in line.split() for x in terms)]
+        found = [("campaign", f"{s}#L{i}", line) for s, i, line in found]
+        first = {"Fox": [(1, "fox")], "Hen": [(1, "red")], "Cat": [(1, "cat"), (2, "cat cat")]}[name]
+        found += [("general", f"book#PAGE-{p}", line) for p, line in first]
+        want += [(name, n, *x) for n, x in enumerate(found, 1)]
+    for block in (M.BLOCK, 30):
+        monkeypatch.setattr(M, "BLOCK", block)
+        got = R.find_mentions(names, logs, pages)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert not any("canonical" in m or "ranks" in m for m in exchanged(got))
+
+
 def test_shared_terms_are_searched_once(spark):
     """A term of several names has its places once, and names that no request asks for are not searched."""
     catalog = spark.createDataFrame(
